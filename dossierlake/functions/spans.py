@@ -40,22 +40,29 @@ def running_sum(lengths: Column, block: int = 256) -> Column:
     return let(lengths, lambda v: F.when(F.size(v) <= block, _sums(v)).otherwise(blocked(v)))
 
 
-def regex_spans(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as array<struct<start,end,match>>, code points, end exclusive.
+def regex_spans(text: Column, pattern: str, context: int = 0) -> Column:
+    """All leftmost non-overlapping matches as array<struct<start,end,match,before>>, code points, end exclusive.
 
     The pattern must not match the empty string.  Gaps come from splitting by the same pattern, so that
-    end_i = gaps up to i + matches up to i.  Null text gives an empty array.
+    end_i = gaps up to i + matches up to i.  before holds up to `context` characters between the match and the one
+    before it.  Null text gives an empty array.
     """
 
     def build(found: Column) -> Column:
-        both = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-        return F.zip_with(
-            found,
-            running_sum(both),
-            lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")),
-        )
-
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        pieces = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"), F.right(g, F.lit(context)).alias("before")))
+
+        def place(ps: Column) -> Column:
+            ends = running_sum(F.transform(ps, lambda p: p["gap"] + F.length(p["match"])))
+            return F.zip_with(
+                ps,
+                ends,
+                lambda p, e: F.struct((e - F.length(p["match"])).alias("start"), e.alias("end"), p["match"].alias("match"), p["before"].alias("before")),
+            )
+
+        return let(pieces, place)
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
     # most texts hold no match: a single find decides, and a null text takes the last branch
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build)).otherwise(none)
 
