@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import bpe, decontaminate, pii, secrets, simhash_dedup
+from dossierlake.llm import bpe, decontaminate, embedding_dedup, pii, secrets, simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.vector_groups(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -41,6 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secrets": op2_secrets,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op10_pii": op10_pii,
