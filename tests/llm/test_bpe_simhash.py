@@ -109,7 +109,36 @@ def test_links_are_complete(spark):
     assert got == want
 
 
-def test_near_dedup_keeps_one_of_each_group_and_every_column(spark):
-    docs = frame(spark, ["a b c d e f g", "A b c d e f g", None, "", "q r s t u v w"])
-    assert sorted(r.doc_id for r in simhash_dedup.near_dedup(docs).collect()) == [0, 2, 4]
-    assert simhash_dedup.near_dedup(docs).columns == docs.columns
+def brute_similar(texts, size=5, least=0.8):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    part = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and part[i] != part[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
+                a, b = sorted((part[i], part[j]))
+                part = {k: a if v == b else v for k, v in part.items()}
+    return part
+
+
+def test_near_duplicates_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "one two", "One two"]
+    for _ in range(30):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(8, 250))]
+        for k in range(4):
+            copy = base[:]
+            for _ in range(k * len(base) // 60):
+                copy[rng.randrange(len(copy))] = "edit"
+            texts.append(" ".join(copy if k else base[rng.randrange(2) :]))
+    hub = [f"h{rng.randrange(900)}" for _ in range(200)]
+    texts += [" ".join([f"x{k}" if i == 3 * k else w for i, w in enumerate(hub)]) for k in range(60)]
+    df = frame(spark, texts)
+    want = brute_similar(dict(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(df).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+    kept = simhash_dedup.near_dedup(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(want.values())
+    assert simhash_dedup.near_dedup(df.limit(0)).count() == 0
