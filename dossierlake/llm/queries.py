@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import bpe, decontaminate, embedding_dedup, line_dedup, pii, quality, secrets, simhash_dedup, warc
+from dossierlake.llm import bpe, decontaminate, embedding_dedup, line_dedup, pii, quality, secrets, simhash_dedup, unigram, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    return unigram.token_digest(table(spark, sf_dir, "documents"), tok.path("piece_bpe_32k.model"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
     "pipeline": pipeline,
 }
