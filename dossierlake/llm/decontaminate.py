@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.functions.spans import let
+from dossierlake.llm.common import written
 
 SHINGLE = 5
 #: At similarity 0.8 the expected distance is 10 bits (a window shares 8/9 of its shingles: an angle of 27 degrees),
@@ -142,5 +143,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """docs without the documents that hold a benchmark item; columns unchanged.  Rows with a null id go if one of them leaks."""
     leaks = find_leaks(docs, benchmark, **params)
     id_col = params.get("id_col", "doc_id")
-    bad = leaks.select(F.col(id_col).alias("_leaky_id")).distinct()
+    bad = written(leaks.select(F.col(id_col).alias("_leaky_id")).distinct(), "leaky")
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_leaky_id"]), "left_anti")

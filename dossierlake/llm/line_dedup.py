@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from dossierlake.llm.common import written
+from dossierlake.llm.common import drop_written, written
 
 MIN_WORDS = 50
 RARE = 8
@@ -111,7 +111,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     pairs = written(pairs.distinct(), "pairs")
 
     lines = shared.select("id", "key", "spots", "words")
-    both = written(pairs.join(lines, "id"), "later").join(lines.select(F.col("id").alias("earlier"), "key", F.col("spots").alias("spots_e")), ["earlier", "key"])
+    later = written(pairs.join(lines, "id"), "later")
+    both = later.join(lines.select(F.col("id").alias("earlier"), "key", F.col("spots").alias("spots_e")), ["earlier", "key"])
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def deleted(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -123,7 +124,11 @@ def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     # a pair whose common lines are too short together holds no block
     met = met.where(F.aggregate("m", F.lit(0), lambda a, x: a + x["w"] * F.size(x["l"])) >= min_words)
     gone = met.select("id", deleted(F.col("m.l"), F.col("m.r"), F.col("m.e"), F.col("m.w")).alias("gone")).where(F.size("gone") > 0)
-    return gone.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed")).select(F.col("id").alias(id_col), "removed")
+    result = gone.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
+    result = written(result.select(F.col("id").alias(id_col), "removed"), "removed")
+    for t in (held, counts, shared, pairs, later):
+        drop_written(t)
+    return result
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from dossierlake.llm.common import connected_components, written
+from dossierlake.llm.common import connected_components, drop_written, written
 
 #: ASCII white space of the word definition [^\x20\x09-\x0D]+
 SPACES = r"[\x20\x09-\x0D]+"
@@ -102,6 +102,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     group = written(group.select("fp", "part", "first_id"), "groups")
     heads = written(group.groupBy("part").agg(F.min("first_id").alias("component_id")), "heads")
     named = written(group.join(heads, "part").select("fp", "component_id"), "named")
+    for t in (classes, group, heads):
+        drop_written(t)
     return prints.join(named, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -131,8 +133,9 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
 
 
-def _wide_candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, that share a key, within WIDE_RADIUS: first by the Manhattan bound, then exactly."""
+def _wide_candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded): pairs (u, v), u < v, that share a key, within WIDE_RADIUS, first by the Manhattan bound and then
+    exactly; and the ids that hold a key with more than FEW holders, for which only the pair with the first was formed."""
     keyed = written(sketches.select("id", "fp", segment_counts(F.col("fp")).alias("seg"), F.explode("keys").alias("key")), "keyed")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "seg")).alias("first")).where("n > 1")
     sizes = written(sizes, "sizes")
@@ -141,10 +144,14 @@ def _wide_candidates(sketches: DataFrame) -> DataFrame:
     many = keyed.join(sizes.where(F.col("n") > FEW).select("key", "first"), "key")
     stars = many.select(F.col("first.id").alias("u"), F.col("id").alias("v"), F.col("first.fp").alias("fp_u"), F.col("fp").alias("fp_v"), F.col("first.seg").alias("seg_u"), F.col("seg").alias("seg_v"))
     near = (F.col("u") < F.col("v")) & (manhattan(F.col("seg_u"), F.col("seg_v")) <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
-    return a.join(b, "key").select("u", "v", "fp_u", "fp_v", "seg_u", "seg_v").unionByName(stars).where(near).select("u", "v").distinct()
+    pairs = a.join(b, "key").select("u", "v", "fp_u", "fp_v", "seg_u", "seg_v").unionByName(stars).where(near).select("u", "v").distinct()
+    pairs, crowded = written(pairs, "pairs"), written(many.select("id").distinct(), "crowded")
+    drop_written(keyed)
+    drop_written(sizes)
+    return pairs, crowded
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_rounds: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_rounds: int = 50) -> DataFrame:
     """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles of at least `similarity`.
 
     Equal word sequences are collapsed first.  Candidates are fingerprints within three bits by the grid join, and
@@ -152,39 +159,53 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     on the whole shingle sets.  Where one such hash is held by more than FEW documents, each is compared with the first
     of them, linked ones step back, and the next round compares those left, until a round links nothing.
     Texts without words are one group.  Rows with a null id are left out; of rows that repeat an id one text counts.
+
+    One pass over the texts makes the sketches; a second reads the shingle sets of candidates only.  Tables written
+    on the way are deleted as soon as the next one is there.
     """
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text)).alias("w"))
-    texts = written(ids.select("id", F.md5(F.array_join("w", " ")).alias("same")), "texts")
-    heads = written(texts.groupBy("same").agg(F.min("id").alias("id")), "heads")
-    firsts = ids.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sketches = firsts.select("id", sketch(shingle_hashes(F.col("w"), shingle)).alias("s"))
-    sketches = written(sketches.select("id", "s.fp", "s.n", "s.keys").where("n > 0"), "sketches")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    tokens = rows.select("id", words(F.col("text")).alias("w"))
+    made = tokens.select("id", F.md5(F.array_join("w", " ")).alias("same"), sketch(shingle_hashes(F.col("w"), shingle)).alias("s"))
+    every = written(made.select("id", "same", "s.fp", "s.n", "s.keys"), "every")
+    firsts = every.groupBy("same").agg(F.min(F.struct("id", "fp", "n", "keys")).alias("f")).select("same", "f.*")
+    heads = written(firsts, "heads")
+    sketches = heads.where("n > 0").select("id", "fp", "keys").dropDuplicates(["id"])
     # fingerprints that are equal or within three bits: each member meets the first of its own and of the other print
     prints = written(sketches.groupBy("fp").agg(F.min("id").alias("first")), "prints")
     near = hamming_links(prints.select("fp"))
     own = sketches.join(prints, "fp").select(F.col("first").alias("u"), F.col("id").alias("v"))
     other = near.join(prints.withColumnRenamed("fp", "u"), "u").select("v", F.col("first").alias("a")).join(prints.withColumnRenamed("fp", "v"), "v").select(F.least("a", "first").alias("u"), F.greatest("a", "first").alias("v"))
-    candidates = own.unionByName(other).where("u < v").distinct()
-    links, left = None, sketches
+    alike = written(own.unionByName(other).where("u < v").distinct(), "alike")
+
+    pairs, crowded = _wide_candidates(sketches)
+    pairs = written(pairs.unionByName(alike).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(crowded).distinct()
+    sets = rows.join(wanted, "id", "left_semi").select("id", words(F.col("text")).alias("w"))  # the texts move once
+    sets = written(sets.select("id", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("s")).dropDuplicates(["id"]), "sets")
+    links = written(_verified(pairs, sets, similarity), "links")
+    good, left = links, sketches
     for _ in range(max_rounds):
-        crowded = not left.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > FEW).isEmpty()
-        pairs = _wide_candidates(left)
-        pairs = written(pairs.unionByName(candidates).distinct() if links is None else pairs, "pairs")
-        good = written(_verified(pairs, ids, shingle, similarity), "links")
-        links = good if links is None else links.unionByName(good)
-        if not crowded or good.isEmpty():
+        if crowded.isEmpty() or good.isEmpty():
             break
-        left = written(left.join(good.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "left")
-    parts = connected_components(links)
+        # only holders of crowded keys that did not link have pairs left to form
+        after = written(left.join(crowded, "id", "left_semi").join(good.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "left")
+        old = [pairs, crowded] + ([left] if left is not sketches else [])
+        pairs, crowded = _wide_candidates(after)
+        good = written(_verified(pairs, sets, similarity), "links")
+        both = written(links.unionByName(good).distinct(), "links")
+        for t in [*old, links]:
+            drop_written(t)
+        left, links = after, both
+    parts = written(connected_components(links), "parts")
     named = heads.join(parts.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
-    return texts.join(written(named, "named"), "same").select(F.col("id").alias(id_col), "component_id").distinct()
+    result = written(every.join(named, "same").select(F.col("id").alias(id_col), "component_id").distinct(), "near")
+    for t in (every, heads, prints, alike, sets, links, parts):
+        drop_written(t)
+    return result
 
 
-def _verified(pairs: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose shingle sets have a Jaccard similarity of at least `similarity`."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = ids.join(wanted, "id", "left_semi").select("id", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("s")).dropDuplicates(["id"])
-    sets = written(sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     met = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("m"), (F.size("su") + F.size("sv")).alias("t"))
     return met.where(F.col("m") >= similarity * (F.col("t") - F.col("m"))).select("u", "v")
