@@ -72,10 +72,11 @@ def rate_block_state(requests: DataFrame, limit: int = 60, seconds: int = 60, mo
     return timed.groupBy("ip").applyInPandas(audit, "req_id long, outcome string")
 
 
-def retry_route_stream(records: DataFrame, limit: int = 3, ttl: str = "24 hours") -> DataFrame:
-    """Routes of failures counted per topic and document since the last success; the count is forgotten after a day.
+def retry_route_stream(records: DataFrame, limit: int = 3, ttl: str | None = "24 hours") -> DataFrame:
+    """Routes of failures counted per topic and document since the last success; the count is forgotten after `ttl`.
 
-    records: topic, doc_id, event_id, failed, ts.
+    records: topic, doc_id, event_id, failed, ts.  A stream with a ttl never runs out of work, since its clock goes on;
+    ttl=None keeps counts for good and ends under an availableNow trigger.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -92,9 +93,10 @@ def retry_route_stream(records: DataFrame, limit: int = 3, ttl: str = "24 hours"
                     rows.append((event, n, f"{key[0]}.retry.{n}" if n <= limit else "dlq"))
             yield pd.DataFrame(rows, columns=["event_id", "attempt", "target"])
         state.update((n,))
-        state.setTimeoutDuration(int(pd.Timedelta(ttl).total_seconds() * 1000))
+        if ttl:
+            state.setTimeoutDuration(int(pd.Timedelta(ttl).total_seconds() * 1000))
 
-    return records.groupBy("topic", "doc_id").applyInPandasWithState(route, "event_id string, attempt int, target string", "n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return records.groupBy("topic", "doc_id").applyInPandasWithState(route, "event_id string, attempt int, target string", "n int", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
