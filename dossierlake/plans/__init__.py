@@ -3,7 +3,7 @@
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ("dashboards", "bus", "governance", "ingest", "documents", "audit", "streams")
+MODULES = ("dashboards", "bus", "governance", "ingest", "documents", "audit", "streams", "outputs")
 
 
 def load() -> ModuleType:
