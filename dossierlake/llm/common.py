@@ -31,6 +31,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which a written list of them is broadcast (a long each: tens of MB in memory at most)
+BROADCAST_IDS = 1_000_000
+
+
+def id_side(ids: DataFrame, tag: str) -> DataFrame:
+    """A list of ids for a semi or anti join against wide rows: written, counted, and broadcast if the count is small.
+
+    The wide rows then stay where they are; longer lists are joined by a shuffle.
+    """
+    ids = written(ids, tag)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written(), through Hadoop's file system so that any store works."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

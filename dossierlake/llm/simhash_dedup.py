@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from dossierlake.llm.common import connected_components, drop_written, written
+from dossierlake.llm.common import connected_components, drop_written, id_side, written
 
 #: ASCII white space of the word definition [^\x20\x09-\x0D]+
 SPACES = r"[\x20\x09-\x0D]+"
@@ -160,8 +160,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     of them, linked ones step back, and the next round compares those left, until a round links nothing.
     Texts without words are one group.  Rows with a null id are left out; of rows that repeat an id one text counts.
 
-    One pass over the texts makes the sketches; a second reads the shingle sets of candidates only.  Tables written
-    on the way are deleted as soon as the next one is there.
+    One pass over the texts makes the sketches; a second reads the shingle sets of candidates only, and texts are
+    shuffled only where the candidates are too many to broadcast their ids.  Tables written on the way are deleted as soon as the next one is there.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     tokens = rows.select("id", words(F.col("text")).alias("w"))
@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     pairs, crowded = _wide_candidates(sketches)
     pairs = written(pairs.unionByName(alike).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(crowded).distinct()
-    sets = rows.join(wanted, "id", "left_semi").select("id", words(F.col("text")).alias("w"))  # the texts move once
+    wanted = id_side(wanted, "wanted")
+    sets = rows.join(wanted, "id", "left_semi").select("id", words(F.col("text")).alias("w"))
     sets = written(sets.select("id", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("s")).dropDuplicates(["id"]), "sets")
     links = written(_verified(pairs, sets, similarity), "links")
     good, left = links, sketches
@@ -217,5 +218,5 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shin
     Rows that repeat the id that stays all stay, and so do rows with a null id.
     """
     groups = near_duplicates(docs, text, id_col, shingle, similarity)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    gone = id_side(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
     return docs.join(gone, id_col, "left_anti")
