@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -109,9 +111,9 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 #: A pair at similarity 0.8 differs in about 9 bits, and in more than 22 with odds below 1 in 10,000.
 WIDE_RADIUS = 22
-#: Smallest shingle hashes of a text that wide candidates must share one of, and documents up to which all pairs of
-#: one such hash are formed; beyond it each document meets the first one, round after round.
-KEYS, FEW = 8, 32
+#: Smallest shingle hashes of a text that candidates must share one of, documents up to which all pairs of one such hash
+#: are formed as rows, and documents of a block where more hold it.
+KEYS, FEW, BLOCK = 8, 32, 400
 
 
 @F.pandas_udf(StructType([StructField("fp", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))]))
@@ -134,30 +136,92 @@ def manhattan(a: Column, b: Column) -> Column:
 
 
 def _wide_candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowded): pairs (u, v), u < v, that share a key, within WIDE_RADIUS, first by the Manhattan bound and then
-    exactly; and the ids that hold a key with more than FEW holders, for which only the pair with the first was formed."""
+    """(pairs, crowded): pairs (u, v), u < v, that share a key with at most FEW holders, within WIDE_RADIUS, first by the
+    Manhattan bound and then exactly; and (key, id) of the keys with more holders."""
     keyed = written(sketches.select("id", "fp", segment_counts(F.col("fp")).alias("seg"), F.explode("keys").alias("key")), "keyed")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "seg")).alias("first")).where("n > 1")
-    sizes = written(sizes, "sizes")
-    few = keyed.join(sizes.where(F.col("n") <= FEW).select("key"), "key")
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "sizes")
+    few = keyed.join(sizes.where(F.col("holders") <= FEW).select("key"), "key")
     a, b = few.select("key", F.col("id").alias("u"), F.col("fp").alias("fp_u"), F.col("seg").alias("seg_u")), few.select("key", F.col("id").alias("v"), F.col("fp").alias("fp_v"), F.col("seg").alias("seg_v"))
-    many = keyed.join(sizes.where(F.col("n") > FEW).select("key", "first"), "key")
-    stars = many.select(F.col("first.id").alias("u"), F.col("id").alias("v"), F.col("first.fp").alias("fp_u"), F.col("fp").alias("fp_v"), F.col("first.seg").alias("seg_u"), F.col("seg").alias("seg_v"))
     near = (F.col("u") < F.col("v")) & (manhattan(F.col("seg_u"), F.col("seg_v")) <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
-    pairs = a.join(b, "key").select("u", "v", "fp_u", "fp_v", "seg_u", "seg_v").unionByName(stars).where(near).select("u", "v").distinct()
-    pairs, crowded = written(pairs, "pairs"), written(many.select("id").distinct(), "crowded")
+    pairs = written(a.join(b, "key").where(near).select("u", "v").distinct(), "pairs")
+    crowded = written(keyed.join(sizes.where(F.col("holders") > FEW).select("key"), "key").select("key", "id"), "crowded")
     drop_written(keyed)
     drop_written(sizes)
     return pairs, crowded
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_rounds: int = 50) -> DataFrame:
+def _crowd_links(crowded: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Links that join all documents which share a crowded key and reach the similarity, beyond those in `links`.
+
+    Keys whose holders are one group already have nothing to add.  Documents that share any other key, directly or
+    through others, are a crowd; each crowd is compared once, whole, in pairs of blocks, a task each, so that no pair
+    is left out and no row is made for a pair: a task hands on one edge for each two groups that it joins.
+    """
+    parts = written(connected_components(links), "parts")
+    held = written(crowded.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("group")), "held")
+    keys = written(held.groupBy("key").agg(F.min("id").alias("first"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key", "first"), "open")
+    crowds = written(connected_components(held.join(keys, "key").select(F.col("first").alias("u"), F.col("id").alias("v"))), "crowds")
+    sizes = crowds.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = crowds.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = member.join(parts.select("node", F.col("component").alias("group")), "node", "left")
+    member = member.select(F.col("node").alias("id"), F.col("component").alias("crowd"), "block", "blocks", F.coalesce("group", "node").alias("group"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = member.join(sets, "id").select("id", "crowd", "block", "group", "s", other)
+    placed = placed.select("id", "crowd", "block", "group", "s", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        _, low, high = (k.as_py() for k in key)
+        block, ids, group = rows["block"].to_numpy(), rows["id"].to_numpy(), rows["group"].to_numpy()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        both = _overlaps(rows["s"].combine_chunks(), left, right)
+        n = np.asarray(pc.list_value_length(rows["s"]).to_numpy())
+        linked = both >= similarity * (n[left][:, None] + n[right][None, :] - both)
+        root = {g: g for g in group.tolist()}
+
+        def top(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked & (group[left][:, None] != group[right][None, :]))), strict=True):
+            a, b = top(int(group[left[i]])), top(int(group[right[j]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[left[i]]), int(ids[right[j]])))
+        return pa.table({"u": pa.array([min(x) for x in out], pa.int64()), "v": pa.array([max(x) for x in out], pa.int64())})
+
+    found = written(placed.groupBy("crowd", "low", "high").applyInArrow(compare, "u long, v long"), "met")
+    for t in (parts, held, keys, crowds):
+        drop_written(t)
+    return found
+
+
+def _overlaps(sets: pa.Array, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Numbers of common members of the sets at `left` and at `right`; only members of two sets or more take part."""
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    owner = np.repeat(np.arange(len(sets)), np.asarray(pc.list_value_length(sets).to_numpy(zero_copy_only=False)))
+    _, member, count = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    use = count[member] > 1
+    owner, member = owner[use], (np.cumsum(count > 1) - 1)[member[use]]
+    order = np.argsort(member, kind="stable")
+    owner, member = owner[order], member[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for at in range(0, int(member[-1]) + 1 if len(member) else 0, width):
+        lo, hi = np.searchsorted(member, [at, at + width])
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[owner[lo:hi], member[lo:hi] - at] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles of at least `similarity`.
 
     Equal word sequences are collapsed first.  Candidates are fingerprints within three bits by the grid join, and
     fingerprints within WIDE_RADIUS of documents that share one of their smallest shingle hashes; all are verified
-    on the whole shingle sets.  Where one such hash is held by more than FEW documents, each is compared with the first
-    of them, linked ones step back, and the next round compares those left, until a round links nothing.
+    on the whole shingle sets.  Where more than FEW documents hold such a hash, they are compared in blocks.
     Texts without words are one group.  Rows with a null id are left out; of rows that repeat an id one text counts.
 
     One pass over the texts makes the sketches; a second reads the shingle sets of candidates only, and texts are
@@ -179,28 +243,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     pairs, crowded = _wide_candidates(sketches)
     pairs = written(pairs.unionByName(alike).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(crowded).distinct()
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(crowded.select("id")).distinct()
     wanted = id_side(wanted, "wanted")
     sets = rows.join(wanted, "id", "left_semi").select("id", words(F.col("text")).alias("w"))
     sets = written(sets.select("id", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("s")).dropDuplicates(["id"]), "sets")
     links = written(_verified(pairs, sets, similarity), "links")
-    good, left = links, sketches
-    for _ in range(max_rounds):
-        if crowded.isEmpty() or good.isEmpty():
-            break
-        # only holders of crowded keys that did not link have pairs left to form
-        after = written(left.join(crowded, "id", "left_semi").join(good.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "left")
-        old = [pairs, crowded] + ([left] if left is not sketches else [])
-        pairs, crowded = _wide_candidates(after)
-        good = written(_verified(pairs, sets, similarity), "links")
-        both = written(links.unionByName(good).distinct(), "links")
-        for t in [*old, links]:
-            drop_written(t)
-        left, links = after, both
+    if not crowded.isEmpty():
+        links = links.unionByName(_crowd_links(crowded, sets, links, similarity))
     parts = written(connected_components(links), "parts")
     named = heads.join(parts.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
     result = written(every.join(named, "same").select(F.col("id").alias(id_col), "component_id").distinct(), "near")
-    for t in (every, heads, prints, alike, sets, links, parts):
+    for t in (every, heads, prints, alike, pairs, crowded, sets, links, parts):
         drop_written(t)
     return result
 

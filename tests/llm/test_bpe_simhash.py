@@ -142,3 +142,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     kept = simhash_dedup.near_dedup(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(want.values())
     assert simhash_dedup.near_dedup(df.limit(0)).count() == 0
+
+
+def test_hub_with_a_middle_id_joins_its_copies(spark):
+    rng = random.Random(1)
+    base = [f"h{i}" for i in range(200)]
+    texts = []
+    for k in range(120):
+        copy = base[:]
+        for at in rng.sample(range(200), 3) if k != 60 else ():
+            copy[at] = f"x{k}.{at}"
+        texts.append(" ".join(copy))
+    want = brute_similar(dict(enumerate(texts)))
+    assert len(set(want.values())) == 1
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == want
