@@ -11,6 +11,7 @@ distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -111,18 +112,45 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 #: A pair at similarity 0.8 differs in about 9 bits, and in more than 22 with odds below 1 in 10,000.
 WIDE_RADIUS = 22
-#: Smallest shingle hashes of a text that candidates must share one of, documents up to which all pairs of one such hash
-#: are formed as rows, and documents of a block where more hold it.
-KEYS, FEW, BLOCK = 8, 32, 400
+#: Documents up to which all pairs of one key are formed as rows, and documents of a block where more hold it.
+FEW, BLOCK = 32, 400
+#: Documents whose shingles are counted to order keys, and the most shingles that are kept as frequent ones.  Any order
+#: of the shingles loses no pair; a good one only makes fewer candidates.
+SAMPLE, FREQUENT = 20_000, 200_000
 
 
-@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))]))
-def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Fingerprint, number of distinct shingles, and the KEYS smallest shingle hashes."""
-    for rows in batches:
-        sets = [np.unique(np.asarray(h, dtype=np.int64)) for h in rows]
-        prints = next(majority.func(iter([rows])))
-        yield pd.DataFrame({"fp": prints, "n": [len(x) for x in sets], "keys": [x[:KEYS] for x in sets]})
+def frequent_shingles(tokens: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that more than three documents of a sample hold, and those numbers; at most FREQUENT."""
+    whole = tokens.count()
+    part = tokens if whole <= SAMPLE else tokens.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < SAMPLE)
+    each = part.select(F.explode(F.array_distinct(shingle_hashes(F.col("w"), shingle))).alias("h"))
+    top = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def sketcher(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
+    """UDF of a text's shingle hashes: fingerprint, number of distinct shingles, and keys.
+
+    The keys are the first n - ceil(similarity * n) + 1 of n distinct shingles, rarest first, then by hash: two sets
+    at the similarity share at least ceil(similarity * n) for either n, so that their keys have one in common.
+    """
+    known, often = frequent
+
+    @F.pandas_udf(StructType([StructField("fp", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))]))
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sets = [np.unique(np.asarray(h, dtype=np.int64)) for h in rows]
+            keys = []
+            for x in sets:
+                take = len(x) - ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    x = x[np.argsort(np.where(known[at] == x, often[at], 0), kind="stable")]
+                keys.append(x[:take])
+            prints = next(majority.func(iter([rows])))
+            yield pd.DataFrame({"fp": prints, "n": [len(x) for x in sets], "keys": keys})
+
+    return sketch
 
 
 def segment_counts(fp: Column, bits: int = 8) -> Column:
@@ -220,8 +248,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles of at least `similarity`.
 
     Equal word sequences are collapsed first.  Candidates are fingerprints within three bits by the grid join, and
-    fingerprints within WIDE_RADIUS of documents that share one of their smallest shingle hashes; all are verified
-    on the whole shingle sets.  Where more than FEW documents hold such a hash, they are compared in blocks.
+    fingerprints within WIDE_RADIUS of documents that share one of their keys; all are verified
+    on the whole shingle sets.  Where more than FEW documents hold a key, they are compared in blocks.
     Texts without words are one group.  Rows with a null id are left out; of rows that repeat an id one text counts.
 
     One pass over the texts makes the sketches; a second reads the shingle sets of candidates only, and texts are
@@ -229,11 +257,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     tokens = rows.select("id", words(F.col("text")).alias("w"))
+    sketch = sketcher(frequent_shingles(tokens, shingle), similarity)
     made = tokens.select("id", F.md5(F.array_join("w", " ")).alias("same"), sketch(shingle_hashes(F.col("w"), shingle)).alias("s"))
     every = written(made.select("id", "same", "s.fp", "s.n", "s.keys"), "every")
-    firsts = every.groupBy("same").agg(F.min(F.struct("id", "fp", "n", "keys")).alias("f")).select("same", "f.*")
-    heads = written(firsts, "heads")
-    sketches = heads.where("n > 0").select("id", "fp", "keys").dropDuplicates(["id"])
+    heads = written(every.groupBy("same").agg(F.min(F.struct("id", "n")).alias("f")).select("same", "f.*"), "heads")
+    chosen = id_side(heads.where("n > 0").groupBy("id").agg(F.min("same").alias("same")), "chosen")
+    sketches = every.join(chosen, ["id", "same"], "left_semi").select("id", "fp", "n", "keys")
     # fingerprints that are equal or within three bits: each member meets the first of its own and of the other print
     prints = written(sketches.groupBy("fp").agg(F.min("id").alias("first")), "prints")
     near = hamming_links(prints.select("fp"))
@@ -253,7 +282,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     parts = written(connected_components(links), "parts")
     named = heads.join(parts.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
     result = written(every.join(named, "same").select(F.col("id").alias(id_col), "component_id").distinct(), "near")
-    for t in (every, heads, prints, alike, pairs, crowded, sets, links, parts):
+    for t in (every, heads, chosen, prints, alike, pairs, crowded, sets, links, parts):
         drop_written(t)
     return result
 

@@ -157,3 +157,16 @@ def test_hub_with_a_middle_id_joins_its_copies(spark):
     assert len(set(want.values())) == 1
     got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(frame(spark, texts)).collect()}
     assert got == want
+
+
+def test_pairs_that_share_a_frequent_passage_are_compared(spark):
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(160)]
+    own = [[f"d{d}.{i}" for i in range(40)] for d in range(60)]
+    # 60 documents, each with a partner at 0.8 or more, share three quarters of their words; other pairs stay below
+    texts = [" ".join(passage + w) for w in own] + [" ".join(passage + w[:-5]) for w in own]
+    rng.shuffle(texts)
+    want = brute_similar(dict(enumerate(texts)))
+    assert len(set(want.values())) == 60
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == want
