@@ -110,8 +110,6 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return prints.join(named, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: A pair at similarity 0.8 differs in about 9 bits, and in more than 22 with odds below 1 in 10,000.
-WIDE_RADIUS = 22
 #: Documents up to which all pairs of one key are formed as rows, and documents of a block where more hold it.
 FEW, BLOCK = 32, 400
 #: Documents whose shingles are counted to order keys, and the most shingles that are kept as frequent ones.  Any order
@@ -129,14 +127,14 @@ def frequent_shingles(tokens: DataFrame, shingle: int) -> tuple[np.ndarray, np.n
 
 
 def sketcher(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
-    """UDF of a text's shingle hashes: fingerprint, number of distinct shingles, and keys.
+    """UDF of a text's shingle hashes: number of distinct shingles, and keys.
 
     The keys are the first n - ceil(similarity * n) + 1 of n distinct shingles, rarest first, then by hash: two sets
     at the similarity share at least ceil(similarity * n) for either n, so that their keys have one in common.
     """
     known, often = frequent
 
-    @F.pandas_udf(StructType([StructField("fp", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))]))
+    @F.pandas_udf(StructType([StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))]))
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             sets = [np.unique(np.asarray(h, dtype=np.int64)) for h in rows]
@@ -147,34 +145,24 @@ def sketcher(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     x = x[np.argsort(np.where(known[at] == x, often[at], 0), kind="stable")]
                 keys.append(x[:take])
-            prints = next(majority.func(iter([rows])))
-            yield pd.DataFrame({"fp": prints, "n": [len(x) for x in sets], "keys": keys})
+            yield pd.DataFrame({"n": [len(x) for x in sets], "keys": keys})
 
     return sketch
 
 
-def segment_counts(fp: Column, bits: int = 8) -> Column:
-    """The embedding: bit counts of the 64 / bits segments."""
-    return F.array(*[F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1))) for at in range(0, 64, bits)])
-
-
-def manhattan(a: Column, b: Column) -> Column:
-    """Manhattan distance of two embeddings: never above the Hamming distance of the fingerprints."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
-
-
-def _wide_candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowded): pairs (u, v), u < v, that share a key with at most FEW holders, within WIDE_RADIUS, first by the
-    Manhattan bound and then exactly; and (key, id) of the keys with more holders."""
-    keyed = written(sketches.select("id", "fp", segment_counts(F.col("fp")).alias("seg"), F.explode("keys").alias("key")), "keyed")
+def _candidates(sketches: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded): pairs (u, v), u < v, that share a key with at most FEW holders and whose sizes allow the
+    similarity; and (key, id) of the keys with more holders."""
+    keyed = sketches.select("id", "n", F.explode("keys").alias("key"))
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "sizes")
-    few = keyed.join(sizes.where(F.col("holders") <= FEW).select("key"), "key")
-    a, b = few.select("key", F.col("id").alias("u"), F.col("fp").alias("fp_u"), F.col("seg").alias("seg_u")), few.select("key", F.col("id").alias("v"), F.col("fp").alias("fp_v"), F.col("seg").alias("seg_v"))
-    near = (F.col("u") < F.col("v")) & (manhattan(F.col("seg_u"), F.col("seg_v")) <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
-    pairs = written(a.join(b, "key").where(near).select("u", "v").distinct(), "pairs")
-    crowded = written(keyed.join(sizes.where(F.col("holders") > FEW).select("key"), "key").select("key", "id"), "crowded")
-    drop_written(keyed)
+    shared = written(keyed.join(sizes, "key"), "shared")
+    few = shared.where(F.col("holders") <= FEW)
+    a, b = few.select("key", F.col("id").alias("u"), F.col("n").alias("n_u")), few.select("key", F.col("id").alias("v"), F.col("n").alias("n_v"))
+    fits = (F.col("u") < F.col("v")) & (F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
+    pairs = written(a.join(b, "key").where(fits).select("u", "v").distinct(), "pairs")
+    crowded = written(shared.where(F.col("holders") > FEW).select("key", "id"), "crowded")
     drop_written(sizes)
+    drop_written(shared)
     return pairs, crowded
 
 
@@ -247,9 +235,8 @@ def _overlaps(sets: pa.Array, left: np.ndarray, right: np.ndarray, width: int =
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles of at least `similarity`.
 
-    Equal word sequences are collapsed first.  Candidates are fingerprints within three bits by the grid join, and
-    fingerprints within WIDE_RADIUS of documents that share one of their keys; all are verified
-    on the whole shingle sets.  Where more than FEW documents hold a key, they are compared in blocks.
+    Equal word sequences are collapsed first.  Candidates are documents that share one of their keys, which holds for
+    every pair at the similarity, so fingerprints are not asked; all are verified on the whole shingle sets.  Where more than FEW documents hold a key, they are compared in blocks.
     Texts without words are one group.  Rows with a null id are left out; of rows that repeat an id one text counts.
 
     One pass over the texts makes the sketches; a second reads the shingle sets of candidates only, and texts are
@@ -259,19 +246,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     tokens = rows.select("id", words(F.col("text")).alias("w"))
     sketch = sketcher(frequent_shingles(tokens, shingle), similarity)
     made = tokens.select("id", F.md5(F.array_join("w", " ")).alias("same"), sketch(shingle_hashes(F.col("w"), shingle)).alias("s"))
-    every = written(made.select("id", "same", "s.fp", "s.n", "s.keys"), "every")
+    every = written(made.select("id", "same", "s.n", "s.keys"), "every")
     heads = written(every.groupBy("same").agg(F.min(F.struct("id", "n")).alias("f")).select("same", "f.*"), "heads")
     chosen = id_side(heads.where("n > 0").groupBy("id").agg(F.min("same").alias("same")), "chosen")
-    sketches = every.join(chosen, ["id", "same"], "left_semi").select("id", "fp", "n", "keys")
-    # fingerprints that are equal or within three bits: each member meets the first of its own and of the other print
-    prints = written(sketches.groupBy("fp").agg(F.min("id").alias("first")), "prints")
-    near = hamming_links(prints.select("fp"))
-    own = sketches.join(prints, "fp").select(F.col("first").alias("u"), F.col("id").alias("v"))
-    other = near.join(prints.withColumnRenamed("fp", "u"), "u").select("v", F.col("first").alias("a")).join(prints.withColumnRenamed("fp", "v"), "v").select(F.least("a", "first").alias("u"), F.greatest("a", "first").alias("v"))
-    alike = written(own.unionByName(other).where("u < v").distinct(), "alike")
-
-    pairs, crowded = _wide_candidates(sketches)
-    pairs = written(pairs.unionByName(alike).distinct(), "pairs")
+    sketches = every.join(chosen, ["id", "same"], "left_semi").select("id", "n", "keys")
+    pairs, crowded = _candidates(sketches, similarity)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(crowded.select("id")).distinct()
     wanted = id_side(wanted, "wanted")
     sets = rows.join(wanted, "id", "left_semi").select("id", words(F.col("text")).alias("w"))
@@ -282,7 +261,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     parts = written(connected_components(links), "parts")
     named = heads.join(parts.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
     result = written(every.join(named, "same").select(F.col("id").alias(id_col), "component_id").distinct(), "near")
-    for t in (every, heads, chosen, prints, alike, pairs, crowded, sets, links, parts):
+    for t in (every, heads, chosen, pairs, crowded, sets, links, parts):
         drop_written(t)
     return result
 

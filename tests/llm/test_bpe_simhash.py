@@ -170,3 +170,15 @@ def test_pairs_that_share_a_frequent_passage_are_compared(spark):
     assert len(set(want.values())) == 60
     got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(frame(spark, texts)).collect()}
     assert got == want
+
+
+def test_a_line_repeated_often_does_not_part_near_copies(spark):
+    rng = random.Random(4)
+    texts = []
+    for k in range(20):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(base + base[20:32] * 100)]
+    want = brute_similar(dict(enumerate(texts)))
+    assert len(set(want.values())) == 20
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == want
