@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from dossierlake.functions.spans import let, regex_spans, span_list
 
 LOCAL = "[A-Za-z0-9._%+-]"
+#: Lengths of the national IBANs, by country code (registry of ISO 13616)
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+LISTED = "(?:" + "|".join(c for cs in IBAN.values() for c in cs.split()) + ")"
+FIXED = "|".join(rf"(?:{'|'.join(cs.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, cs in IBAN.items())
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   begins a run of local characters, or where the last match ended
     "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -20,8 +28,9 @@ PATTERNS = {
     # [0-9]([\x20-]?[0-9])+ of 13 or more digits
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # country, two check digits, 11 to 30 letters or digits in groups
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # country, two check digits, letters or digits in groups: as many as the country has, so that the words behind are
+    # left; 11 to 30 for a country without an entry, up to the start of a listed one
+    "iban": rf"(?<![A-Za-z0-9])(?:{FIXED}|(?!{LISTED})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]|\x20(?!{LISTED}[0-9]{{2}})[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 

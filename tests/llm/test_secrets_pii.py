@@ -74,6 +74,20 @@ def test_iban_and_context(spark):
     assert [s.score for s in row.ip] == [0.7, 0.4]
 
 
+def test_iban_before_capitals_and_numbers(spark):
+    rows = {
+        "DE89 3704 0044 0532 0130 00 Bitte zahlen": ["DE89 3704 0044 0532 0130 00"],
+        "DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+        "GB29NWBK60161331926819 The rest": ["GB29NWBK60161331926819"],
+        "DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 2024": ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"],
+        "é NO9386011117947 12": ["NO9386011117947"],
+        "DE89 3704 0044 0532 0130 001": [],
+    }
+    got = {r.doc_id: [(s.start, s.match) for s in r.iban] for r in pii.find_pii(frame(spark, list(rows))).collect()}
+    for i, (text, want) in enumerate(rows.items()):
+        assert got[i] == [(text.index(w), w) for w in want], text
+
+
 def test_random_strings_are_added_and_words_are_not(spark):
     rng = random.Random(11)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
