@@ -1,7 +1,8 @@
 """Benchmark leaks: SimHash over item-sized windows, multi-index Hamming blocks, exact shingle similarity.
 
 DataFrame functions only.  Similarity is the weighted Jaccard of two bags of five-word shingles (a shingle weighs as
-often as it occurs): sum of minima over sum of maxima.  A window has as many words as the item.
+often as it occurs): sum of minima over sum of maxima.  A window has as many words as the item; a document with fewer
+words than the item is one window of its own length.
 
 1. Seeds.  A window and an item of n shingles each that reach similarity t share at least 2nt/(1+t) of them, so at
    most a few positions of the window hold a shingle foreign to the item.  It is then enough to look up every k-th
@@ -10,7 +11,7 @@ often as it occurs): sum of minima over sum of maxima.  A window has as many wor
 2. Windows of the item's size around the seeds that share enough shingles get a 64-bit SimHash.
 3. Fingerprints are cut into radius + 1 blocks; two within the radius agree in one block at least, so an equality join
    on (size, block, value) finds them all.
-4. Pairs within the radius are verified by the exact weighted similarity.
+4. Pairs within the radius are verified by the exact weighted similarity; short whole documents are verified at once.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ def _hashes(tokens: Column, step: int = 1) -> Column:
 
 def _needed(n: Column, threshold: float) -> Column:
     """Least number of shared shingles of two bags of n each that reach the threshold."""
-    return F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9).cast("int")
+    return _needed_of(2 * n, threshold)
+
+
+def _needed_of(total: Column, threshold: float) -> Column:
+    """The same for two bags of `total` together."""
+    return F.ceil(total * (threshold / (1 + threshold)) - 1e-9).cast("int")
 
 
 def simhash(hashes: Column) -> Column:
@@ -98,20 +104,22 @@ def find_leaks(
     items = benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("w"))
     items = items.select("item", F.size("w").alias("n_words"), _hashes(F.col("w")).alias("item_h")).where(F.size("item_h") > 0)
     items = items.withColumn("n", F.size("item_h"))
-    # what a window may lack, and for each stride k the looked-up positions that are then left at the least
-    slack = F.col("n") - _needed(F.col("n"), threshold)
-    facts = items.agg(F.sum("n").alias("rows"), *[F.min(F.floor(F.col("n") / k) - slack).alias(f"left_{k}") for k in (2, 3, 4)]).first()
+    # for each stride k the looked-up positions that are left at the least of what a window (of n shingles, or fewer
+    # where it is a short document) may lack
+    sizes = F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.col("n"))
+    left = lambda k: F.array_min(F.transform(sizes, lambda m: F.floor(m / k).cast("int") - (m - _needed_of(m + F.col("n"), threshold))))
+    facts = items.agg(F.sum("n").alias("rows"), *[F.min(left(k)).alias(f"left_{k}") for k in (2, 3, 4)]).first()
     step = max([1, *(k for k in (2, 3, 4) if (facts[f"left_{k}"] or 0) >= 1)])
     small = F.broadcast if (facts["rows"] or 0) <= BROADCAST_ROWS else (lambda df: df)
 
     seeds = items.select("item", "n", F.explode(F.array_distinct("item_h")).alias("h"))
     tokens = docs.select(F.col(id_col).alias("id"), words(F.col(text)).alias("w"))
-    lookups = tokens.select("id", "w", F.posexplode(_hashes(F.col("w"), step)).alias("i", "h"))
+    lookups = tokens.select("id", "w", (F.size("w") - SHINGLE + 1).alias("doc_n"), F.posexplode(_hashes(F.col("w"), step)).alias("i", "h"))
     hits = lookups.join(small(seeds), "h").withColumn("p", F.col("i") * step)
     # words of the windows that may hold position p
     first = F.greatest(F.col("p") - F.col("n") + 1, F.lit(0))
-    around = hits.select("id", "item", "p", first.alias("at"), F.slice("w", first + 1, F.col("p") - first + F.col("n") + SHINGLE - 1).alias("w"))
-    around = around.select("id", "item", "p", "at", _hashes(F.col("w")).alias("h")).join(small(items), "item")
+    around = hits.select("id", "item", "p", "doc_n", first.alias("at"), F.slice("w", first + 1, F.col("p") - first + F.col("n") + SHINGLE - 1).alias("w"))
+    around = around.select("id", "item", "p", "doc_n", "at", _hashes(F.col("w")).alias("h")).join(small(items), "item")
     member = around.withColumn("m", F.transform("h", lambda x: F.array_contains("item_h", x)))
     starts = F.when(F.size("h") >= F.col("n"), F.sequence(F.lit(0), F.size("h") - F.col("n"))).otherwise(F.array().cast("array<int>"))
     # enough shared shingles, and p the first looked-up member: each window is built once
@@ -133,7 +141,15 @@ def find_leaks(
     scored = near.select("id", "item", "n_words", "start_word", "n", both.alias("both"))
     scored = scored.where(F.col("both") >= _needed(F.col("n"), threshold))
     scored = scored.withColumn("similarity", F.col("both") / (2 * F.col("n") - F.col("both")))
-    best = scored.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"), "n_words")).alias("b"))
+    # a document shorter than the item: `h` is all of it, and one of its looked-up members is enough
+    short = member.where((F.size("h") < F.col("n")) & (F.size("h") == F.col("doc_n"))).select("id", "item", "n", "item_h", "h", "m", "p")
+    again = F.exists(F.sequence(F.lit(0), F.col("p")), lambda j: F.get("m", j) & (j % step == 0) & (j < F.col("p")))
+    total = F.size("h") + F.col("n")
+    short = short.where(~again & (F.size(F.filter("m", lambda y: y)) >= _needed_of(total, threshold)))
+    short = short.select("id", "item", (F.size("h") + SHINGLE - 1).alias("n_words"), F.lit(0).alias("start_word"), total.alias("total"), shared(F.col("h"), F.col("item_h")).alias("both"))
+    short = short.where(F.col("both") >= _needed_of(F.col("total"), threshold)).withColumn("similarity", F.col("both") / (F.col("total") - F.col("both")))
+    columns = ["id", "item", "n_words", "start_word", "similarity"]
+    best = scored.select(columns).unionByName(short.select(columns)).groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"), "n_words")).alias("b"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_id), F.round("b.similarity", 6).alias("similarity"), (-F.col("b.back")).alias("start_word"), "b.n_words"
     )

@@ -74,3 +74,18 @@ def test_drop_leaks_and_empty(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({a for a, _ in docs} - {a for a, _ in got})
     assert dec.find_leaks(d.limit(0), b).count() == 0 and dec.find_leaks(d, b.limit(0)).count() == 0
     assert dec.drop_leaks(d, b.limit(0)).count() == len(docs)
+
+
+def test_an_item_cut_by_one_word_is_a_whole_document(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (9, 15, 30, 59)]
+    docs, want = [], {}
+    for n, text in items:
+        w = text.split()
+        for at, cut in enumerate((w[:-1], w[1:], w[: n // 2] + w[n // 2 + 1 :], w[: n // 2])):
+            same = sum(cut[i : i + 5] in [w[k : k + 5] for k in range(n - 4)] for i in range(len(cut) - 4))
+            similarity = same / (max(len(cut) - 4, 0) + n - 4 - same)
+            docs.append((n * 10 + at, " ".join(cut)))
+            if similarity >= 0.8:
+                want[n * 10 + at, n] = (round(similarity, 6), 0)
+    _, _, got = run(spark, docs, items)
+    assert got == want and len(want) >= 8
