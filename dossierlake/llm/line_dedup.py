@@ -2,7 +2,9 @@
 
 1. Documents overlap where they share a line.  A rare line (held by few documents) pairs each holder with every
    earlier one; a common line pairs each holder with the earliest, so that pairs stay linear in lines however many
-   documents hold it and each repeated line still meets its first holder.
+   documents hold it and each repeated line still meets its first holder.  A run of adjacent common lines that is just
+   long enough to be a block also pairs each holder with the earliest holder of the run, since its lines may each have
+   stood alone in some earlier document.
 2. For each pair all lines that both hold are brought together and aligned by patience diff: lines that occur once on
    either side, longest increasing run of them, and the same again between those anchors.
 3. Runs of aligned lines that stand together on both sides are blocks; blocks of at least `min_words` words are
@@ -13,11 +15,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from dossierlake.llm.common import drop_written, written
 
@@ -90,11 +93,50 @@ def common_blocks(later: list, earlier: list, words: list, raw: list, min_words:
     return out
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def run_hashes(at: list[int], keys: list[int], words: list[int], min_words: int) -> list[bytes]:
+    """Hashes of the shortest runs of adjacent lines with min_words words, from each line on and up to each line.
+
+    Together they cover every line of a longer block.  at: sorted positions; keys and words: their lines.
+    """
+    out, n = set(), len(at)
+    for step in (1, -1):
+        lo, size = 0, 0
+        order = range(n)[::step]
+        for k, x in enumerate(order):
+            if k and at[x] != at[order[k - 1]] + step:
+                lo, size = k, 0
+            size += words[x]
+            while size >= min_words:
+                a, b = sorted((order[lo], x))
+                out.add((a, b))
+                size -= words[order[lo]]
+                lo += 1
+    return list({blake2b(b"".join(k.to_bytes(8, "little", signed=True) for k in keys[a : b + 1]), digest_size=16).digest() for a, b in out})
+
+
+def _run_pairs(common: DataFrame, min_words: int) -> DataFrame:
+    """(id, earlier): each holder of a run of common lines with the run's first holder."""
+
+    @F.pandas_udf(ArrayType(BinaryType()))
+    def runs(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for at, keys, words in batches:
+            yield pd.Series([run_hashes(a.tolist(), k.tolist(), w.tolist(), min_words) for a, k, w in zip(at, keys, words, strict=True)], dtype=object)
+
+    each = common.select("id", F.explode("spots.at").alias("at"), F.xxhash64("key").alias("key"), "words")
+    lines = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "key", "words"))).alias("x"), F.sum("words").alias("size")).where(F.col("size") >= min_words)
+    held = written(lines.select("id", F.explode(runs(F.col("x.at"), F.col("x.key"), F.col("x.words"))).alias("run")), "runs")
+    firsts = written(held.groupBy("run").agg(F.min("id").alias("earlier"), F.count("*").alias("n")).where("n > 1").select("run", "earlier"), "firsts")
+    pairs = written(held.join(firsts, "run").where("earlier < id").select("id", "earlier").distinct(), "run-pairs")
+    drop_written(held)
+    drop_written(firsts)
+    return pairs
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, rare: int = RARE, runs: bool = False) -> DataFrame:
     """(id, removed): for each document with something to delete, its line numbers (from 0), sorted.
 
     Lines end at a newline, are compared without surrounding white space and by 128-bit digests; blank lines neither
-    match nor part a block.  Null ids take no part; rows that repeat an id count as one document.
+    match nor part a block.  With `runs`, holders of a run of common lines also meet its first holder.  Null ids take no part; rows that repeat an id count as one document.
     """
     split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(F.col(text), "\n", -1).alias("lines"))
     numbered = split.select("id", "lines", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"\S")).alias("raws"))
@@ -108,6 +150,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     few = shared.where(F.col("holders") <= rare).select("id", "key")
     pairs = few.join(few.withColumnRenamed("id", "earlier"), "key").where("earlier < id").select("id", "earlier")
     pairs = pairs.unionByName(shared.where((F.col("holders") > rare) & (F.col("first") < F.col("id"))).select("id", F.col("first").alias("earlier")))
+    in_runs = [_run_pairs(shared.where(F.col("holders") > rare), min_words)] if runs else []
+    for p in in_runs:
+        pairs = pairs.unionByName(p)
     pairs = written(pairs.distinct(), "pairs")
 
     lines = shared.select("id", "key", "spots", "words")
@@ -126,7 +171,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     gone = met.select("id", deleted(F.col("m.l"), F.col("m.r"), F.col("m.e"), F.col("m.w")).alias("gone")).where(F.size("gone") > 0)
     result = gone.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
     result = written(result.select(F.col("id").alias(id_col), "removed"), "removed")
-    for t in (held, counts, shared, pairs, later):
+    for t in (held, counts, shared, *in_runs, pairs, later):
         drop_written(t)
     return result
 
@@ -138,7 +183,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
     repeats keep their text byte for byte.  A column removed_lines is replaced.
     """
     docs = docs.drop("removed_lines")
-    gone = repeated_lines(docs, text, id_col, min_words, rare).withColumnsRenamed({id_col: "_gone_id", "removed": "removed_lines"})
+    gone = repeated_lines(docs, text, id_col, min_words, rare, runs=True).withColumnsRenamed({id_col: "_gone_id", "removed": "removed_lines"})
     joined = docs.join(gone, docs[id_col] == gone["_gone_id"], "left").drop("_gone_id")
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
     return joined.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(left))

@@ -116,3 +116,14 @@ def test_first_holder_keeps_a_passage_and_clean_documents_stay(spark):
     assert got[100].n_removed == got[101].n_removed == 0
 
 
+def test_a_passage_of_lines_that_stood_alone_before(spark):
+    lines = [" ".join(f"p{k}x{i}" for i in range(10)) for k in range(6)]
+    rows = [(i, f"own {i}\n{lines[i % 6]}\nend {i}") for i in range(100)] + [(i, f"own {i}\n" + "\n".join(lines) + f"\nend {i}") for i in range(100, 174)]
+    got = {r.id: r.removed for r in ld.repeated_lines(spark.createDataFrame(rows, "id long, text string"), id_col="id", runs=True).collect()}
+    assert got == {i: [1, 2, 3, 4, 5, 6] for i in range(101, 174)}
+
+
+def test_runs_cover_every_line_of_a_block():
+    words = [30, 5, 30, 2, 60, 1, 1]
+    assert len(ld.run_hashes(list(range(7)), list(range(7)), words, 50)) == 8  # lines 0-2, 1-4, 2-4, 3-4 and 4 forward; 4-6, 4-5 and 0-3 backward
+    assert ld.run_hashes([0, 2], [1, 2], [30, 30], 50) == []
