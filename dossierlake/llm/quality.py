@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SHAPES, WORDS = 2_048, 2_048
 REPEATED_WORD, REPEATED_LINE, EXTRA = SHAPES + WORDS, SHAPES + WORDS + 1, 2
@@ -99,7 +100,7 @@ class Model:
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(texts), 256):
             cosine = unit[a : a + 256] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** 8
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
@@ -107,6 +108,16 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """(rows, k): columns of the k greatest of each row; of equal ones at the end the first in sample order."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+        over, tied = np.flatnonzero(cosine[i] > least[i]), np.flatnonzero(cosine[i] == least[i])
+        near[i] = np.concatenate([over, tied[: k - len(over)]])
+    return near
+
+
 def fit(rows: list[tuple[list[int], list[float]]], labels: list[int], rank: int, neighbours: int, seed: int = 5) -> Model:
     """Latent model of the sample by a randomized singular value decomposition."""
     dense = np.zeros((len(rows), WIDTH), dtype=np.float32)
@@ -140,6 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4_000, rank: int = 4
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("_label"))
     chosen = usable.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, text).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col("_label").cast("int").alias("label"))
+    # of rows that repeat an id one text counts, chosen before anything is collected
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,25 +164,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4_000, rank: int = 4
 
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, label int, slots array<long>, vals array<double>").collect()
-    got = list({r["id"]: r for r in sorted(got, key=lambda r: (r["id"], r["slots"]))}.values())
+    got.sort(key=lambda r: r["id"])
     return fit([(r["slots"], r["vals"]) for r in got], [r["label"] for r in got], rank, neighbours)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs plus a score from 0 to 1 of every whole text, higher where label 1 is likelier; replaces a column `out`.
 
-    Only the text enters the score.  Null and empty texts get the share of label 1 in the sample, and 0.5 if that is
-    empty.  Repeated rows keep their rows; an empty table stays empty.
+    Only the text enters the score, and only the text goes to Python.  Null and empty texts get the share of label 1
+    in the sample, and 0.5 if that is empty.  Repeated rows keep their rows; an empty table stays empty.
     """
-    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = shared.value.scores(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.scores(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"]))
+    return docs.drop(out).withColumn(out, score(F.col(text)))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

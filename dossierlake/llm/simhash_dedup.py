@@ -11,6 +11,7 @@ distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -112,83 +113,169 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 #: Documents up to which all pairs of one key are formed as rows, and documents of a block where more hold it.
 FEW, BLOCK = 32, 400
-#: Documents whose shingles are counted to order keys, and the most shingles that are kept as frequent ones.  Any order
-#: of the shingles loses no pair; a good one only makes fewer candidates.
-SAMPLE, FREQUENT = 20_000, 200_000
+#: One document of SHARE is counted to order the shingles, and at most FREQUENT of them are kept as frequent ones.  Any
+#: order loses no pair; a good one makes fewer candidates.
+SHARE, FREQUENT = 16, 200_000
+#: Bits of a set's parity vector.
+PARITY = 1024
 
 
 def frequent_shingles(tokens: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that more than three documents of a sample hold, and those numbers; at most FREQUENT."""
-    whole = tokens.count()
-    part = tokens if whole <= SAMPLE else tokens.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < SAMPLE)
+    """Sorted hashes of the shingles that more than three documents of a sample hold, and those numbers; at most FREQUENT."""
+    part = tokens.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)
     each = part.select(F.explode(F.array_distinct(shingle_hashes(F.col("w"), shingle))).alias("h"))
     top = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
     return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
 def sketcher(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
-    """UDF of a text's shingle hashes: number of distinct shingles, and keys.
+    """UDF of a text's shingle hashes: number of distinct shingles, their SimHash, their parity vector, and keys.
 
     The keys are the first n - ceil(similarity * n) + 1 of n distinct shingles, rarest first, then by hash: two sets
     at the similarity share at least ceil(similarity * n) for either n, so that their keys have one in common.
+    A bit of the parity vector tells whether an odd number of shingles falls on it; two vectors differ in no more bits
+    than the sets differ in members.
     """
     known, often = frequent
 
-    @F.pandas_udf(StructType([StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))]))
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            sets = [np.unique(np.asarray(h, dtype=np.int64)) for h in rows]
-            keys = []
-            for x in sets:
-                take = len(x) - ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    x = x[np.argsort(np.where(known[at] == x, often[at], 0), kind="stable")]
-                keys.append(x[:take])
-            yield pd.DataFrame({"n": [len(x) for x in sets], "keys": keys})
+    @F.arrow_udf(StructType([StructField("n", IntegerType()), StructField("fp", LongType()), StructField("odd", ArrayType(LongType())), StructField("keys", ArrayType(LongType()))]))
+    def sketch(hashes: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False))
+        flat = hashes.flatten().to_numpy(zero_copy_only=False)
+        sizes, prints, odd, keys = [], np.zeros(len(hashes), dtype=np.int64), np.zeros((len(hashes), PARITY // 8), dtype=np.uint8), []
+        for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            x = np.unique(flat[a:b])
+            sizes.append(len(x))
+            if not len(x):
+                keys.append(x)
+                continue
+            ones = sum(np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(x), 1 << 16))
+            prints[i] = np.packbits(ones * 2 > len(x), bitorder="little").view("<i8")[0]
+            odd[i] = np.packbits(np.bincount(x & (PARITY - 1), minlength=PARITY) & 1)
+            take = len(x) - ceil(similarity * len(x) - 1e-9) + 1
+            if len(known):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                x = x[np.argsort(np.where(known[at] == x, often[at], 0), kind="stable")]
+            keys.append(x[:take])
+        lists = lambda flat, counts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+        parity = lists(odd.view("<i8").ravel(), np.full(len(hashes), PARITY // 64))
+        keyed = lists(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), [len(k) for k in keys])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(prints), parity, keyed], names=["n", "fp", "odd", "keys"])
 
     return sketch
 
 
-def _candidates(sketches: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowded): pairs (u, v), u < v, that share a key with at most FEW holders and whose sizes allow the
-    similarity; and (key, id) of the keys with more holders."""
-    keyed = sketches.select("id", "n", F.explode("keys").alias("key"))
+def _shared_keys(sketches: DataFrame) -> DataFrame:
+    """(key, node, n, holders) of the keys that several nodes have: counted by partial sums, then joined back."""
+    keyed = sketches.select("node", "n", F.explode("keys").alias("key"))
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "sizes")
     shared = written(keyed.join(sizes, "key"), "shared")
-    few = shared.where(F.col("holders") <= FEW)
-    a, b = few.select("key", F.col("id").alias("u"), F.col("n").alias("n_u")), few.select("key", F.col("id").alias("v"), F.col("n").alias("n_v"))
-    fits = (F.col("u") < F.col("v")) & (F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
-    pairs = written(a.join(b, "key").where(fits).select("u", "v").distinct(), "pairs")
-    crowded = written(shared.where(F.col("holders") > FEW).select("key", "id"), "crowded")
     drop_written(sizes)
-    drop_written(shared)
-    return pairs, crowded
+    return shared
 
 
-def _crowd_links(crowded: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Links that join all documents which share a crowded key and reach the similarity, beyond those in `links`.
+def _fits(similarity: float) -> Column:
+    return F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")
 
-    Keys whose holders are one group already have nothing to add.  Documents that share any other key, directly or
-    through others, are a crowd; each crowd is compared once, whole, in pairs of blocks, a task each, so that no pair
-    is left out and no row is made for a pair: a task hands on one edge for each two groups that it joins.
-    """
+
+def _first_pairs(heads: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs within three bits of each other's SimHash, and each holder of a key with the key's first one."""
+    prints = written(heads.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    near = hamming_links(prints)
+    ends = [prints.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "uv"]
+    near = near.join(ends[0], "u").join(ends[1], "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    equal = heads.join(prints, "fp").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    firsts = written(shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("f")), "firsts")
+    star = shared.join(firsts, "key").select(F.col("f.node").alias("u"), F.col("f.n").alias("n_u"), F.col("node").alias("v"), F.col("n").alias("n_v"))
+    every = near.unionByName(equal).unionByName(star.where(_fits(similarity)).select("u", "v"))
+    pairs = written(every.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "first-pairs")
+    drop_written(prints)
+    drop_written(firsts)
+    return pairs
+
+
+def _possible(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose sizes and parity vectors leave the similarity possible; no pair that reaches it is lost."""
+    side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    total = F.col("n_u") + F.col("n_v")
+    least = F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
+    differ = F.aggregate(F.zip_with("odd_u", "odd_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return written(both.where(_fits(similarity) & (differ <= total - 2 * least)).select("u", "v"), "possible")
+
+
+def _sets(rows: DataFrame, heads: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): whole shingle sets of some nodes, from their texts."""
+    wanted = id_side(heads.join(nodes.distinct(), "node", "left_semi").select("id", "body", "node"), "wanted")
+    kept = rows.join(wanted, ["id", "body"]).select("node", words(F.col("text")).alias("w"))
+    sets = written(kept.select("node", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("s")).dropDuplicates(["node"]), "sets")
+    drop_written(wanted)
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets have a Jaccard similarity of at least `similarity`."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    met = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("m"), (F.size("su") + F.size("sv")).alias("t"))
+    return written(met.where(F.col("m") >= similarity * (F.col("t") - F.col("m"))).select("u", "v"), "links")
+
+
+def _open_keys(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """shared plus `group`, of the keys whose holders are not one group yet."""
     parts = written(connected_components(links), "parts")
-    held = written(crowded.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("group")), "held")
-    keys = written(held.groupBy("key").agg(F.min("id").alias("first"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key", "first"), "open")
-    crowds = written(connected_components(held.join(keys, "key").select(F.col("first").alias("u"), F.col("id").alias("v"))), "crowds")
-    sizes = crowds.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = crowds.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.join(parts.select("node", F.col("component").alias("group")), "node", "left")
-    member = member.select(F.col("node").alias("id"), F.col("component").alias("crowd"), "block", "blocks", F.coalesce("group", "node").alias("group"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = member.join(sets, "id").select("id", "crowd", "block", "group", "s", other)
-    placed = placed.select("id", "crowd", "block", "group", "s", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        _, low, high = (k.as_py() for k in key)
-        block, ids, group = rows["block"].to_numpy(), rows["id"].to_numpy(), rows["group"].to_numpy()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    held = written(shared.join(parts, "node", "left").select("key", "node", "n", "holders", F.coalesce("component", "node").alias("group")), "held")
+    keys = written(held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"), "open-keys")
+    rows = written(held.join(keys, "key"), "open")
+    for t in (parts, held, keys):
+        drop_written(t)
+    return rows
+
+
+def _few_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), u < v: all pairs of different groups that share a key of at most FEW holders."""
+    few = rows.where(F.col("holders") <= FEW)
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "group")]) for x in "uv")
+    pairs = a.join(b, "key").where((F.col("node_u") < F.col("node_v")) & (F.col("group_u") != F.col("group_v")) & _fits(similarity))
+    return written(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "pairs")
+
+
+def _cells_that_meet(member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(placed, sides): each member's cell, and the cells of each comparison.
+
+    A crowd's members are parted by size (a factor of 1 / similarity a step, so that only neighbouring steps can be
+    similar), then by group where it has BLOCK members or more (a group is not compared with itself), then by chance
+    into blocks of about BLOCK.
+    """
+    big = member.groupBy("crowd", "step", "group").count().where(F.col("count") >= BLOCK).select("crowd", "step", "group", F.col("group").alias("lot"))
+    member = member.join(big, ["crowd", "step", "group"], "left").withColumn("lot", F.coalesce("lot", F.lit(-1)))
+    counts = member.groupBy("crowd", "step", "lot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = written(member.join(counts, ["crowd", "step", "lot"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
+    cells = counts.select("crowd", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "step", "lot")
+    a, b = (cells.select("crowd", F.struct("step", "lot", "block").alias(x)) for x in "ab")
+    meets = a.join(b, "crowd").where("a <= b and b.step - a.step <= 1 and not (a.lot = b.lot and a.lot >= 0)")
+    meets = written(meets.withColumn("unit", F.monotonically_increasing_id()), "meets")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(2).alias("side"), F.col("a").alias("c"))))
+    sides = sides.otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("c")), F.struct(F.lit(1).alias("side"), F.col("b").alias("c"))))
+    return placed, meets.select("unit", "crowd", F.explode(sides).alias("x")).select("unit", "crowd", "x.side", "x.c.step", "x.c.lot", "x.c.block")
+
+
+def _crowd_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between different groups among the holders of crowded keys.
+
+    Documents that share a crowded key, directly or through others, are a crowd; each crowd is compared once, whole,
+    in pairs of blocks, a task each, so that no pair is left out and no row is made for a pair: a task hands on one
+    edge for each two groups that it joins.
+    """
+    firsts = rows.groupBy("key").agg(F.min("node").alias("first"))
+    crowds = written(connected_components(rows.join(firsts, "key").select(F.col("first").alias("u"), F.col("node").alias("v"))), "crowds")
+    member = rows.select("node", "n", "group").distinct().join(crowds.withColumnRenamed("component", "crowd"), "node")
+    member = member.withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.0001 / similarity))).cast("int"))
+    placed, sides = _cells_that_meet(member)
+    placed = placed.join(sides, ["crowd", "step", "lot", "block"]).join(sets, "node").select("unit", "side", "node", "group", "s")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        side, ids, group = rows["side"].to_numpy(), rows["node"].to_numpy(), rows["group"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         both = _overlaps(rows["s"].combine_chunks(), left, right)
         n = np.asarray(pc.list_value_length(rows["s"]).to_numpy())
         linked = both >= similarity * (n[left][:, None] + n[right][None, :] - both)
@@ -208,9 +295,8 @@ def _crowd_links(crowded: DataFrame, sets: DataFrame, links: DataFrame, similari
                 out.append((int(ids[left[i]]), int(ids[right[j]])))
         return pa.table({"u": pa.array([min(x) for x in out], pa.int64()), "v": pa.array([max(x) for x in out], pa.int64())})
 
-    found = written(placed.groupBy("crowd", "low", "high").applyInArrow(compare, "u long, v long"), "met")
-    for t in (parts, held, keys, crowds):
-        drop_written(t)
+    found = written(placed.groupBy("unit").applyInArrow(compare, "u long, v long"), "met")
+    drop_written(crowds)
     return found
 
 
@@ -232,52 +318,76 @@ def _overlaps(sets: pa.Array, left: np.ndarray, right: np.ndarray, width: int =
     return out
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles of at least `similarity`.
-
-    Equal word sequences are collapsed first.  Candidates are documents that share one of their keys, which holds for
-    every pair at the similarity, so fingerprints are not asked; all are verified on the whole shingle sets.  Where more than FEW documents hold a key, they are compared in blocks.
-    Texts without words are one group.  Rows with a null id are left out; of rows that repeat an id one text counts.
+def _groups(docs: DataFrame, text: str, id_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, body, first_id, first_body) of every row with an id: itself and the first document of its group.
 
-    One pass over the texts makes the sketches; a second reads the shingle sets of candidates only, and texts are
-    shuffled only where the candidates are too many to broadcast their ids.  Tables written on the way are deleted as soon as the next one is there.
+    A document is an id and a text; `body` is the hash of the text, so that rows that repeat an id with another text
+    are documents of their own, and rows that repeat both are one.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    tokens = rows.select("id", words(F.col("text")).alias("w"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.col(text).alias("text"))
+    tokens = rows.select("id", "body", words(F.col("text")).alias("w"))
     sketch = sketcher(frequent_shingles(tokens, shingle), similarity)
-    made = tokens.select("id", F.md5(F.array_join("w", " ")).alias("same"), sketch(shingle_hashes(F.col("w"), shingle)).alias("s"))
-    every = written(made.select("id", "same", "s.n", "s.keys"), "every")
-    heads = written(every.groupBy("same").agg(F.min(F.struct("id", "n")).alias("f")).select("same", "f.*"), "heads")
-    chosen = id_side(heads.where("n > 0").groupBy("id").agg(F.min("same").alias("same")), "chosen")
-    sketches = every.join(chosen, ["id", "same"], "left_semi").select("id", "n", "keys")
-    pairs, crowded = _candidates(sketches, similarity)
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(crowded.select("id")).distinct()
-    wanted = id_side(wanted, "wanted")
-    sets = rows.join(wanted, "id", "left_semi").select("id", words(F.col("text")).alias("w"))
-    sets = written(sets.select("id", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("s")).dropDuplicates(["id"]), "sets")
-    links = written(_verified(pairs, sets, similarity), "links")
+    made = tokens.select("id", "body", F.unhex(F.md5(F.array_join("w", " "))).alias("same"), sketch(shingle_hashes(F.col("w"), shingle)).alias("s"))
+    every = written(made.select(F.monotonically_increasing_id().alias("node"), "id", "body", "same", "s.n", "s.fp", "s.odd", "s.keys"), "every")
+    # one row for each word sequence; its number is the node
+    heads = written(every.groupBy("same").agg(F.min(F.struct("id", "body", "node", "n", "fp", "odd")).alias("f")).select("same", "f.*"), "heads")
+    some = heads.where("n > 0")
+    chosen = id_side(some.select("node"), "chosen")
+    shared = _shared_keys(every.join(chosen, "node", "left_semi").select("node", "n", "keys"))
+
+    first = _first_pairs(some, shared, similarity)
+    possible = _possible(first, some, similarity)
+    sets = _sets(rows, some, possible.select(F.explode(F.array("u", "v")).alias("node")), shingle)
+    links = [_verified(possible, sets, similarity)]
+    done = [chosen, first, possible, sets]
+
+    still = _open_keys(shared, links[0])
+    pairs = _few_pairs(still, similarity)
+    possible = _possible(pairs, some, similarity)
+    crowded = written(still.where(F.col("holders") > FEW), "crowded")
+    needed = possible.select(F.explode(F.array("u", "v")).alias("node")).unionByName(crowded.select("node"))
+    sets = _sets(rows, some, needed, shingle)
+    links.append(_verified(possible, sets, similarity))
     if not crowded.isEmpty():
-        links = links.unionByName(_crowd_links(crowded, sets, links, similarity))
-    parts = written(connected_components(links), "parts")
-    named = heads.join(parts.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
-    result = written(every.join(named, "same").select(F.col("id").alias(id_col), "component_id").distinct(), "near")
-    for t in (every, heads, chosen, pairs, crowded, sets, links, parts):
+        links.append(_crowd_links(crowded, sets, similarity))
+    done += [still, pairs, possible, crowded, sets, shared]
+
+    parts = written(connected_components(reduce(DataFrame.unionByName, links)), "parts")
+    named = heads.join(parts, "node", "left").select("same", "id", "body", F.coalesce("component", "node").alias("group"))
+    firsts = named.groupBy("group").agg(F.min(F.struct("id", "body")).alias("f"))
+    named = named.join(firsts, "group").select("same", F.col("f.id").alias("first_id"), F.col("f.body").alias("first_body"))
+    result = written(every.join(named, "same").select("id", "body", "first_id", "first_body").distinct(), "near")
+    for t in (*done, *links, every, heads, parts):
         drop_written(t)
     return result
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard similarity of at least `similarity`."""
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    met = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("m"), (F.size("su") + F.size("sv")).alias("t"))
-    return met.where(F.col("m") >= similarity * (F.col("t") - F.col("m"))).select("u", "v")
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles of at least `similarity`.
+
+    1. Equal word sequences are collapsed.
+    2. SimHash fingerprints of the distinct shingles that the segment-popcount grid finds within three bits are
+       candidates; so is each holder of a key (a prefix of the shingles, rarest first) with the key's first holder.
+    3. A fingerprint at three bits does not find all pairs at the similarity, keys do.  So wherever the holders of a
+       key are not one group yet, all pairs of different groups are candidates too: as rows where at most FEW hold
+       it, in blocks, a task each, where more do.
+    4. Candidates pass a lossless bound (sizes, and parity vectors, whose Manhattan distance never exceeds that of the
+       sets), and are verified on the whole shingle sets.
+
+    Texts without words are one group.  Rows with a null id are left out; rows that repeat an id with another text are
+    documents of their own.  An empty table gives no rows.
+    """
+    groups = _groups(docs, text, id_col, shingle, similarity)
+    return groups.select(F.col("id").alias(id_col), F.col("first_id").alias("component_id")).distinct()
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each near-duplicate group: that with the group's smallest id; columns unchanged.
+    """docs with one document of each near-duplicate group: that with the smallest id; columns unchanged.
 
-    Rows that repeat the id that stays all stay, and so do rows with a null id.
+    Rows that repeat both id and text are one document and stay or go together; rows with a null id stay.
     """
-    groups = near_duplicates(docs, text, id_col, shingle, similarity)
-    gone = id_side(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti")
+    groups = _groups(docs, text, id_col, shingle, similarity)
+    gone = groups.where("id <> first_id or body <> first_body").select(F.col("id").alias("_gone_id"), F.col("body").alias("_gone_body")).distinct()
+    gone = id_side(gone, "gone")
+    same = (docs[id_col] == gone["_gone_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["_gone_body"])
+    return docs.join(gone, same, "left_anti")
