@@ -26,6 +26,10 @@ def brute(docs, min_words, rare):
         cx, cy = Counter(v for _, v in x), Counter(v for _, v in y)
         where = {v: k for k, (_, v) in enumerate(y)}
         u = [(k, where[v]) for k, (_, v) in enumerate(x) if cx[v] == 1 and cy[v] == 1]
+        if not u:  # the first of a line with the first on the other side, and so on
+            turn = lambda z: [(v, sum(w == v for _, w in z[:k])) for k, (_, v) in enumerate(z)]
+            there = {t: k for k, t in enumerate(turn(y))}
+            u = [(k, there[t]) for k, t in enumerate(turn(x)) if t in there]
         if not u:
             return []
         best = []
@@ -127,3 +131,17 @@ def test_runs_cover_every_line_of_a_block():
     words = [30, 5, 30, 2, 60, 1, 1]
     assert len(ld.run_hashes(list(range(7)), list(range(7)), words, 50)) == 8  # lines 0-2, 1-4, 2-4, 3-4 and 4 forward; 4-6, 4-5 and 0-3 backward
     assert ld.run_hashes([0, 2], [1, 2], [30, 30], 50) == []
+
+
+def test_a_passage_that_stands_twice(spark):
+    passage = "\n".join(f"p{k} " * 30 for k in range(3))
+    rows = [(1, f"one\n{passage}\nmiddle\n{passage}"), (2, f"two\n{passage}\nother\n{passage}\nend"), (3, f"three\n{passage}")]
+    got = {r.id: r.removed for r in ld.repeated_lines(spark.createDataFrame(rows, "id long, text string"), id_col="id", runs=True).collect()}
+    assert got == {2: [1, 2, 3, 5, 6, 7], 3: [1, 2, 3]}
+
+
+def test_rows_that_repeat_an_id(spark):
+    a = "\n".join(f"a{k} " * 30 for k in range(4))
+    rows = [(1, "i\n" + a), (2, "j\n" + a), (2, "k\n" + a.replace("a", "b")), (2, "j\n" + a), (None, "j\n" + a), (4, None), (5, "")]
+    got = sorted(((r.doc_id, r.text) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, rows[0][1]), (2, "j"), (2, rows[2][1]), (2, "j"), (None, rows[4][1]), (4, None), (5, "")], key=repr)
