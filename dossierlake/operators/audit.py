@@ -2,28 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 GENESIS = "0" * 64
 
 
-def canonical(*fields: str) -> Column:
-    """Compact JSON with sorted keys of the given columns."""
-    return F.to_json(F.struct(*sorted(fields)))
+def _sorted_keys(value: Column, kind: DataType) -> Column:
+    """value with the fields of every struct inside it in order of their names."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_sorted_keys(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
+        return F.transform(value, lambda x: _sorted_keys(x, kind.elementType))
+    return value
+
+
+def canonical(rows: DataFrame, *fields: str) -> Column:
+    """Compact JSON of the given columns of rows, keys sorted at every level."""
+    return F.to_json(F.struct(*[_sorted_keys(F.col(f), rows.schema[f].dataType).alias(f) for f in sorted(fields)]))
 
 
 def audit_chain_build(rows: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """(key, entries): one chain a key, entry_hash = sha256(prev_hash + payload) from the genesis hash.
+    """(key, id, prev_hash, entry_hash) of every row: one chain a key, entry_hash = sha256(prev_hash + payload) from the genesis hash.
 
-    A chain is sequential by nature, so the log is cut by key (document or day) and chains run side by side.
+    A chain is sequential by nature, so the log is cut by key (document or day) and chains run side by side: rows are
+    sorted inside partitions and walked once, holding nothing but the last hash.
     """
-    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("id"), F.col(payload).alias("payload")))).alias("rows"))
-    kind = "struct<id:bigint,prev_hash:string,entry_hash:string>"
-    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["entry_hash"], F.lit(GENESIS))
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r["id"].alias("id"), last(acc).alias("prev_hash"), F.sha2(F.concat(last(acc), r["payload"]), 256).alias("entry_hash")).cast(kind)))
-    return per.select(key, F.aggregate("rows", F.array().cast(f"array<{kind}>"), step).alias("entries"))
+    names = rows.select(F.col(key).alias("key"), F.col(order).alias("id"), F.col(payload).alias("payload"))
+    ordered = names.repartition("key").sortWithinPartitions("key", "id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), GENESIS
+        for batch in batches:
+            prev, entry = [], []
+            for k, body in zip(batch.column("key").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if k != now:
+                    now, last = k, GENESIS
+                prev.append(last)
+                last = sha256((last + (body or "")).encode()).hexdigest()
+                entry.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(prev, pa.string()), pa.array(entry, pa.string())], names=["key", "id", "prev_hash", "entry_hash"])
+
+    kinds = [names.schema[c].dataType.simpleString() for c in ("key", "id")]
+    return ordered.mapInArrow(walk, f"key {kinds[0]}, id {kinds[1]}, prev_hash string, entry_hash string").withColumnRenamed("key", key)
+
+
+def audit_rows(decisions: DataFrame, actor: str = "system") -> DataFrame:
+    """Audit rows of decisions (doc_id, source_event, decision): an event of each, its actor and payload; the hash chain is the logger's."""
+    body = canonical(decisions, "decision", "doc_id", "source_event")
+    return decisions.select("doc_id", F.lit("ai_decision").alias("event_type"), F.lit(actor).alias("actor"), F.col("decision").alias("outcome"), body.alias("payload"), F.lit("managed-by-audit-logger").alias("prev_hash"))
 
 
 def audit_chain_verify(log: DataFrame, bucket: int = 1_000_000) -> DataFrame:

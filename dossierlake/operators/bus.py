@@ -226,27 +226,54 @@ def heartbeat_dead(beats: DataFrame, now: str, seconds: int = 300) -> DataFrame:
     return last.withColumn("age", F.unix_timestamp(at(now)) - F.unix_timestamp("last")).where(F.col("age") > seconds)
 
 
-def sustained_alert(samples: DataFrame, condition: Column, seconds: int, key: str, ts: str) -> DataFrame:
-    """Stretches of consecutive samples of a key on which the condition held for at least `seconds`."""
-    w = W.partitionBy(key).orderBy(ts)
-    flagged = samples.withColumn("_on", F.coalesce(condition, F.lit(False)))
-    islands = flagged.withColumn("_island", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).where("_on")
-    spans = islands.groupBy(key, "_island").agg(F.min(ts).alias("since"), F.max(ts).alias("until"), F.count("*").alias("samples"))
-    return spans.where(F.unix_timestamp("until") - F.unix_timestamp("since") >= seconds).drop("_island")
+def sustained_alert(samples: DataFrame, condition: Column, seconds: int, key: str, ts: str, bucket: int = 86_400) -> DataFrame:
+    """Stretches of consecutive samples of a key on which the condition held for at least `seconds`.
+
+    Stretches are found inside time buckets of a key and joined at the buckets' edges, from two rows a bucket at most,
+    so no task orders all samples of a key.
+    """
+    on = F.coalesce(condition, F.lit(False))
+    flagged = samples.select(F.col(key).alias("key"), F.col(ts).alias("ts"), on.alias("on"), F.floor(F.unix_timestamp(ts) / bucket).alias("bucket"))
+    w = W.partitionBy("key", "bucket").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    numbered = flagged.withColumn("island", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w))
+    # an island's number is how many samples before it, in the bucket, were off
+    local = numbered.groupBy("key", "bucket", "island").agg(*[f(F.when(F.col("on"), F.col("ts"))).alias(n) for n, f in (("since", F.min), ("until", F.max), ("samples", F.count))])
+    ends = local.groupBy("key", "bucket").agg(F.max("island").alias("last"))
+    marked = local.join(ends, ["key", "bucket"]).withColumn("starts", (F.col("island") == 0) & (F.col("samples") > 0)).withColumn("stops", (F.col("island") == F.col("last")) & (F.col("samples") > 0))
+    inner = marked.where("samples > 0 and not starts and not stops").select("key", "since", "until", "samples")
+    edges = marked.where("island = 0 or island = last")
+    order = W.partitionBy("key").orderBy("bucket", "island")
+    # a stretch goes on from the edge row before it if that one stopped with its bucket and this one starts with its own
+    fresh = ~(F.col("starts") & F.coalesce(F.lag("stops").over(order), F.lit(False)))
+    edges = edges.withColumn("stretch", F.sum(fresh.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where("samples > 0")
+    whole = edges.groupBy("key", "stretch").agg(F.min("since").alias("since"), F.max("until").alias("until"), F.sum("samples").alias("samples")).drop("stretch")
+    long = inner.unionByName(whole).where(F.unix_timestamp("until") - F.unix_timestamp("since") >= seconds)
+    return long.select(F.col("key").alias(key), "since", "until", "samples")
 
 
 # --- requests ------------------------------------------------------------------------------------------------------
 
 
+def _in_last(rows: DataFrame, key: str, seconds: int, out: str) -> DataFrame:
+    """rows plus `out`: rows of the key in (t - seconds, t].
+
+    Time is cut into buckets of that length, and each row also stands in the next one, which holds all that its rows
+    look back on; so a key with very many rows is no single task.
+    """
+    span = seconds * 1_000_000
+    placed = rows.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_next", F.explode(F.array(F.lit(0), F.lit(1))))
+    placed = placed.withColumn("_bucket", F.floor(F.col("_us") / span) + F.col("_next"))
+    frame = W.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-(span - 1), 0)
+    return placed.withColumn(out, F.count("*").over(frame)).where("_next = 0").drop("_us", "_next", "_bucket")
+
+
 def sliding_rate(requests: DataFrame, key: str = "ip", limit: int = 60, seconds: int = 60, allowed: tuple[str, ...] = ()) -> DataFrame:
     """Requests of the key in (t - seconds, t] at each request, and whether the limit is passed; listed keys are skipped."""
     rows = requests.where(~F.col(key).isin(*allowed)) if allowed else requests
-    frame = W.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return rows.withColumn("in_window", F.count("*").over(frame)).withColumn("over_limit", F.col("in_window") > limit)
+    return _in_last(rows, key, seconds, "in_window").withColumn("over_limit", F.col("in_window") > limit)
 
 
 def rate_violations(rated: DataFrame, key: str = "ip", window: int = 3600, most: int = 10, block_hours: int = 24) -> DataFrame:
     """Requests over the limit with the violations of the last window, and until when the key is blocked."""
-    frame = W.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(window * 1_000_000 - 1), 0)
-    bad = rated.where("over_limit").withColumn("violations", F.count("*").over(frame))
+    bad = _in_last(rated.where("over_limit"), key, window, "violations")
     return bad.withColumn("blocked_until", F.when(F.col("violations") >= most, F.col("ts") + F.make_interval(hours=F.lit(block_hours))))

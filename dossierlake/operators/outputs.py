@@ -70,6 +70,31 @@ def output_event(rows: DataFrame, topic: str, fields: tuple[str, ...], key: str
     return rows.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
+def anonymised_event(done: DataFrame, path: Column) -> DataFrame:
+    """The event of an anonymised document: where its text lies, how many identifiers were replaced, by what, how surely."""
+    rows = done.select("*", path.alias("anonymised_path"), F.col("n_entities").alias("entities_found"), F.lit("regex").alias("method"), F.lit("1.0.0").alias("model_version"))
+    return output_event(rows, "documents.anonymised", ("doc_id", "submission_type", "anonymised_path", "entities_found", "confidence", "method", "model_version"))
+
+
+def summarised_event(done: DataFrame) -> DataFrame:
+    """The event of a summarised document with the summary itself."""
+    fields = ("doc_id", "submission_type", "executive_summary", "key_findings", "next_steps", "summary_confidence", "word_count")
+    return output_event(done, "documents.summarised", fields)
+
+
+def classified_event(done: DataFrame) -> DataFrame:
+    """The event of a classified document: priority, risk, completeness and whether a reviewer must look."""
+    fields = ("doc_id", "submission_type", "severity", "priority", "risk_score", "completeness", "missing", "requires_review", "class_confidence")
+    return output_event(done, "documents.classified", fields)
+
+
+def report_event(docs: DataFrame, kind: Column, folder: Column) -> DataFrame:
+    """The event of a generated report: its id, type and place."""
+    named = docs.withColumn("report_id", F.concat(F.lit("RPT-"), "doc_id")).withColumn("report_type", kind)
+    named = named.withColumn("report_path", F.concat(folder, F.lit("/"), "report_id", F.lit(".txt")))
+    return output_event(named, "reports.generated", ("doc_id", "report_id", "report_type", "report_path"))
+
+
 def preprocess_done_events(runs: DataFrame) -> DataFrame:
     """Two events for each processed document: the record of the run, and the call to embed its chunks."""
     done = runs.where("status = 'processed'")

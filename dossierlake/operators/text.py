@@ -58,10 +58,21 @@ def dates_to_iso(text: Column) -> Column:
     day, month = r"(0[1-9]|[12]\d|3[01]|[1-9])", r"(0[1-9]|1[0-2]|[1-9])"
     out = F.regexp_replace(text, rf"\b{day}[/-]{month}[/-](\d{{4}})\b", "$3-0$2-0$1")
     out = F.regexp_replace(out, r"\b(\d{4})-0?(\d{2})-0?(\d{2})\b", "$1-$2-$3")
-    for i, name in enumerate(MONTHS, 1):
-        out = F.regexp_replace(out, rf"(?i)\b{name}\s+(\d{{1,2}}),?\s+(\d{{4}})\b", f"$2-{i:02d}-0$1")
-        out = F.regexp_replace(out, rf"(?i)\b(\d{{1,2}})\s+{name}\s+(\d{{4}})\b", f"$2-{i:02d}-0$1")
-    return F.regexp_replace(out, r"\b(\d{4})-(\d{2})-0(\d{2})\b", "$1-$2-$3")
+    # one search finds the months that a text names; only those are replaced, in the order of the year
+    months = [
+        F.struct(
+            F.lit(name.lower()).alias("name"), F.lit(rf"(?i)\b{name}\s+(\d{{1,2}}),?\s+(\d{{4}})\b").alias("month_first"), F.lit(f"$2-{i:02d}-0$1").alias("as_first"),
+            F.lit(rf"(?i)\b(\d{{1,2}})\s+{name}\s+(\d{{4}})\b").alias("day_first"), F.lit(f"$2-{i:02d}-0$1").alias("as_second"),
+        )
+        for i, name in enumerate(MONTHS, 1)
+    ]
+    replace = lambda t, m: F.regexp_replace(F.regexp_replace(t, m["month_first"], m["as_first"]), m["day_first"], m["as_second"])
+
+    def named(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(rf"(?i)\b(?:{'|'.join(MONTHS)})\b"), F.lit(0)), F.lower)
+        return let(found, lambda f: F.when(F.size(f) == 0, t).otherwise(F.aggregate(F.filter(F.array(*months), lambda m: F.array_contains(f, m["name"])), t, replace)))
+
+    return F.regexp_replace(let(out, named), r"\b(\d{4})-(\d{2})-0(\d{2})\b", "$1-$2-$3")
 
 
 def count_dates(text: Column) -> Column:

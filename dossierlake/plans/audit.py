@@ -20,7 +20,7 @@ def log(t):
 query(
     "audit_chain_build",
     f"""select doc_id, count(*) as n, list_reduce(list_prepend('{a.GENESIS}', list(concat('{{"off":', cast(off as varchar), ',"topic":"', topic, '"}}') order by off)), lambda x, y: sha256(concat(x, y))) as head from event_log group by 1""",
-)(lambda t: a.audit_chain_build(t.event_log.withColumn("payload", a.canonical("topic", "off")), "doc_id", "off", "payload").select("doc_id", F.size("entries").cast("long").alias("n"), F.element_at("entries", -1)["entry_hash"].alias("head")))
+)(lambda t: a.audit_chain_build(t.event_log.withColumn("payload", a.canonical(t.event_log, "topic", "off")), "doc_id", "off", "payload").groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by("entry_hash", "id").alias("head")))
 query(
     "audit_chain_verify",
     f"""select id, reason from (select id, case when prev_hash is distinct from coalesce(lag(entry_hash) over (order by id), repeat('0', 64)) then 'prev_hash_mismatch' when length(entry_hash) <> 64 then 'invalid_entry_hash_format' end as reason from ({DUCK_LOG})) where reason is not null""",
@@ -28,6 +28,8 @@ query(
 query("append_only_check", f"select id, case when id % 50 = 7 then 'deleted' else 'changed' end as violation from ({DUCK_LOG}) where id % 50 = 7 or id % 77 = 1")(
     lambda t: a.append_only_check(log(t), log(t).where("id % 50 <> 7").withColumn("entry_hash", F.when(F.col("id") % 77 == 1, "x").otherwise(F.col("entry_hash"))))
 )
-query("audit_rows", "select doc_id, 'ai_decision' as event_type, decision as outcome, 'managed-by-audit-logger' as prev_hash from assessments")(
-    lambda t: t.assessments.select("doc_id", F.lit("ai_decision").alias("event_type"), F.col("decision").alias("outcome"), F.lit("managed-by-audit-logger").alias("prev_hash"))
-)
+query(
+    "audit_rows",
+    """select doc_id, 'ai_decision' as event_type, 'system' as actor, decision as outcome, concat('{"decision":"', decision, '","doc_id":"', doc_id, '","source_event":"', source_event, '"}') as payload,
+    'managed-by-audit-logger' as prev_hash from assessments""",
+)(lambda t: a.audit_rows(t.assessments))

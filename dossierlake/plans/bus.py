@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dossierlake.operators import bus as b
 from dossierlake.plans.fixtures import NOW
 from dossierlake.plans.registry import query
+from dossierlake.sources.files import scratch_path
 
 TS = f"timestamp '{NOW}'"
 
@@ -33,8 +34,8 @@ query(
         )
     )
 )
-query("insert_ignore", "select event_id, topic from event_log where off < 6000")(
-    lambda t: b.insert_ignore(t.event_log.where("off < 4000"), t.event_log.where("off >= 2000 and off < 6000"), ["event_id", "produced_at"]).select("event_id", "topic")
+query("insert_ignore", "select event_id, case when off % 3 <> 0 then topic else 'new' end as topic from event_log where off % 3 <> 0 or off % 2 = 0")(
+    lambda t: b.insert_ignore(t.event_log.where("off % 3 <> 0"), t.event_log.where("off % 2 = 0").withColumn("topic", F.lit("new")), ["event_id", "produced_at"]).select("event_id", "topic")
 )
 query("upsert_latest", "select group_id, topic, part, case when part < 3 then committed_offset + 7 else committed_offset end as committed_offset from group_offsets")(
     lambda t: b.upsert_latest(t.group_offsets, t.group_offsets.where("part < 3").withColumn("committed_offset", F.col("committed_offset") + 7), ["group_id", "topic", "part"], "end_offset").select("group_id", "topic", "part", "committed_offset")
@@ -48,8 +49,17 @@ query(
     "events_by_topic",
     "select event_id from event_log where topic = 'documents.preprocessed' and processing_status = 'success' and produced_at >= timestamp '2024-01-05 00:00:00' and produced_at <= timestamp '2024-01-20 00:00:00' order by produced_at desc, event_id limit 100",
 )(lambda t: b.events_by_topic(t.event_log, "documents.preprocessed", "success", "2024-01-05", "2024-01-20").select("event_id"))
+
+
+def by_month(t):
+    """The event log as the table that it is meant to be: partitioned by month."""
+    path = scratch_path(t.spark, "events-by-month")
+    t.event_log.withColumn("produced_month", F.date_format("produced_at", "yyyy-MM")).repartition("produced_month").write.partitionBy("produced_month").parquet(path)
+    return t.spark.read.parquet(path)
+
+
 query("month_partition_scan", "select event_id from event_log where produced_at >= timestamp '2024-01-10 00:00:00' and produced_at < timestamp '2024-01-12 00:00:00'")(
-    lambda t: b.month_partition_scan(t.event_log.withColumn("produced_month", F.date_format("produced_at", "yyyy-MM")), "2024-01-10", "2024-01-12").select("event_id")
+    lambda t: b.month_partition_scan(by_month(t), "2024-01-10", "2024-01-12").select("event_id")
 )
 query(
     "retention_expire",
@@ -132,14 +142,14 @@ query(
     select topic, since, until, samples from s where floor(epoch(until)) - floor(epoch(since)) >= 3600""",
 )(lambda t: b.sustained_alert(t.event_log, F.col("processing_duration_ms") > 300, 3600, "topic", "produced_at"))
 RATED = "select *, count(*) over (partition by ip order by epoch_us(ts) range between {us} preceding and current row) as in_window from request_log"
-query("sliding_rate", f"select req_id, in_window, in_window > 3 as over_limit from ({RATED.format(us=3599999999)}) where ip <> '10.0.0.1'")(
-    lambda t: b.sliding_rate(t.request_log.where("ip <> '10.0.0.1'"), "ip", 3, 3600).select("req_id", "in_window", "over_limit")
+query("sliding_rate", f"select req_id, in_window, in_window > 1 as over_limit from ({RATED.format(us=86399999999)}) where ip <> '10.0.0.1'")(
+    lambda t: b.sliding_rate(t.request_log, "ip", 1, 86_400, allowed=("10.0.0.1",)).select("req_id", "in_window", "over_limit")
 )
 query(
     "rate_violations",
-    f"""with r as ({RATED.format(us=3599999999)}), v as (select *, count(*) over (partition by ip order by epoch_us(ts) range between 35999999999 preceding and current row) as violations from r where in_window > 1)
+    f"""with r as ({RATED.format(us=86399999999)}), v as (select *, count(*) over (partition by ip order by epoch_us(ts) range between 863999999999 preceding and current row) as violations from r where in_window > 1)
     select req_id, violations, case when violations >= 3 then ts + interval 24 hour end as blocked_until from v""",
-)(lambda t: b.rate_violations(b.sliding_rate(t.request_log, "ip", 1, 3600), "ip", 36_000, 3).select("req_id", "violations", "blocked_until"))
+)(lambda t: b.rate_violations(b.sliding_rate(t.request_log, "ip", 1, 86_400), "ip", 864_000, 3).select("req_id", "violations", "blocked_until"))
 query(
     "notifications_union",
     f"""select 'dlq' as origin, original_topic as subject, case when count(*) >= 600 then 'CRITICAL' else 'WARNING' end as severity from dlq_events where status = 'pending' group by 2 having count(*) >= 100

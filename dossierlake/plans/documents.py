@@ -17,20 +17,25 @@ DUCK_CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(re
 
 
 def messy(t):
-    return t.submissions.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.expr(MESSY).alias("text"))
+    return t.submissions.select("doc_id", F.expr(MESSY).alias("text"))
 
 
-ASCII = r"not regexp_matches(text, '[^\x00-\x7F]')"
 DATED = rf"""regexp_replace(regexp_replace(regexp_replace({DUCK_CLEAN}, '\b7/3/2021\b', '2021-03-07', 'g'), '\b31-12-1999\b', '1999-12-31', 'g'), 'March 5, 2020 or 17 august 2019', '2020-03-05 or 2019-08-17', 'g')"""
-query("normalise_text", f"select doc_id, trim({DATED}, chr(10) || ' ') as text from submissions where {ASCII}")(lambda t: messy(t).select("doc_id", x.normalise_text(F.col("text")).alias("text")))
-query("dates_to_iso", "select doc_id, case when doc_num % 2 = 0 then 5 - 1 else 2 end as dates from submissions where " + ASCII)(lambda t: messy(t).select("doc_id", x.count_dates(F.col("text")).alias("dates")))
-query("normalise_log", f"select doc_id, 1 as control_chars, case when doc_num % 2 = 0 then 1 else 0 end * 2 as blank_lines from submissions where {ASCII}")(lambda t: x.normalise_log(messy(t)).select("doc_id", "control_chars", "blank_lines"))
+query("normalise_text", f"select doc_id, trim({DATED}, chr(10) || ' ') as text from submissions")(lambda t: messy(t).select("doc_id", x.normalise_text(F.col("text")).alias("text")))
+DATES = "concat('7/3/2021 or 45/3/2020, March 5, 2020 or 17 august 2019 of ', doc_id, ' on ', cast(1 + doc_num % 28 as {s}), '-12-1999')"
+query("dates_to_iso", "select doc_id, concat('2021-03-07 or 45/3/2020, 2020-03-05 or 2019-08-17 of ', doc_id, ' on 1999-12-', lpad(cast(1 + doc_num % 28 as varchar), 2, '0')) as text from submissions")(
+    lambda t: t.submissions.select("doc_id", x.dates_to_iso(F.expr(DATES.format(s="string"))).alias("text"))
+)
+query(
+    "normalise_log",
+    """select doc_id, 0 as nuls, 1 as control_chars, case when doc_num % 2 = 0 then 1 else 0 end * 2 as blank_lines, 0 as hyphen_chars, case when doc_num % 2 = 0 then 5 - 1 else 2 end as dates from submissions""",
+)(lambda t: x.normalise_log(messy(t)).select("doc_id", "nuls", "control_chars", "blank_lines", "hyphen_chars", "dates"))
 WORDS = "[" + ", ".join(f"'{w}'" for w in x.COMMON_WORDS) + "]"
 query(
     "gibberish_windows",
     f"""select doc_id, count(*) filter (n >= 5 and hits < 0.3 * n) as windows from (select doc_id, len(w) as n, len(list_filter(w, lambda y: list_contains({WORDS}, y))) as hits from (
-    select doc_id, regexp_extract_all(lower(substr(text, k * 100 + 1, 100)), '[a-z]+') as w from (select doc_id, text, unnest(range((length(text) + 99) // 100)) as k from submissions where {ASCII}))) group by 1""",
-)(lambda t: t.submissions.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", x.gibberish_windows(F.col("text")).cast("long").alias("windows")))
+    select doc_id, regexp_extract_all(lower(substr(text, k * 100 + 1, 100)), '[a-z]+') as w from (select doc_id, text, unnest(range((length(text) + 99) // 100)) as k from submissions))) group by 1""",
+)(lambda t: t.submissions.select("doc_id", x.gibberish_windows(F.col("text")).cast("long").alias("windows")))
 query("language_detect")(lambda t: x.language_detect(t.documents).groupBy("lang", "language", "multilingual").agg(F.count("*").alias("n")))
 TITLED = "concat(case when doc_num % 3 = 0 then concat('# Title of ', doc_id, chr(10)) else '' end, 'Version ', cast(doc_num % 7 as {s}), '.', cast(doc_num % 3 as {s}), ' application no: ab-', cast(100000 + doc_num as {s}), ' on 2020-01-02', chr(10), 'applicant name: Firm ', doc_id, chr(10), text)"
 
@@ -45,11 +50,32 @@ query("extract_title", "select doc_id, case when doc_num % 3 = 0 then concat('Ti
 query("extract_version", "select doc_id, concat(cast(doc_num % 7 as varchar), '.', cast(doc_num % 3 as varchar)) as version from submissions")(lambda t: titled(t).select("doc_id", x.extract_version(F.col("text")).alias("version")))
 query("extract_app_number", "select doc_id, concat('AB-', cast(100000 + doc_num as varchar)) as number from submissions")(lambda t: titled(t).select("doc_id", x.extract_app_number(F.col("text")).alias("number")))
 query("extract_first_date", "select doc_id, '2020-01-02' as day from submissions")(lambda t: titled(t).select("doc_id", x.extract_first_date(F.col("text")).alias("day")))
-query("extract_type_fields")(lambda t: titled(t).select("doc_id", F.to_json(x.extract_type_fields(F.col("text"), F.col("submission_type"))).alias("fields")))
-query("extract_metadata")(lambda t: x.extract_metadata(titled(t)).select("doc_id", F.to_json("metadata").alias("metadata")))
-query("strip_meta_headers", "select doc_id, length(text) as n from submissions")(
-    lambda t: t.submissions.select("doc_id", F.length(x.strip_meta_headers(F.concat(F.lit("Author: a\nPages: 3\n\n"), "text"))).cast("long").alias("n"))
+FIELDS = sorted({f for fields in x.TYPE_FIELDS.values() for f in fields})
+
+
+def duck_field(field: str) -> str:
+    """A labelled field of the titled text, null where its type has none or it is blank."""
+    found = {k: fields[field] for k, fields in x.TYPE_FIELDS.items() if field in fields}
+    return "nullif(trim(case submission_type " + " ".join(f"when '{k}' then regexp_extract(substr(titled, 1, 5000), '{p}', 1)" for k, p in found.items()) + f" end), '') as {field}"
+
+
+LABELLED = "concat({t}, ' \nSponsor name: Acme & Sons, ', {doc}, '\nINN: para zol\nevent type: DEATH\nDevice Class: class C\nreport type: follow-up\nsuspect drug: X-', cast(doc_num as {s}), '\n')"
+DUCK_TITLED = "select *, " + LABELLED.format(t=TITLED.format(s="varchar"), doc="replace(doc_id, '-', ' ')", s="varchar").replace("\n", "' || chr(10) || '") + " as titled from submissions"
+
+
+def labelled(t):
+    return t.submissions.withColumn("text", F.expr(LABELLED.format(t=TITLED.format(s="string"), doc="replace(doc_id, '-', ' ')", s="string").replace("\n", "' || chr(10) || '")))
+
+
+query("extract_type_fields", f"select doc_id, {', '.join(map(duck_field, FIELDS))} from ({DUCK_TITLED})")(
+    lambda t: labelled(t).select("doc_id", x.extract_type_fields(F.col("text"), F.col("submission_type")).alias("m")).select("doc_id", *[F.col("m")[f].alias(f) for f in FIELDS])
+)
+UNIVERSAL = """case when doc_num % 3 = 0 then concat('Title of ', doc_id) else concat('file ', cast(doc_num as varchar)) end as title, concat(cast(doc_num % 7 as varchar), '.', cast(doc_num % 3 as varchar)) as version,
+    concat('AB-', cast(100000 + doc_num as varchar)) as application_number, '2020-01-02' as document_date"""
+query("extract_metadata", f"select doc_id, {UNIVERSAL}, {', '.join(map(duck_field, FIELDS))} from ({DUCK_TITLED})")(
+    lambda t: x.extract_metadata(labelled(t)).select("doc_id", *[F.col("metadata")[f].alias(f) for f in ("title", "version", "application_number", "document_date", *FIELDS)])
 )
+query("strip_meta_headers", "select doc_id, text from submissions")(lambda t: t.submissions.select("doc_id", x.strip_meta_headers(F.concat(F.lit("Author: a\nPages: 3\n\n"), "text")).alias("text")))
 query("table_markdown", "select r_regionkey, concat('| k | n |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', cast(n_nationkey as varchar), ' | ', n_name, ' |'), chr(10) order by n_nationkey)) as md from region join nation on n_regionkey = r_regionkey group by 1")(
     lambda t: t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey"))
     .agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
@@ -85,8 +111,8 @@ query("font_heading", "select l_orderkey as doc_id, l_linenumber as n, case when
 query("table_continuation", "select doc_id, table_no, coalesce(h = lag(h) over (partition by doc_id order by table_no), false) as continues from (select l_orderkey as doc_id, l_linenumber as table_no, case when l_linenumber % 4 <> 0 then min(l_returnflag) end as h from lineitem group by 1, 2)")(
     lambda t: x.table_continuation(t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("header")).selectExpr("l_orderkey as doc_id", "1 as page", "l_linenumber as table_no", "header", "case when l_linenumber % 4 <> 0 then 2 else 1 end as n_rows")).select("doc_id", "table_no", "continues")
 )
-query("doc_page_totals", "select conv_id as doc_id, count(*) as n_pages, cast(sum(length(text)) as bigint) as n_chars, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations where trim(text) <> '' group by 1")(
-    lambda t: x.doc_page_totals(t.conversations.where("trim(text) <> ''").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")).select("doc_id", "n_pages", F.col("n_chars").cast("long").alias("n_chars"), "text")
+query("doc_page_totals", "select conv_id as doc_id, count(*) as n_pages, cast(sum(length(text)) as bigint) as n_chars, coalesce(string_agg(text, chr(10) || chr(10) order by turn) filter (trim(text) <> ''), '') as text from conversations group by 1")(
+    lambda t: x.doc_page_totals(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")).select("doc_id", "n_pages", F.col("n_chars").cast("long").alias("n_chars"), "text")
 )
 
 # --- chunks --------------------------------------------------------------------------------------------------------
@@ -96,7 +122,9 @@ def headed(t):
     return t.documents.select("doc_id", F.concat(F.lit("intro line\n# First part\n"), "text", F.lit("\nSECOND PART, 2\nbody\nUnder\n-----\ntail")).alias("text"))
 
 
-query("split_sections", "select doc_id, 'First part' as second from documents")(lambda t: headed(t).select("doc_id", F.get(c.split_sections(F.col("text")), F.lit(1))["title"].alias("second")))
+query("split_sections", "select doc_id, unnest([0, 1]) as no, unnest([null, 'First part']) as title, unnest(['intro line', concat('# First part', chr(10), lower(replace(text, chr(10), ' ')))]) as body from documents")(
+    lambda t: t.documents.select("doc_id", F.posexplode(c.split_sections(F.concat(F.lit("intro line\n# First part\n"), F.lower(F.replace("text", F.lit("\n"), F.lit(" ")))))).alias("no", "s")).select("doc_id", "no", "s.title", "s.body")
+)
 query("merge_small_sections")(lambda t: headed(t).select("doc_id", F.size(c.merge_small_sections(c.split_sections(F.col("text")))).alias("n")))
 query("chunk_text")(lambda t: c.chunk_text(headed(t)))
 query("chunk_links")(lambda t: c.chunk_links(c.chunk_text(headed(t))).select("doc_id", "chunk_id", "total_chunks", "prev_chunk_id", "next_chunk_id"))
@@ -104,21 +132,24 @@ query("all_chunks")(
     lambda t: c.chunk_text(headed(t)).select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", F.lit("text").alias("chunk_type")).unionByName(c.chunk_tables(tables(t)).select("doc_id", "chunk_id", F.lit("table").alias("chunk_type")))
 )
 query("processing_log_rows", "select doc_id, case when trim(text) = '' then 'failed' else 'processed' end as status from documents")(lambda t: c.processing_log_rows(t.documents, c.chunk_text(t.documents)).select("doc_id", "status"))
-query("chunks_to_text", "select conv_id as doc_id, string_agg(trim(text), chr(10) || chr(10) order by turn) as text from conversations where trim(text) <> '' group by 1")(
-    lambda t: c.chunks_to_text(t.conversations.where("trim(text) <> ''").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text"))
+query("chunks_to_text", "select conv_id as doc_id, coalesce(string_agg(trim(text), chr(10) || chr(10) order by turn) filter (trim(text) <> ''), '') as text from conversations group by 1")(
+    lambda t: c.chunks_to_text(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text"))
 )
 
 
 def tables(t):
     """Orders of a customer as one table of two columns."""
-    rows = t.orders.groupBy(F.concat(F.lit("C"), (F.col("o_custkey") % 40).cast("string")).alias("doc_id")).agg(F.array_sort(F.collect_list(F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus")))).alias("rows"))
-    return rows.select("doc_id", F.lit(1).alias("table_no"), F.lit(1).alias("page"), F.array(F.lit("order"), F.lit("status")).alias("headers"), F.slice("rows", 1, F.size("rows") - F.pmod(F.size("rows"), F.lit(7))).alias("rows"))
+    line = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"))
+    rows = t.orders.groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    # every order is a row of six parts, so that some customers' tables are longer than one chunk
+    rows = rows.withColumn("rows", F.flatten(F.transform("rows", lambda r: F.array_repeat(r, 6))))
+    return rows.select("doc_id", F.lit(1).alias("table_no"), F.lit(1).alias("page"), F.array(F.lit("order"), F.lit("status")).alias("headers"), "rows")
 
 
 query(
     "chunk_tables",
     """select doc_id, part, case when n > 50 then least(25, n - (part - 1) * 25) else n end as n_rows, case when n > 50 then (n + 24) // 25 else 1 end as parts from (
-    select *, unnest(range(1, case when n > 50 then (n + 24) // 25 else 1 end + 1)) as part from (select concat('C', cast(o_custkey % 40 as varchar)) as doc_id, count(*) - count(*) % 7 as n from orders group by 1))""",
+    select *, unnest(range(1, case when n > 50 then (n + 24) // 25 else 1 end + 1)) as part from (select concat('C', cast(o_custkey as varchar)) as doc_id, count(*) * 6 as n from orders group by 1))""",
 )(lambda t: c.chunk_tables(tables(t)).select("doc_id", F.col("part").cast("long").alias("part"), F.col("n_rows").cast("long").alias("n_rows"), F.max("part").over(W.partitionBy("doc_id")).cast("long").alias("parts")))
 query("extraction_confidence", "select event_id, round(greatest(0, 1 - (case when event_id % 2 = 0 then 0.15 + greatest(0, 0.8 - 0.7) else 0 end + case when event_id % 3 = 0 then 0.1 else 0 end + 0.05 * (event_id % 4))), 3) as confidence from events")(
     lambda t: t.events.select("event_id", c.extraction_confidence(F.col("event_id") % 2 == 0, F.lit(0.7), F.when(F.col("event_id") % 3 == 0, 0.5).otherwise(0.9), F.col("event_id") % 4).alias("confidence"))
@@ -140,8 +171,8 @@ def vectors(t):
 query("collection_of", "select doc_id, case submission_type when 'drug' then 'drug_applications' when 'medical_device' then 'medical_devices' when 'clinical_trial' then 'clinical_trials' else 'adverse_events' end as collection from submissions")(
     lambda t: t.submissions.select("doc_id", v.collection_of(F.col("submission_type")).alias("collection"))
 )
-query("l2_normalise", "select vec_id, round(embedding[1] / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as first from embeddings")(
-    lambda t: vectors(t).select("vec_id", F.round(F.get(v.l2_normalise(F.col("v")), F.lit(0)), 6).alias("first"))
+query("l2_normalise", "select vec_id, i, round(embedding[i] / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as x from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)")(
+    lambda t: vectors(t).select("vec_id", F.posexplode(v.l2_normalise(F.col("v"))).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 )
 KNN = f"""select query_id, vec_id, d, rank from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, 1 - list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)) as d
     from (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings where vec_id % 20 = 0) q join (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings) c using (k))) where rank <= 6"""

@@ -25,7 +25,7 @@ select doc_id as doc_num, concat('DOC-', lpad(cast(doc_id as {STR}), 12, '0')) a
   concat('file_', cast(doc_id as {STR}), '.pdf') as original_filename, {SHA}(text{S256}) as checksum_sha256, n_chars as file_size_bytes,
   {TS0} + {MIN}(doc_id * 41) % 43200{MINE} as created_at, lang, source, text from documents""",
     "reg_text": """
-select doc_num, doc_id, submission_type, concat(text,
+select doc_num, doc_id, submission_type, lang, concat(text,
   case when doc_num % 3 = 0 then concat(' . Aadhaar 1234 5678 ', lpad(cast(doc_num % 10000 as {STR}), 4, '0')) else '' end,
   case when doc_num % 4 = 0 then concat(' . Patient ID PT-', lpad(cast(doc_num as {STR}), 6, '0')) else '' end,
   case when doc_num % 5 = 0 then concat(' . email u', cast(doc_num as {STR}), '@example.org phone 9876', lpad(cast(doc_num % 1000000 as {STR}), 6, '0')) else '' end,
@@ -48,7 +48,7 @@ select s.doc_id, t.source_event, case when (doc_num + t.k) % 9 = 0 then 'blocked
   s.created_at + {MIN}t.k * 10{MINE} as assessed_at
   from submissions s join (select 1 as k, 'documents.anonymised' as source_event, 1 as one union all select 2, 'documents.summarised', 1 union all select 3, 'documents.classified', 1) t on t.one = 1""",
     "request_log": """
-select event_id as req_id, concat('10.0.0.', cast(user_id % 20 as {STR})) as ip, user_id, event_type as endpoint, ts from events""",
+select event_id as req_id, concat('10.0.0.', cast(user_id as {STR})) as ip, user_id, event_type as endpoint, ts from events""",
     "group_offsets": """
 select concat('g', cast(o_custkey % 4 as {STR})) as group_id, o_orderpriority as topic, o_orderkey % 6 as part, max(o_orderkey) as end_offset,
   min(o_orderkey) + cast(floor(avg(o_totalprice)) as bigint) % 500 as committed_offset from orders group by 1, 2, 3""",

@@ -35,7 +35,8 @@ def duck_pattern(kind: str) -> str:
 MATCHES = {k: f"regexp_extract_all(text, {duck_pattern(k)})" for k, _, _ in a.PATTERNS}
 query("pii_detect", "select * from (" + " union all ".join(f"select doc_id, '{k}' as kind, len({m}) as n, array_to_string({m}, '|') as originals from reg_text" for k, m in MATCHES.items()) + ") where n > 0")(
     lambda t: t.reg_text.select("doc_id", a.pii_detect(F.col("text")).alias("e"))
-    .select("doc_id", F.explode("e").alias("e"))
+    .select("doc_id", F.explode_outer("e").alias("e"))
+    .where("e is not null")
     .groupBy("doc_id", "e.kind")
     .agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e.start", "e.original"))), lambda x: x["original"]), "|").alias("originals"))
 )
@@ -182,7 +183,7 @@ query("significance_notes", f"select doc_id, case when len(x) = 0 then 'No speci
 
 def governance(t: Tables) -> DataFrame:
     """Anonymise, scan the result for leaks, apply the rules, decide, and count: one narrow pass and one aggregation."""
-    done = a.anonymise(t.reg_text.join(t.submissions.select("doc_id", "lang"), "doc_id"))
+    done = a.anonymise(t.reg_text)
     events = done.select("doc_id", "submission_type", "lang", F.lit("documents.anonymised").alias("topic"), a.pii_leak_scan(F.col("anonymised_text")).alias("leaks"), "n_entities", F.col("anonymised_text").alias("text"), F.lit("p").alias("path"))
     found = events.withColumn("findings", F.concat(r.rule_ndhm(F.col("doc_id"), F.col("submission_type")), r.rule_dpdp_anonymised(F.col("leaks"), F.col("n_entities"), F.col("text"), F.col("path"), F.col("doc_id"))))
     return found.withColumn("d", r.decision(F.col("findings"))).groupBy("submission_type", "lang", "d.decision").agg(F.count("*").alias("n"))

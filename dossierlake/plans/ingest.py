@@ -10,7 +10,7 @@ from dossierlake.plans.registry import query
 
 def feed(t, drug: bool):
     """Feeds of each customer's orders as the portals send them."""
-    o = t.orders.where("o_orderkey % 3 <> 0")
+    o = t.orders
     key = F.col("o_orderkey").cast("string")
     url = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("http://x/"), key))
     file = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("f"), key))
@@ -29,7 +29,7 @@ def feed(t, drug: bool):
 
 FEED = """select cast(o_orderkey as varchar) as external_id, case when o_orderkey % 6 <> 0 then o_orderstatus else 'Unknown' end as applicant, {kind} as submission_type,
     case when o_orderkey % 7 <> 0 then strftime(o_orderdate, '%Y-%m-%d') end as day, case when o_orderkey % 5 <> 0 then concat('f', cast(o_orderkey as varchar)) else cast(o_orderkey as varchar) end as filename
-    from orders where o_orderkey % 3 <> 0 and o_orderkey % 4 <> 0"""
+    from orders where o_orderkey % 4 <> 0"""
 
 
 def flat(df):

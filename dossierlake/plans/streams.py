@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from dossierlake.operators import anonymise as a
+from dossierlake.plans.bus import ROUTE
 from dossierlake.plans.registry import query
 from dossierlake.sources import files as f
 from dossierlake.streaming import streams as s
 
 
+def stream_of(rows):
+    """A table as a stream: written into a folder of the shared store, whose files are the stream's input."""
+    path = f.scratch_path(rows.sparkSession, "stream-input")
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
 def events(t):
-    """The events table as a stream of its files."""
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")
+    return stream_of(t.events)
 
 
 query("stream_dedup", "select event_id, user_id from events")(lambda t: s.run_once(s.stream_dedup(events(t)), t.spark, f.scratch_path(t.spark, "dedup")).select("event_id", "user_id"))
@@ -23,7 +32,7 @@ query("rate_windows_stream", "select time_bucket(interval 1 minute, ts) - to_min
 
 def anonymised(t):
     path = f.scratch_path(t.spark, "governed")
-    docs = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.sf_dir}/documents.parque[t]")
+    docs = stream_of(t.documents)
 
     def stage(batch):
         done = a.anonymise(batch.withColumn("doc_id", F.col("doc_id").cast("string")))
@@ -34,17 +43,57 @@ def anonymised(t):
 
 
 query("stream_pipeline")(anonymised)
-query("rate_block_state")(lambda t: s.rate_block_state(t.request_log, 3, 3600, 3, 36_000))
+query("rate_block_state")(lambda t: s.rate_block_state(t.request_log, 1, 86_400, 3, 864_000))
+
+
+def alerts(t):
+    path = f.scratch_path(t.spark, "alerts")
+    s.dlq_alert_stream(stream_of(t.dlq_events), path, f"{path}-state", every=None).awaitTermination()
+    return t.spark.read.parquet(f"{path}/alerts").select("topic", "depth", "severity")
+
+
+query("dlq_alert_stream", "select original_topic as topic, count(*) as depth, case when count(*) >= 50 then 'CRITICAL' else 'WARNING' end as severity from dlq_events where status = 'pending' group by 1 having count(*) >= 10")(alerts)
+
+
+def routed(t):
+    failures = t.event_log.select("topic", "doc_id", "event_id", (F.col("processing_status") == "failed").alias("failed"), F.col("produced_at").alias("ts"))
+    return s.run_once(s.retry_route_stream(stream_of(failures), 3, None), t.spark, f.scratch_path(t.spark, "routed")).withColumn("attempt", F.col("attempt").cast("long"))
+
+
+query("retry_route_stream", ROUTE.format(limit=3))(routed)
+
+
+def json_lines(t):
+    """Events as lines of JSON text, some of them broken."""
+    body = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    return t.events.select("event_id", F.when(F.col("event_id") % 9 == 4, F.concat(body, F.lit("}{"))).when(F.col("event_id") % 9 == 5, F.expr("substring(to_json(struct(event_type)), 1, 9)")).otherwise(body).alias("value"))
+
+
+LINE = "event_id long, user_id long, event_type string"
+query("scan_events", "select event_id, user_id, event_type from events where event_id % 9 <> 4 and event_id % 9 <> 5")(lambda t: f.scan_events(json_lines(t).select("value"), StructType.fromDDL(LINE))[0])
+query("scan_events_bad", "select event_id from events where event_id % 9 = 4 or event_id % 9 = 5")(lambda t: f.scan_events(json_lines(t).withColumnRenamed("event_id", "line"), StructType.fromDDL(LINE))[1].select(F.col("line").alias("event_id")))
+
+
+def artefacts(t):
+    """Submissions written by type and date, and one type of one month read back."""
+    path = f.scratch_path(t.spark, "artefacts")
+    f.write_artefacts(t.submissions.select("doc_id", "submission_type", "created_at", F.sha2("text", 256).alias("hash")), path)
+    return t.spark.read.parquet(path).where("submission_type = 'sae' and m = 1").select("doc_id", "y", "m", "d", "hash")
+
+
+query("write_artefacts", "select doc_id, cast(year(created_at) as int) as y, cast(month(created_at) as int) as m, cast(day(created_at) as int) as d, sha256(text) as hash from submissions where submission_type = 'sae' and month(created_at) = 1")(artefacts)
 query("csv_tables")(
     lambda t: f.csv_tables(
-        t.orders.groupBy((F.col("o_custkey") % 50).alias("doc_id")).agg(F.concat(F.lit("order;status\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderstatus"))), "\n")).cast("binary").alias("content")).withColumn("delimiter", F.lit(";"))
+        t.orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("order;status\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderstatus"))), "\n")).cast("binary").alias("content")).withColumn("delimiter", F.lit(";"))
     ).select("doc_id", "row_no", F.array_join("cells", "|").alias("cells"))
 )
 
 
 def xml(t):
-    return f.xml_flatten(t.nation.select(F.col("n_nationkey").alias("doc_id"), F.format_string('<Patient xmlns="http://hl7.org/fhir"><id value="%d"/><name><family value="%s"/></name><note>n</note></Patient>', F.col("n_nationkey"), "n_name").alias("xml")))
+    """Each customer as a clinical document."""
+    body = F.format_string('<Patient xmlns="http://hl7.org/fhir"><id value="%d"/><name><family value="%s"/></name><note>n</note></Patient>', F.col("c_custkey"), "c_name")
+    return f.xml_flatten(t.customer.select(F.col("c_custkey").alias("doc_id"), body.alias("xml")))
 
 
-query("xml_flatten", "select n_nationkey as doc_id, unnest([0,1,2]) as seq, unnest(['Patient/id[@value]', 'Patient/name/family[@value]', 'Patient/note']) as path, unnest([cast(n_nationkey as varchar), n_name, 'n']) as value from nation")(xml)
-query("fhir_flatten", "select n_nationkey as doc_id, 'id.value' as key, cast(n_nationkey as varchar) as value from nation union all select n_nationkey, 'family.value', n_name from nation")(lambda t: f.fhir_flatten(xml(t)))
+query("xml_flatten", "select c_custkey as doc_id, unnest([0,1,2]) as seq, unnest(['Patient/id[@value]', 'Patient/name/family[@value]', 'Patient/note']) as path, unnest([cast(c_custkey as varchar), c_name, 'n']) as value from customer")(xml)
+query("fhir_flatten", "select c_custkey as doc_id, 'id.value' as key, cast(c_custkey as varchar) as value from customer union all select c_custkey, 'family.value', c_name from customer")(lambda t: f.fhir_flatten(xml(t)))

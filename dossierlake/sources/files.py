@@ -18,9 +18,14 @@ from dossierlake.operators.ingest import content_checksum, parse_storage_path
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """An unused path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one in tests)."""
+    """An unused path in the folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets a temporary one; on a cluster such a folder would not be shared, so it must be set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -36,7 +41,9 @@ def scan_events(lines: DataFrame, schema: StructType, value: str = "value") -> t
     """(events, bad): rows of JSON text that parse under the schema, and those that do not, for the dead letters."""
     marked = StructType([*schema.fields]).add("_corrupt", "string")
     parsed = lines.withColumn("event", F.from_json(value, marked, {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("event").isNull() | F.col("event._corrupt").isNotNull()
+    # the parser stops at the end of the first value: inside an array, whatever follows it is an error or a second value
+    alone = F.coalesce(F.size(F.from_json(F.concat(F.lit("["), F.col(value), F.lit("]")), "array<string>")), F.lit(-1)) == 1
+    bad = F.col("event").isNull() | F.col("event._corrupt").isNotNull() | ~alone
     return parsed.where(~bad).select(*[c for c in lines.columns if c != value], "event.*").drop("_corrupt"), parsed.where(bad).drop("event")
 
 

@@ -6,6 +6,7 @@ give the same rows, which the tests hold against each other with the availableNo
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,29 +48,35 @@ def dlq_alert_stream(dlq: DataFrame, path: str, checkpoint: str, every: str | No
 def rate_block_state(requests: DataFrame, limit: int = 60, seconds: int = 60, most: int = 10, window: int = 3600, block: int = 86_400) -> DataFrame:
     """Exact sequential limiter, an audit of traffic: (req_id, outcome), outcome ok, limited or blocked.
 
-    Blocked requests are neither counted nor retried, so each ip is one sequence; ips run side by side.
+    Blocked requests are neither counted nor retried, so each ip is one sequence; ips run side by side.  Requests are
+    sorted inside partitions and walked once; no more is held than one ip's last `limit` requests and `most` violations.
     """
 
-    def audit(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, bad, until, out = [], [], -1.0, []
-        ordered = pdf.sort_values(["ts", "req_id"])
-        for t in ordered["ts"].astype("int64") / 1e9 if ordered["ts"].dtype.kind == "M" else ordered["ts"]:
-            if t < until:
-                out.append("blocked")
-                continue
-            seen = [s for s in seen if s > t - seconds]
-            if len(seen) >= limit:
-                bad = [s for s in bad if s > t - window] + [t]
-                if len(bad) >= most:
-                    until = t + block
+    def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen, bad, until = None, deque(), deque(), -1.0
+        for pdf in batches:
+            out = []
+            for ip, t in zip(pdf["ip"], pdf["ts"], strict=True):
+                if ip != now:
+                    now, seen, bad, until = ip, deque(), deque(), -1.0
+                if t < until:
+                    out.append("blocked")
+                    continue
+                while seen and seen[0] <= t - seconds:
+                    seen.popleft()
+                if len(seen) < limit:
+                    seen.append(t)
+                    out.append("ok")
+                    continue
+                while bad and bad[0] <= t - window:
+                    bad.popleft()
+                bad.append(t)
+                until = t + block if len(bad) >= most else until
                 out.append("limited")
-                continue
-            seen.append(t)
-            out.append("ok")
-        return pd.DataFrame({"req_id": ordered["req_id"].to_numpy(), "outcome": out})
+            yield pd.DataFrame({"req_id": pdf["req_id"], "outcome": out})
 
     timed = requests.select("req_id", "ip", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    return timed.groupBy("ip").applyInPandas(audit, "req_id long, outcome string")
+    return timed.repartition("ip").sortWithinPartitions("ip", "ts", "req_id").mapInPandas(audit, "req_id long, outcome string")
 
 
 def retry_route_stream(records: DataFrame, limit: int = 3, ttl: str | None = "24 hours") -> DataFrame:
