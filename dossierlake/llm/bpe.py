@@ -14,8 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import small_batches
+
 #: Distinct pieces that a Python worker remembers before it starts afresh.
-CACHE = 500_000
+CACHE = 200_000
 
 
 def byte_chars() -> list[str]:
@@ -115,6 +117,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 columns.append(pa.array([[{"start": s, "end": e} for s, e in bpe.offsets(t or "")] for t in texts], kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *kinds])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in kinds.items())]))
 
 
@@ -157,5 +160,6 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierlake.sources.files import scratch_path
+
+#: Bytes of an Arrow batch of whole texts
+BATCH_BYTES = 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one set where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that the session hands to Python, unless they are bounded tighter already.
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    Rows of whole texts differ in length by orders of magnitude, so a bound on rows alone lets one batch take hundreds
+    of MB, on either side of the socket, in each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b") or -1)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,11 +1,12 @@
 """Near-duplicate vectors through a forest of random-projection trees.
 
 Each tree splits a bounded sample again and again at the median of its projections on a random direction of that
-level; every vector of the table then walks down, and goes both ways where it lies within `spill` of the split.
+level; every vector of the table then walks down, and goes both ways where it lies within `spill` of the split.  Depth
+and number of trees grow with the logarithm of the table, so leaves stay of one size and the work is nearly linear.
 Within leaves all cosines are computed in double precision by blocks, and pairs at or above the threshold are links.
 
 Equal vectors are collapsed first.  A pair that shares several leaves, of one tree or of many, is counted in the
-first of them only, which each leaf can tell from the members' own lists of leaves; so links are counted without
+first of them only, which each leaf can tell by walking its linked members down again; so links are counted without
 being written out, and a leaf hands on just one count per member and an edge from each member to one neighbour per
 local component.  Leaves of more than `block` members are compared in pairs of blocks, a task each, so that a dense
 cluster that no split can part is neither cut short nor gathered in one place.
@@ -13,22 +14,21 @@ cluster that no split can part is neither cut short nor gathered in one place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from dossierlake.llm.common import connected_components, written
+from dossierlake.llm.common import connected_components, drop_written, id_side, written
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Directions (trees, depth, dim) and, per tree and level, the split of each node (depth lists of 2**level)."""
+    """Directions (trees, depth, dim) and, per tree and level, the split of each node, or one split for all of them."""
 
     directions: np.ndarray
     splits: list[list[np.ndarray]]
@@ -36,12 +36,13 @@ class Forest:
 
     def leaves(self, unit: np.ndarray) -> list[np.ndarray]:
         """Per vector the sorted leaf numbers, tree by tree; a leaf is tree << 32 | path."""
-        rows, codes = [], []
+        rows, codes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for t, splits in enumerate(self.splits):
             at, node = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
             for level, cut in enumerate(splits):
-                p = unit @ self.directions[t, level]
-                off = p[at] - cut[node]
+                # einsum sums each row in the same order however many rows come along, so that a vector always walks the same way
+                p = np.einsum("ij,j->i", unit, self.directions[t, level])
+                off = p[at] - (cut[node] if len(cut) > 1 else cut[0])
                 left, right = off < self.spill, off >= -self.spill
                 at, node = np.concatenate([at[left], at[right]]), np.concatenate([node[left] * 2, node[right] * 2 + 1])
             rows.append(at)
@@ -49,16 +50,34 @@ class Forest:
         rows, codes = np.concatenate(rows), np.concatenate(codes)
         order = np.lexsort((codes, rows))
         counts = np.bincount(rows, minlength=len(unit))
-        return np.split(codes[order], np.cumsum(counts)[:-1])
+        return np.split(codes[order], np.cumsum(counts)[:-1]) if len(unit) else []
 
 
-def fit_forest(sample: np.ndarray, trees: int, leaf: int, spill: float, rows: int, seed: int) -> Forest:
-    """Split at the sample's medians until a leaf is expected to hold about `leaf` of `rows` vectors, or 16 of the sample."""
+def plan_forest(rows: int, leaf: int, threshold: float, recall: float) -> tuple[int, int, float]:
+    """(trees, depth, spill as a share of the spread of a projection) for so many vectors.
+
+    The projections of two unit vectors at the threshold differ with a spread of pair = sqrt(2 - 2 * threshold) times
+    that of a projection.  With a spill of a quarter of pair to either side, a split parts them for good where they
+    differ by half of pair or more on either side of it.  The depth grows until a leaf is expected to hold `leaf`
+    vectors; the trees are as many as it takes to miss a pair at the threshold in all of them with odds of 1 - recall.
+    """
+    pair = sqrt(max(2 - 2 * threshold, 1e-12))
+    spill, a = pair / 4, 0.5
+    density = exp(-a * a / 2) / sqrt(2 * pi)
+    missed = pair / sqrt(2 * pi) * 2 * (density - a * (1 - erf(a / sqrt(2))) / 2)
+    both = min(0.5, 2 * spill / sqrt(2 * pi))  # share of vectors that go both ways
+    depth, size = 0, float(rows)
+    while size > leaf and depth < 31:
+        depth, size = depth + 1, size * (1 + both) / 2
+    found = (1 - missed) ** depth
+    return (1 if depth == 0 else max(4, ceil(log(1 - recall) / log(1 - found)))), depth, spill
+
+
+def fit_forest(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int) -> Forest:
+    """Random directions, split at the medians of the sample in each node; where a node would have fewer than 16 of the
+    sample, at the median of the whole sample on that level's direction."""
     rng = np.random.default_rng(seed)
-    depth = 0
-    while rows > leaf and len(sample) >> depth > 16:
-        depth, rows = depth + 1, rows * 0.62  # half, and what spills over
-    dim = sample.shape[1] if sample.ndim == 2 else 1
+    dim = sample.shape[1] if sample.ndim == 2 and sample.shape[1] else 1
     directions = rng.standard_normal((trees, max(depth, 1), dim))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
     splits = []
@@ -66,14 +85,26 @@ def fit_forest(sample: np.ndarray, trees: int, leaf: int, spill: float, rows: in
         node, levels = np.zeros(len(sample), dtype=np.int64), []
         for level in range(depth):
             p = sample @ directions[t, level]
-            cut = np.zeros(1 << level)
+            if len(sample) >> level <= 16:
+                levels.append(np.array([np.median(p) if len(p) else 0.0]))
+                continue
+            cut = np.full(1 << level, np.median(p))
+            order = np.argsort(node, kind="stable")
+            edges = np.searchsorted(node[order], np.arange((1 << level) + 1))
             for n in range(1 << level):
-                if (inside := node == n).any():
-                    cut[n] = np.median(p[inside])
+                if edges[n] < edges[n + 1]:
+                    cut[n] = np.median(p[order[edges[n] : edges[n + 1]]])
             node = node * 2 + (p >= cut[node])
             levels.append(cut)
         splits.append(levels)
-    return Forest(directions, splits, spill)
+    return Forest(directions, splits, spill / sqrt(dim))
+
+
+def units(matrix: np.ndarray) -> np.ndarray:
+    """Rows of finite vectors, none of them zero, scaled to length one in double precision."""
+    x = matrix.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0.0)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def unit_rows(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +114,10 @@ def unit_rows(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
         if v is None or len(v) != dim:
             continue
         x = np.array(v, dtype=np.float64)  # null components become NaN
-        top = np.abs(x).max(initial=0.0)
-        if np.isfinite(x).all() and top > 0:
-            x = x / top
-            out[i], ok[i] = x / np.linalg.norm(x), True
+        if np.isfinite(x).all() and x.any():
+            out[i], ok[i] = x, True
+    if ok.any():
+        out[ok] = units(out[ok])
     return ok, out
 
 
@@ -97,10 +128,10 @@ def usable(column: str):
     return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def _compare(unit: np.ndarray, weights: np.ndarray, leaves: list[np.ndarray], here: int, split: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _compare(unit: np.ndarray, weights: np.ndarray, forest: Forest, here: int, split: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links per member, local root per member) over pairs whose first common leaf is this one.
 
-    split > 0: the first `split` members against the rest; 0: all against all.
+    A member's leaves are walked again from its vector, for members with a link only.  split > 0: the first `split` members against the rest; 0: all against all.
     """
     n = len(unit)
     a, b = (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
@@ -114,8 +145,8 @@ def _compare(unit: np.ndarray, weights: np.ndarray, leaves: list[np.ndarray], he
     # members of each earlier leaf: pairs that meet there are counted there
     touched = np.unique(np.concatenate([a[ra], b[ca]]))
     earlier: dict[int, list[int]] = {}
-    for i in touched.tolist():
-        for x in leaves[i].tolist():
+    for i, leaves in zip(touched.tolist(), forest.leaves(unit[touched]), strict=True):
+        for x in leaves.tolist():
             if x >= here:
                 break
             earlier.setdefault(x, []).append(i)
@@ -147,9 +178,8 @@ def vector_groups(
     vector: str = "embedding",
     id_col: str = "vec_id",
     threshold: float = 0.9,
-    trees: int = 6,
-    leaf: int = 512,
-    spill: float | None = None,
+    recall: float = 0.995,
+    leaf: int = 1_024,
     sample: int = 32_768,
     block: int = 2_048,
     seed: int = 17,
@@ -159,60 +189,66 @@ def vector_groups(
     n_links counts the other rows with cosine >= threshold that the forest finds (copies of the same vector included),
     component_id is the smallest id reachable over links, itself included.  Null or zero vectors, those with null or
     non-finite components, and those of another length than most link with nothing and form their own component.
+    Ids may be of any type that orders; rows that repeat an id are rows of their own; a null id names a component only
+    where no member has another.  An empty table gives no rows.
+
     The forest is fitted on at most `sample` distinct vectors, those with the smallest hashes; all rows are indexed.
-    spill defaults to half the spread of the projected difference of two vectors at the threshold.
+    Depth and number of trees follow from the number of vectors (plan_forest).
     """
     spark = table.sparkSession
-    rows = written(table.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(usable("v"), F.lit(False))), "vectors")
+    kind = table.schema[vector].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v")).withColumn("ok", F.coalesce(usable("v"), F.lit(False)))
+    rows = written(rows, "vectors")
     sizes = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = sizes["d"] if sizes else 0
     fine = F.col("ok") & (F.size("v") == dim)
-    keyed = rows.where(fine).select("id", "v", F.transform("v", lambda x: x + F.lit(0.0)).alias("key"))
-    classes = written(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
+    keyed = rows.where(fine).select("id", F.transform("v", lambda x: x + F.lit(0).cast(kind)).alias("key"))
+    classes = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     chosen = classes.orderBy(F.xxhash64("key")).limit(sample).select("key").toPandas()["key"]
     fit = unit_rows(list(chosen), dim)[1] if dim else np.zeros((0, 1))
-    spill = 0.5 * np.sqrt((2 - 2 * threshold) / max(dim, 1)) if spill is None else spill
-    forest = fit_forest(fit, trees, leaf, spill, classes.count(), seed)
-    shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            yield pd.Series(shared.value.leaves(unit_rows(list(vectors), dim)[1]), dtype=object)
-
-    @F.pandas_udf(BinaryType())
-    def packed(vectors: pd.Series) -> pd.Series:
-        return pd.Series([u.tobytes() for u in unit_rows(list(vectors), dim)[1]], dtype=object)
-
-    routed = written(classes.select("first", "copies", packed("key").alias("unit"), route("key").alias("leaves")), "routed")
-    spread = routed.select("*", F.explode("leaves").alias("leaf"))
-    counts = written(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count(), "leaves")
+    trees, depth, spill = plan_forest(classes.count(), leaf, threshold, recall)
+    shared = spark.sparkContext.broadcast(fit_forest(fit, trees, depth, spill, seed))  # bounded by the sample
+    width = np.dtype(np.float32 if kind == "float" else np.float64)
+
+    @F.arrow_udf(StructType([StructField("raw", BinaryType()), StructField("leaves", ArrayType(LongType()))]))
+    def route(vectors: pa.Array) -> pa.Array:
+        raw = vectors.flatten().to_numpy(zero_copy_only=False).astype(width).reshape(-1, dim)
+        leaves = [x for at in range(0, len(raw), 1024) for x in shared.value.leaves(units(raw[at : at + 1024]))]
+        return pa.StructArray.from_arrays([pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], names=["raw", "leaves"])
+
+    routed = written(classes.select("node", "copies", route("key").alias("r")).select("node", "copies", "r.raw", "r.leaves"), "routed")
+    counts = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
     large = counts.where(F.col("count") > block).select("leaf", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     # a member of a leaf of p parts belongs to one part and visits each pair that its part is in
-    placed = spread.join(large, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("first", "leaf"), F.col("parts")).cast("int"))
+    placed = routed.select("node", "copies", "raw", F.explode("leaves").alias("leaf")).join(id_side(large, "leaves"), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node", "leaf"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("first", "copies", "unit", "leaves", "leaf", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    placed = placed.select("node", "copies", "raw", "leaf", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
 
     def leaf_pairs(key: tuple, members: pa.Table) -> pa.Table:
         here, low, high = (k.as_py() for k in key)
-        members = members.sort_by([("part", "ascending"), ("first", "ascending")])
-        unit = np.frombuffer(b"".join(members["unit"].to_pylist()), dtype=np.float64).reshape(-1, dim)
+        members = members.sort_by([("part", "ascending"), ("node", "ascending")])
+        unit = units(np.frombuffer(b"".join(members["raw"].to_pylist()), dtype=width).reshape(-1, dim))
         split = int(np.sum(members["part"].to_numpy() == low)) if low != high else 0
-        first = members["first"].to_numpy()
-        if low != high and split in (0, len(first)):
-            links, root = np.zeros(len(first), dtype=np.int64), np.arange(len(first))
+        node = members["node"].to_numpy()
+        if low != high and split in (0, len(node)):
+            links, root = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
         else:
-            links, root = _compare(unit, members["copies"].to_numpy(), [np.array(x) for x in members["leaves"].to_pylist()], here, split, threshold)
-        keep = (links > 0) | (root != np.arange(len(first)))
-        return pa.table({"first": first[keep], "links": links[keep], "root": first[root[keep]]})
-
-    found = placed.groupBy("leaf", "low", "high").applyInArrow(leaf_pairs, "first long, links long, root long")
-    found = written(found, "links")
-    linked = found.groupBy("first").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("first <> root").select(F.col("first").alias("u"), F.col("root").alias("v")))
-    named = classes.join(linked, "first", "left").join(parts.withColumnRenamed("node", "first"), "first", "left")
-    named = written(named.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "named")
+            links, root = _compare(unit, members["copies"].to_numpy(), shared.value, here, split, threshold)
+        keep = (links > 0) | (root != np.arange(len(node)))
+        return pa.table({"node": node[keep], "links": links[keep], "root": node[root[keep]]})
+
+    found = written(placed.groupBy("leaf", "low", "high").applyInArrow(leaf_pairs, "node long, links long, root long"), "links")
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    group = classes.join(linked, "node", "left").join(parts, "node", "left")
+    group = written(group.select("key", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("part")), "groups")
+    firsts = written(group.groupBy("part").agg(F.min("first").alias("component_id")), "firsts")
+    named = written(group.join(firsts, "part").select("key", "n_links", "component_id"), "named")
+    for t in (classes, routed, found, group, firsts):
+        drop_written(t)
     inside = keyed.join(named, "key").select("id", "n_links", "component_id")
     alone = rows.where(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return inside.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from dossierlake.llm.common import drop_written, written
+from dossierlake.llm.common import drop_written, small_batches, written
 
 MIN_WORDS = 50
 RARE = 8
@@ -192,6 +192,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     The lines are written once, where they are; only those that several documents hold are shuffled again.
     """
+    small_batches(docs.sparkSession)
     held = written(lines_of(docs, text, id_col), "lines")
     counts = written(held.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "counts")
     # joined first, so that a hot line can be split; rows that repeat a document collapse on the way out

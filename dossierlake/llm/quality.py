@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from dossierlake.llm.common import small_batches
+
 SHAPES, WORDS = 2_048, 2_048
 REPEATED_WORD, REPEATED_LINE, EXTRA = SHAPES + WORDS, SHAPES + WORDS + 1, 2
 WIDTH = SHAPES + WORDS + EXTRA
-CACHE = 200_000
+CACHE = 50_000
 _known: dict[str, tuple[int, int]] = {}
 
 
@@ -162,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4_000, rank: int = 4
                 names=["id", "label", "slots", "vals"],
             )
 
+    small_batches(docs.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, label int, slots array<long>, vals array<double>").collect()
     got.sort(key=lambda r: r["id"])
@@ -174,6 +177,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str
     Only the text enters the score, and only the text goes to Python.  Null and empty texts get the share of label 1
     in the sample, and 0.5 if that is empty.  Repeated rows keep their rows; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.arrow_udf(DoubleType())

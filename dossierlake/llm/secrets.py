@@ -3,11 +3,14 @@
 DataFrame functions only.  Long runs of key characters are candidates.  Two questions are asked of each:
 
 * Does it look random?  Under the uniform model of its inferred encoding, a chi-squared test of the alphabet, a runs
-  test and a lag-one serial correlation must all fail to reject (Bonferroni over the three).
+  test and a lag-one serial correlation each give a p-value; they are combined by Bonferroni.  The null is "random",
+  so what is discovered is a string that is not: of those thrown away so, at most a share `alpha` is random.
 * Is it something text would not hold?  Under a fixed model of letters in text, the surprise of the string has a
-  known mean and variance per character, so its p-value sharpens with length.  These p-values go through a
-  Benjamini-Hochberg cut-off at rate `fdr` within each length class of the whole corpus, so that many short
-  candidates do not use up what few long ones may claim.
+  known mean and variance per character, so its p-value sharpens with length.  The null is "text": of those kept, at
+  most a share `fdr` is text.
+
+Both rates are held by Benjamini-Hochberg cut-offs within each length class of the whole corpus, so that many short
+candidates do not use up what few long ones may claim.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def _battery(values: Column, k: Column) -> Column:
 
 
 def _tested(match: Column) -> Column:
-    """struct<encoding, p_random, score: tenths of -log10 p of the text model, stratum: length class>."""
+    """struct<encoding, odd, score, stratum>: tenths of -log10 p of the battery and of the text model, and the length class."""
     body = F.rtrim(match, F.lit("="))
     surprise = _text_model()
     weights = F.create_map(*[F.lit(x) for c, s in surprise.items() for x in (c, s)])
@@ -103,7 +106,8 @@ def _tested(match: Column) -> Column:
         folded = F.when(b == F.upper(b), F.lower(b)).otherwise(b)
         z = (F.aggregate(chars(folded), F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(weights, c), F.lit(10.0))) - F.length(b) * mean) / (F.sqrt(F.length(b).cast("double")) * spread)
         score = F.least(F.floor(-10 * F.log10(_tail(z))), F.lit(P_BINS)).cast("int")
-        return F.struct(name.alias("encoding"), p_random.alias("p_random"), score.alias("score"), F.floor(F.log2(F.length(b).cast("double"))).cast("int").alias("stratum"))
+        odd = F.least(F.floor(-10 * F.log10(F.greatest(F.least(p_random, F.lit(1.0)), F.lit(1e-300)))), F.lit(P_BINS)).cast("int")
+        return F.struct(name.alias("encoding"), odd.alias("odd"), score.alias("score"), F.floor(F.log2(F.length(b).cast("double"))).cast("int").alias("stratum"))
 
     return let(body, test)
 
@@ -132,21 +136,22 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", fd
     spans = spans.select(id_col, "base", free.alias("runs"))
     tested = F.transform("runs", lambda r: F.struct(r["start"], r["end"], _tested(r["match"]).alias("t")))
     spans = written(spans.select(id_col, "base", tested.alias("runs")), "secrets")
-    cuts = {r["stratum"]: r["cut"] for r in _cut_offs(spans, fdr).collect()}  # at most one per power of two
+    # at most one per power of two
+    cuts, odd_cuts = ({r["stratum"]: r["cut"] for r in _cut_offs(spans, x, rate).collect()} for x, rate in (("score", fdr), ("odd", alpha)))
 
-    def cut(stratum: Column) -> Column:
+    def cut(stratum: Column, cuts: dict[int, int]) -> Column:
         out = F.lit(P_BINS + 1)
         for k, v in cuts.items():
             out = F.when(stratum == k, v).otherwise(out)
         return out
 
-    chosen = F.filter("runs", lambda r: (r["t"]["p_random"] >= alpha) & (r["t"]["score"] >= cut(r["t"]["stratum"])))
+    chosen = F.filter("runs", lambda r: (r["t"]["odd"] < cut(r["t"]["stratum"], odd_cuts)) & (r["t"]["score"] >= cut(r["t"]["stratum"], cuts)))
     return spans.select(id_col, "base", F.transform(chosen, lambda r: F.struct(r["start"], r["end"], r["t"]["encoding"].alias("encoding"), r["t"]["score"].alias("score"))).alias("random"))
 
 
-def _cut_offs(spans: DataFrame, fdr: float) -> DataFrame:
+def _cut_offs(spans: DataFrame, score: str, fdr: float) -> DataFrame:
     """Per length class the least score that Benjamini-Hochberg lets pass: (stratum, cut)."""
-    bins = spans.select(F.explode("runs.t").alias("t")).groupBy("t.stratum", "t.score").count()
+    bins = spans.select(F.explode("runs.t").alias("t")).groupBy("t.stratum", F.col(f"t.{score}").alias("score")).count()
     above = W.partitionBy("stratum").orderBy(F.desc("score"))
     ranked = bins.select("stratum", "score", F.sum("count").over(above).alias("at_least"), F.sum("count").over(W.partitionBy("stratum")).alias("all"))
     passing = ranked.where(F.pow(F.lit(10.0), -F.col("score") / 10) <= fdr * F.col("at_least") / F.col("all"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from dossierlake.llm.common import connected_components, drop_written, id_side, written
+from dossierlake.llm.common import connected_components, drop_written, id_side, small_batches, written
 
 #: ASCII white space of the word definition [^\x20\x09-\x0D]+
 SPACES = r"[\x20\x09-\x0D]+"
@@ -31,7 +31,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column) -> Column:
     """Whole text to its words, A-Z lower-cased; null and blank texts have none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPACES, -1), lambda w: w != "")
+    whole = F.coalesce(text, F.lit(""))
+    # in ASCII texts lower() changes A-Z alone, at a fraction of the time
+    low = F.when(F.length(whole) == F.octet_length(whole), F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER))
+    return F.filter(F.split(low, SPACES, -1), lambda w: w != "")
 
 
 def shingle_hashes(tokens: Column, size: int) -> Column:
@@ -99,6 +102,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     in the join.  Empty and null texts share fingerprint zero and are linked like any other.  Repeated ids keep all
     their rows; a null id stays a row but never names a group unless its whole group has none; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     prints = written(fingerprints(docs, text, id_col, shingle), "simhash")
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
     parts = connected_components(hamming_links(classes, radius))
@@ -112,24 +116,68 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 #: Documents up to which all pairs of one key are formed as rows, and documents of a block where more hold it.
-FEW, BLOCK = 32, 400
+FEW, BLOCK = 100, 400
 #: One document of SHARE is counted to order the shingles, and at most FREQUENT of them are kept as frequent ones.  Any
 #: order loses no pair; a good one makes fewer candidates.
 SHARE, FREQUENT = 16, 200_000
-#: Bits of a set's parity vector.
-PARITY = 1024
+#: Odd constants of the shingle hash (those of the splitmix64 generator)
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `size` words, given as hashes; fewer words give one, none give none."""
+    x = np.ascontiguousarray(hashes, dtype=np.int64).view(np.uint64)
+    size = min(size, len(x))
+    if not size:
+        return np.zeros(0, dtype=np.int64)
+    out = x[: len(x) - size + 1].copy()
+    for k in range(1, size):
+        out = out * MIX[0] + x[k : len(x) - size + 1 + k]
+    out = (out ^ (out >> np.uint64(30))) * MIX[1]
+    out = (out ^ (out >> np.uint64(27))) * MIX[2]
+    return np.unique((out ^ (out >> np.uint64(31))).view(np.int64))
+
+
+def parity(members: np.ndarray) -> np.ndarray:
+    """The set's parity vector as longs: 2n to 4n bits for n members, a power of two, 64 at least."""
+    width = max(64, 1 << (2 * len(members) - 1).bit_length())
+    return np.packbits(np.bincount(members & (width - 1), minlength=width) & 1, bitorder="little").view("<i8")
+
+
+def _each(hashes: pa.Array) -> Iterator[np.ndarray]:
+    flat, ends = hashes.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False)).tolist()
+    return (flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) for x in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *parts])))
+
+
+def distinct_shingles(size: int):
+    """UDF of word hashes: the shingle set."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def shingles(hashes: pa.Array) -> pa.Array:
+        return _lists([shingle_set(h, size) for h in _each(hashes)])
+
+    return shingles
 
 
 def frequent_shingles(tokens: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that more than three documents of a sample hold, and those numbers; at most FREQUENT."""
     part = tokens.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)
-    each = part.select(F.explode(F.array_distinct(shingle_hashes(F.col("w"), shingle))).alias("h"))
+    each = part.select(F.explode_outer(distinct_shingles(shingle)(F.col("h"))).alias("h")).where("h is not null")
     top = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
     return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def sketcher(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
-    """UDF of a text's shingle hashes: number of distinct shingles, their SimHash, their parity vector, and keys.
+def sketcher(frequent: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float):
+    """UDF of a text's word hashes: number of distinct shingles, their SimHash, their parity vector, and keys.
 
     The keys are the first n - ceil(similarity * n) + 1 of n distinct shingles, rarest first, then by hash: two sets
     at the similarity share at least ceil(similarity * n) for either n, so that their keys have one in common.
@@ -140,27 +188,19 @@ def sketcher(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
 
     @F.arrow_udf(StructType([StructField("n", IntegerType()), StructField("fp", LongType()), StructField("odd", ArrayType(LongType())), StructField("keys", ArrayType(LongType()))]))
     def sketch(hashes: pa.Array) -> pa.Array:
-        ends = np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False))
-        flat = hashes.flatten().to_numpy(zero_copy_only=False)
-        sizes, prints, odd, keys = [], np.zeros(len(hashes), dtype=np.int64), np.zeros((len(hashes), PARITY // 8), dtype=np.uint8), []
-        for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-            x = np.unique(flat[a:b])
+        sizes, prints, odd, keys = [], [], [], []
+        for h in _each(hashes):
+            x = shingle_set(h, shingle)
+            ones = sum((np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(x), 1 << 16)), np.zeros(64, dtype=np.int64))
             sizes.append(len(x))
-            if not len(x):
-                keys.append(x)
-                continue
-            ones = sum(np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(x), 1 << 16))
-            prints[i] = np.packbits(ones * 2 > len(x), bitorder="little").view("<i8")[0]
-            odd[i] = np.packbits(np.bincount(x & (PARITY - 1), minlength=PARITY) & 1)
-            take = len(x) - ceil(similarity * len(x) - 1e-9) + 1
-            if len(known):
+            prints.append(np.packbits(ones * 2 > len(x), bitorder="little").view("<i8")[0])
+            odd.append(parity(x) if len(x) else x)
+            take = len(x) - ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
+            if len(known) and len(x):
                 at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                 x = x[np.argsort(np.where(known[at] == x, often[at], 0), kind="stable")]
             keys.append(x[:take])
-        lists = lambda flat, counts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
-        parity = lists(odd.view("<i8").ravel(), np.full(len(hashes), PARITY // 64))
-        keyed = lists(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), [len(k) for k in keys])
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(prints), parity, keyed], names=["n", "fp", "odd", "keys"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), _lists(odd), _lists(keys)], names=["n", "fp", "odd", "keys"])
 
     return sketch
 
@@ -200,15 +240,19 @@ def _possible(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFram
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     total = F.col("n_u") + F.col("n_v")
     least = F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
-    differ = F.aggregate(F.zip_with("odd_u", "odd_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return written(both.where(_fits(similarity) & (differ <= total - 2 * least)).select("u", "v"), "possible")
+    # sizes that fit differ by one doubling of the width at most: the wider vector is folded onto itself
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), xor)
+    narrow = lambda x, y: F.when(F.size(x) > F.size(y), folded(F.col(x))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(narrow("odd_u", "odd_v"), narrow("odd_v", "odd_u"), xor), F.lit(0), lambda s, x: s + F.bit_count(x))
+    return written(both.where(_fits(similarity)).where(differ <= total - 2 * least).select("u", "v"), "possible")
 
 
 def _sets(rows: DataFrame, heads: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(node, s): whole shingle sets of some nodes, from their texts."""
     wanted = id_side(heads.join(nodes.distinct(), "node", "left_semi").select("id", "body", "node"), "wanted")
-    kept = rows.join(wanted, ["id", "body"]).select("node", words(F.col("text")).alias("w"))
-    sets = written(kept.select("node", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("s")).dropDuplicates(["node"]), "sets")
+    kept = rows.join(wanted, ["id", "body"]).select("node", word_hashes(F.col("text")).alias("h"))
+    sets = written(kept.select("node", distinct_shingles(shingle)(F.col("h")).alias("s")).dropDuplicates(["node"]), "sets")
     drop_written(wanted)
     return sets
 
@@ -324,10 +368,13 @@ def _groups(docs: DataFrame, text: str, id_col: str, shingle: int, similarity: f
     A document is an id and a text; `body` is the hash of the text, so that rows that repeat an id with another text
     are documents of their own, and rows that repeat both are one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.col(text).alias("text"))
-    tokens = rows.select("id", "body", words(F.col("text")).alias("w"))
-    sketch = sketcher(frequent_shingles(tokens, shingle), similarity)
-    made = tokens.select("id", "body", F.unhex(F.md5(F.array_join("w", " "))).alias("same"), sketch(shingle_hashes(F.col("w"), shingle)).alias("s"))
+    tokens = rows.select("id", "body", word_hashes(F.col("text")).alias("h"))
+    sketch = sketcher(frequent_shingles(tokens, shingle), shingle, similarity)
+    # word sequences are equal if their hashes are: 128 bits of them
+    same = F.unhex(F.md5(F.concat_ws(" ", F.col("h").cast("array<string>"))))
+    made = tokens.select("id", "body", same.alias("same"), sketch(F.col("h")).alias("s"))
     every = written(made.select(F.monotonically_increasing_id().alias("node"), "id", "body", "same", "s.n", "s.fp", "s.odd", "s.keys"), "every")
     # one row for each word sequence; its number is the node
     heads = written(every.groupBy("same").agg(F.min(F.struct("id", "body", "node", "n", "fp", "odd")).alias("f")).select("same", "f.*"), "heads")

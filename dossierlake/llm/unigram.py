@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import small_batches
+
 SPACE = "▁"
 #: How far an unknown character scores below the worst piece (the library's constant)
 UNKNOWN_PENALTY = 10.0
@@ -99,6 +101,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str
             counts = [model.count(t.as_py() or "") for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, out])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` long"]))
 
 

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm.common import new_path, written
+from dossierlake.llm.common import written
+from dossierlake.sources.files import scratch_path
 
 #: record header fields of the two ARC versions (fixed values)
 ARC_FIELDS = {
@@ -237,6 +238,6 @@ def convert(archives: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 def warc_digest(pages: DataFrame) -> DataFrame:
     """Pages to ARC, converted to WARC in the shared folder, and read back."""
-    path = new_path(pages.sparkSession, "warc")
+    path = scratch_path(pages.sparkSession, "warc")
     convert(pages_to_arc(pages), path)
     return read_warc(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
