@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.functions.hooks import hook
 from dossierlake.functions.spans import let, regex_spans
 
 #: type, pattern, confidence (fixed values)
@@ -19,10 +20,11 @@ PATTERNS = [
 ]
 NO_ENTITY_CONFIDENCE = 0.99
 METHOD, VERSION = "regex", "1.0.0"
+ENTITY = "struct<start:int,neg_length:int,neg_confidence:double,kind:string,end:int,original:string>"
 
 
 def pii_detect(text: Column) -> Column:
-    """All matches of all patterns, sorted by start, longer first, surer first:
+    """All matches of all patterns, and what the model plugged in as `ner` finds, sorted by start, longer first, surer first:
     array<struct<start, neg_length, neg_confidence, kind, end, original>>."""
 
     def found(kind: str, pattern: str, confidence: float) -> Column:
@@ -33,10 +35,8 @@ def pii_detect(text: Column) -> Column:
             ),
         )
 
-    return F.array_sort(F.concat(*[found(*p) for p in PATTERNS]))
-
-
-ENTITY = "struct<start:int,neg_length:int,neg_confidence:double,kind:string,end:int,original:string>"
+    more = hook("ner", lambda t: F.array())(text).cast(f"array<{ENTITY}>")
+    return F.array_sort(F.concat(*[found(*p) for p in PATTERNS], more))
 
 
 def pii_overlap(entities: Column) -> Column:

@@ -1,31 +1,18 @@
-"""Event payloads, prompts, model replies, exact diffs and text reports; hooks for outside models."""
+"""Event payloads, prompts, model replies, exact diffs and text reports."""
 
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: models that a caller may plug in: embed, ner, severity
-HOOKS: dict[str, Callable[[Column], Column]] = {}
 PROMPT_LIMIT = 40_000
 REPLY = "struct<executive_summary:string,key_findings:array<string>,risks:array<string>,recommended_next_steps:array<string>>"
 
 
-def register_hook(name: str, f: Callable[[Column], Column]) -> None:
-    """Use f, a function of a text column (say, a pandas UDF), wherever the library asks for this model."""
-    if name not in ("embed", "ner", "severity"):
-        raise ValueError(f"no hook is named {name}")
-    HOOKS[name] = f
-
-
-def hook(name: str, default: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return HOOKS.get(name, default)
-
-
 def prompt_rows(docs: DataFrame, template: str = "Summarise this %s submission.\n\n%s", text: str = "text", kind: str = "submission_type") -> DataFrame:
     """docs plus a prompt for an outside model; the text is cut to the model's limit of characters."""
     return docs.withColumn("prompt", F.format_string(template, F.col(kind), F.substring(F.col(text), 1, PROMPT_LIMIT)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.functions.hooks import hook
+
 #: keywords, required fields and notes (fixed values)
 KEYWORDS = {
     "drug": ("indication", "dosage", "contraindication", "stability", "manufacturing", "safety"),
@@ -133,6 +135,11 @@ def summarise(docs: DataFrame, text: str = "text", kind: str = "submission_type"
 
 
 def sae_severity(text: Column) -> Column:
+    """struct<severity, score> by the model plugged in as `severity`, else by words."""
+    return hook("severity", severity_by_words)(text)
+
+
+def severity_by_words(text: Column) -> Column:
     """struct<severity, score> by the first group of words found anywhere in the lower-cased text."""
     low = F.lower(text)
     pair = lambda s, x: F.struct(F.lit(s).alias("severity"), F.lit(x).alias("score"))
@@ -207,9 +214,15 @@ def version_pairs(docs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def comparison_report(diffs: DataFrame) -> DataFrame:
-    """A markdown report for each pair from its bag diff."""
-    body = diffs.groupBy("pair_id").agg(F.sum(F.greatest("change", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("change"), F.lit(0))).alias("removed"), F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("diff"))
+    """A markdown report for each pair from its bag diff: counts, the lines themselves, and what they may mean."""
+    line = F.struct("line", F.when(F.col("change") > 0, "+ ").otherwise("- ").alias("sign"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x["sign"], x["line"]))
+    body = diffs.groupBy("pair_id").agg(
+        F.sum(F.greatest("change", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("change"), F.lit(0))).alias("removed"), F.array_join(lines, "\n").alias("diff")
+    )
+    count = lambda label, c: F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))
+    notes = F.array_join(significance_notes(F.col("diff")), "\n")
+    report = F.concat_ws("\n", F.lit("# Comparison"), count("Additions", "added"), count("Deletions", "removed"), F.lit("## Diff"), F.col("diff"), F.lit("## Significance"), notes)
     return body.select(
-        "pair_id", "added", "removed", F.array_join(changed_sections(F.col("diff")), ",").alias("sections"), F.array_join(significance_notes(F.col("diff")), " ").alias("notes"),
-        diff_confidence(F.col("added") + F.col("removed")).alias("confidence"), F.concat_ws("\n", F.lit("# Comparison"), F.concat(F.lit("Additions: "), F.col("added").cast("string")), F.concat(F.lit("Deletions: "), F.col("removed").cast("string"))).alias("report"),
-    )
+        "pair_id", "added", "removed", F.array_join(changed_sections(F.col("diff")), ",").alias("sections"), diff_confidence(F.col("added") + F.col("removed")).alias("confidence"), report.alias("report")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossierlake.functions.hooks import hook
 from dossierlake.functions.spans import let
 from dossierlake.operators.dashboards import at
 
@@ -31,12 +32,20 @@ def l2_normalise(v: Column) -> Column:
     return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: F.lit(0.0))))
 
 
-def embed_texts(text: Column, dim: int = 64) -> Column:
-    """Default embedding: signed hashed words, square roots of counts, unit length.  No words: zeros."""
+def hashed_words(text: Column, dim: int = 64) -> Column:
+    """Hashed words, square roots of counts, unit length.  No words: zeros."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.sqrt(F.size(F.filter(s, lambda x: x == j)).cast("double")))
-    return let(let(slots, count), l2_normalise)
+    every = F.sequence(F.lit(0), F.lit(dim - 1))
+    # sorted, with each slot once more: a slot's count is the distance to where the next one begins, less one
+    slots = F.array_sort(F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim))), every.cast("array<bigint>")))
+    begins = lambda s: F.concat(F.transform(every, lambda j: F.array_position(s, j.cast("bigint"))), F.array((F.size(s) + 1).cast("bigint")))
+    counts = lambda p: F.transform(every, lambda j: F.sqrt((F.get(p, j + 1) - F.get(p, j) - 1).cast("double")))
+    return let(let(let(slots, begins), counts), l2_normalise)
+
+
+def embed_texts(text: Column, dim: int = 64) -> Column:
+    """Embedding of a text by the model plugged in as `embed`, else by hashed words."""
+    return hook("embed", lambda t: hashed_words(t, dim))(text)
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS, metric: str = "cosine") -> DataFrame:

@@ -168,9 +168,6 @@ query("version_pairs", "select a.doc_num as pair_id, length(a.text) as n_a, leng
     lambda t: pairs(t).select("pair_id", F.length("text_a").alias("n_a"), F.length("text_b").alias("n_b"))
 )
 query("line_diff_bag", BAG)(lambda t: s.line_diff_bag(pairs(t)))
-query("comparison_report", f"select pair_id, cast(sum(greatest(change, 0)) as bigint) as added, cast(sum(greatest(-change, 0)) as bigint) as removed, case when sum(abs(change)) <= 3 then 0.75 else 0.9 end as confidence from ({BAG}) group by 1")(
-    lambda t: s.comparison_report(s.line_diff_bag(pairs(t))).select("pair_id", "added", "removed", "confidence")
-)
 query(
     "changed_sections",
     f"select doc_id, case when len(x) = 0 then 'general_content' else array_to_string(x, ',') end as sections from (select doc_id, list_filter({duck_list(('outcome', *s.ASPECTS))}, lambda w: contains(lower(text), w)) as x from reg_text)",
@@ -179,6 +176,13 @@ NOTES = "[" + ", ".join(f"case when contains(lower(text), {q(w)}) then {q(n)} en
 query("significance_notes", f"select doc_id, case when len(x) = 0 then 'No specific high-impact regulatory term was detected in the diff.' else array_to_string(x, ' | ') end as notes from (select doc_id, list_filter({NOTES}, lambda y: y is not null) as x from reg_text)")(
     lambda t: t.reg_text.select("doc_id", joined(s.significance_notes(F.col("text"))).alias("notes"))
 )
+query(
+    "comparison_report",
+    f"""select pair_id, added, removed, confidence, concat('# Comparison', chr(10), 'Additions: ', cast(added as varchar), chr(10), 'Deletions: ', cast(removed as varchar), chr(10), '## Diff', chr(10), text, chr(10), '## Significance', chr(10),
+    case when len(x) = 0 then 'No specific high-impact regulatory term was detected in the diff.' else array_to_string(x, chr(10)) end) as report from (select *, list_filter({NOTES}, lambda y: y is not null) as x from (
+    select pair_id, cast(sum(greatest(change, 0)) as bigint) as added, cast(sum(greatest(-change, 0)) as bigint) as removed, case when sum(abs(change)) <= 3 then 0.75 else 0.9 end as confidence,
+    string_agg(concat(case when change > 0 then '+ ' else '- ' end, line), chr(10) order by line) as text from ({BAG}) group by 1))""",
+)(lambda t: s.comparison_report(s.line_diff_bag(pairs(t))).select("pair_id", "added", "removed", "confidence", "report"))
 
 
 def governance(t: Tables) -> DataFrame:

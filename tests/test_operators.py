@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions.spans import regex_spans, running_sum
-from dossierlake.operators import anonymise, audit, chunks, ingest, rules, summary, text
+from dossierlake.operators import anonymise, audit, bus, chunks, ingest, rules, summary, text, vectors
 from dossierlake.sources import files
 from dossierlake.streaming import streams
 
@@ -152,3 +152,60 @@ def test_retry_stream_equals_batch(spark, tmp_path):
     got = streams.run_once(stream, spark, str(tmp_path / "run"))
     want = retry_route(df, order=("ts", "event_id"))
     assert sorted((r.event_id, r.attempt, r.target) for r in got.collect()) == sorted((r.event_id, r.attempt, r.target) for r in want.collect())
+
+
+def test_plugged_in_models_are_used_where_the_library_asks(spark):
+    from dossierlake.functions.hooks import hook, register_hook
+
+    rows = spark.createDataFrame([("d", "see Ann here")], "doc_id string, text string")
+    name = F.array(F.struct(F.lit(4).alias("start"), F.lit(-3).alias("neg_length"), F.lit(-0.8).alias("neg_confidence"), F.lit("PERSON").alias("kind"), F.lit(7).alias("end"), F.lit("Ann").alias("original")))
+    register_hook("ner", lambda t: name)
+    register_hook("embed", lambda t: F.array(F.length(t).cast("double")))
+    register_hook("severity", lambda t: F.struct(F.lit("minor").alias("severity"), F.lit(0.1).alias("score")))
+    try:
+        r = anonymise.anonymise(rows).first()
+        assert r.anonymised_text.startswith("see <PERSON_1_") and r.anonymised_text.endswith("> here")
+        assert rows.select(vectors.embed_texts(F.col("text")).alias("v"), summary.sae_severity(F.col("text")).alias("s")).first() == ([12.0], ("minor", 0.1))
+    finally:
+        for n in ("ner", "embed", "severity"):
+            register_hook(n, None)
+    assert hook("embed", len) is len
+
+
+def test_json_of_a_chain_has_sorted_keys_at_every_level(spark):
+    rows = spark.sql("select 1 as b, named_struct('z', 1, 'a', array(named_struct('y', 2, 'x', 3))) as a")
+    assert rows.select(audit.canonical(rows, "b", "a").alias("j")).first().j == '{"a":{"a":[{"x":3,"y":2}],"z":1},"b":1}'
+
+
+def test_windows_of_a_busy_key_equal_one_window(spark):
+    rng = random.Random(5)
+    data = [(i, rng.choice(["a", "a", "b"]), rng.randrange(0, 4000)) for i in range(600)]
+    rows = spark.createDataFrame(data, "req_id long, ip string, s long").select("req_id", "ip", F.timestamp_seconds("s").alias("ts"))
+    got = {r.req_id: r.in_window for r in bus.sliding_rate(rows, "ip", 5, 60).collect()}
+    assert got == {i: sum(p == ip and s - 60 < t <= s for _, p, t in data) for i, ip, s in data}
+
+
+def test_alert_stretches_cross_bucket_edges(spark):
+    rng = random.Random(6)
+    times = sorted(rng.sample(range(20_000), 400))
+    data = [(k, t, rng.random() < 0.9) for k in "xy" for t in times]
+    rows = spark.createDataFrame(data, "k string, s long, on boolean").select("k", F.timestamp_seconds("s").alias("ts"), "on")
+    want = set()
+    for k in "xy":
+        run = []
+        for _, t, on in [d for d in data if d[0] == k] + [(k, None, False)]:
+            if on:
+                run.append(t)
+                continue
+            if run and run[-1] - run[0] >= 500:
+                want.add((k, run[0], run[-1], len(run)))
+            run = []
+    for bucket in (300, 3000, 86_400):
+        found = bus.sustained_alert(rows, F.col("on"), 500, "k", "ts", bucket).select("k", F.unix_timestamp("since"), F.unix_timestamp("until"), "samples").collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want) > 3
+
+
+def test_limiter_holds_no_more_than_it_needs(spark):
+    rows = spark.createDataFrame([(i, "a", t) for i, t in enumerate([0, 1, 2, 3, 61, 62, 63, 200, 400])], "req_id long, ip string, s long")
+    got = {r.req_id: r.outcome for r in streams.rate_block_state(rows.select("req_id", "ip", F.timestamp_seconds("s").alias("ts")), 2, 60, 2, 3600, 300).collect()}
+    assert got == {0: "ok", 1: "ok", 2: "limited", 3: "limited", 4: "blocked", 5: "blocked", 6: "blocked", 7: "blocked", 8: "ok"}
