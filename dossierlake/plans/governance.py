@@ -40,9 +40,36 @@ query("pii_detect", "select * from (" + " union all ".join(f"select doc_id, '{k}
     .groupBy("doc_id", "e.kind")
     .agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e.start", "e.original"))), lambda x: x["original"]), "|").alias("originals"))
 )
-query("pii_spans")(lambda t: a.entity_rows(a.anonymise(t.reg_text)))
-query("anonymise_text")(lambda t: a.anonymise(t.reg_text).select("doc_id", "anonymised_text", "n_entities", "confidence"))
-query("pseudonymise")(lambda t: a.anonymise(t.reg_text).select("doc_id", F.array_join("pseudonyms", ",").alias("pseudonyms")))
+
+
+def duck_spans(kind: str, confidence: float) -> str:
+    """Matches of one pattern and where they start: gaps and matches before them."""
+    p = duck_pattern(kind)
+    length = "coalesce(list_sum(list_transform({}, lambda z: length(z))), 0)"
+    return f"""select doc_id, '{kind}' as kind, {confidence} as confidence, m[i] as original, {length.format("g[1:i]")} + {length.format("m[1:i-1]")} as s
+        from (select doc_id, m, g, unnest(range(1, len(m) + 1)) as i from (select doc_id, regexp_extract_all(text, {p}) as m, string_split_regex(text, {p}) as g from reg_text))"""
+
+
+FOUND = f"""select doc_id, list(struct_pack(kind := kind, confidence := confidence, original := original, s := cast(s as int), e := cast(s + length(original) as int))
+    order by s, -length(original), -confidence, kind) as found from ({" union all ".join(duck_spans(k, c) for k, _, c in a.PATTERNS)}) group by 1"""
+KEPT = f"""select r.doc_id, text, submission_type, lang, coalesce(list_transform(list_reduce(list_transform(found, lambda x, i: struct_pack(until := x.e, s := x.s, kept := [i])),
+    lambda a, x: case when x.s >= a.until then struct_pack(until := x.until, s := a.s, kept := list_concat(a.kept, x.kept)) else a end).kept, lambda k: found[k]), []) as e
+    from reg_text r left join ({FOUND}) f on f.doc_id = r.doc_id"""
+KEYED = f"select *, list_transform(e, lambda x: concat(x.kind, ':', lower(x.original))) as keys from ({KEPT})"
+NAMED = f"""select *, list_transform(e, lambda x, i: concat('<', x.kind, '_', len(list_filter(range(1, list_position(keys, keys[i]) + 1), lambda j: list_position(keys, keys[j]) = j)), '_',
+    upper(substr(sha256(concat(doc_id, ':', keys[i])), 1, 6)), '>')) as p from ({KEYED})"""
+ANONYMISED = f"""select *, cast(len(e) as int) as n_entities, case when len(e) = 0 then 0.99 else round(list_avg(list_transform(e, lambda x: x.confidence)), 3) end as confidence,
+    case when len(e) = 0 then text else concat(array_to_string(list_transform(e, lambda x, i: concat(substr(text, coalesce(e[i-1].e, 0) + 1, x.s - coalesce(e[i-1].e, 0)), p[i])), ''), substr(text, e[-1].e + 1)) end as anonymised_text from ({NAMED})"""
+SPAN_ROWS = f'select doc_id, x.kind as kind, x.s as "start", x.e as "end", x.original as original from (select doc_id, unnest(e) as x from ({KEPT}))'
+query("pii_spans", SPAN_ROWS)(lambda t: a.entity_rows(a.anonymise(t.reg_text)))
+query("pii_overlap", f"select doc_id, cast(len(e) as int) as kept, cast(len(found) as int) as found from ({KEPT}) join ({FOUND}) using (doc_id)")(
+    lambda t: t.reg_text.select("doc_id", a.pii_detect(F.col("text")).alias("e")).select("doc_id", F.size(a.pii_overlap(F.col("e"))).alias("kept"), F.size("e").alias("found")).where("found > 0")
+)
+query("anonymise_text", f"select doc_id, anonymised_text, n_entities, confidence from ({ANONYMISED})")(lambda t: a.anonymise(t.reg_text).select("doc_id", "anonymised_text", "n_entities", "confidence"))
+query("anonymise_summary", f"select doc_id, n_entities, confidence, cast(len(list_distinct(keys)) as int) as n_values from ({ANONYMISED})")(
+    lambda t: a.anonymise(t.reg_text).select("doc_id", "n_entities", "confidence", F.size(F.array_distinct("pseudonyms")).alias("n_values"))
+)
+query("pseudonymise", f"select doc_id, array_to_string(p, ',') as pseudonyms from ({NAMED})")(lambda t: a.anonymise(t.reg_text).select("doc_id", F.array_join("pseudonyms", ",").alias("pseudonyms")))
 query(
     "entity_stats",
     "select kind, cast(sum(n) as bigint) as n from (" + " union all ".join(f"select '{k}' as kind, len({m}) as n from reg_text" for k, m in MATCHES.items()) + ") group by 1 having sum(n) > 0",
@@ -81,7 +108,12 @@ query(
     case when len({absent(s.SUMMARY_FIELDS)}) > 0 then 'Request applicant clarification for missing mandatory fields.' end, case when not contains(({RISKS})[1], 'No explicit') then 'Route to CDSCO reviewer for priority assessment.' end,
     case when submission_type = 'sae' then 'Verify SAE seriousness, causality, and mandatory reporting timeline.' end], lambda y: y is not null) as x from reg_text)""",
 )(lambda t: s.summarise(t.reg_text).select("doc_id", joined("next_steps").alias("next_steps")))
-query("summary_confidence")(lambda t: s.summarise(t.reg_text).select("doc_id", "summary_confidence", "word_count"))
+query(
+    "summary_confidence",
+    f"""select doc_id, case when trim(text) = '' then 0.2 else round(greatest(0.3, least(0.95, 0.72 + least(len(case when len(h) > 0 then h[1:5] when len(s) > 0 then s[1:3] else ['none'] end), 5) * 0.04 - len({absent(s.SUMMARY_FIELDS)}) * 0.03)), 3) end as summary_confidence,
+    cast(len(list_filter(string_split_regex(case when len(s) = 0 then 'No readable document content was available.' else array_to_string(s[1:5], ' ') end, '\\s+'), lambda x: x <> '')) as int) as word_count
+    from (select *, list_filter(s, lambda x: len(list_filter(k, lambda w: contains(lower(x), w))) > 0) as h from (select *, {duck_by_type(s.KEYWORDS)} as k from ({WITH_S})))""",
+)(lambda t: s.summarise(t.reg_text).select("doc_id", "summary_confidence", "word_count"))
 query("completeness", f"select doc_id, array_to_string({absent(s.REQUIRED_FIELDS)}, ',') as missing, (4 - len({absent(s.REQUIRED_FIELDS)})) / 4 as completeness from reg_text")(
     lambda t: s.scorecard(t.reg_text).select("doc_id", F.array_join("missing", ",").alias("missing"), "completeness")
 )
@@ -193,4 +225,9 @@ def governance(t: Tables) -> DataFrame:
     return found.withColumn("d", r.decision(F.col("findings"))).groupBy("submission_type", "lang", "d.decision").agg(F.count("*").alias("n"))
 
 
-query("entry_governance")(governance)
+LEFT = " + ".join(f"len(regexp_extract_all(anonymised_text, {duck_pattern(k)}))" for k, _, _ in a.PATTERNS)
+query(
+    "entry_governance",
+    f"""select submission_type, lang, case when leaks > 0 then 'blocked' when n_entities = 0 and length(anonymised_text) > 500 then 'review_required' else 'pass' end as decision, count(*) as n
+    from (select *, {LEFT} as leaks from ({ANONYMISED})) group by 1, 2, 3""",
+)(governance)

@@ -77,8 +77,9 @@ query("validate_domains", "select doc_id, case when doc_num % 5 = 0 then 'submis
     lambda t: t.submissions.select("doc_id", i.validate_domains(F.when(F.col("doc_num") % 5 != 0, F.col("submission_type")), F.when(F.col("doc_num") % 3 != 0, F.col("portal_source"))).alias("reason"))
 )
 query("content_checksum", "select doc_id, sha256(text) as checksum from documents")(lambda t: t.documents.select("doc_id", i.content_checksum(F.col("text").cast("binary")).alias("checksum")))
-query("assign_doc_id")(lambda t: t.documents.select(F.col("doc_id").alias("doc_num"), i.assign_doc_id(F.concat_ws("|", "source", F.col("doc_id").cast("string"))).alias("doc_id")))
-query("assign_doc_id_collisions")(
+HASHED = "concat('DOC-', lpad(to_base(cast(concat('0x', substr(sha256({key}), 1, 15)) as bigint), 36), 12, '0'))"
+query("assign_doc_id", f"select doc_id as doc_num, {HASHED.format(key="concat(coalesce(source || '|', ''), cast(doc_id as varchar))")} as doc_id from documents")(lambda t: t.documents.select(F.col("doc_id").alias("doc_num"), i.assign_doc_id(F.concat_ws("|", "source", F.col("doc_id").cast("string"))).alias("doc_id")))
+query("assign_doc_id_collisions", f"select d as doc_id, count(*) as keys from (select {HASHED.format(key='cast(doc_id as varchar)')} as d from documents) group by 1 having count(*) > 1")(
     lambda t: i.id_collisions(t.documents.select(F.col("doc_id").cast("string").alias("k")).select("k", i.assign_doc_id(F.col("k")).alias("doc_id")), "k")
 )
 PATH = "concat('raw/', submission_type, '/', strftime(created_at, '%Y/%m/%d'), '/', doc_id, '/', original_filename)"
