@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -232,30 +230,22 @@ def pii_columns(headers: Column) -> Column:
     return F.array_intersect(clean, F.array(*[F.lit(c) for c in PII_COLUMNS]))
 
 
-class _Data(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.parts: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        if data.strip():
-            self.parts.append(data.strip())
+#: tags, comments and declarations of markup; what stands between them is data
+MARKUP = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>"
+#: named references that text holds (fixed values); the ampersand last
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
 def markup_recover_text(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, text): the non-blank data of possibly malformed markup, a piece a line."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf[html]:
-                parser = _Data()
-                parser.feed(t or "")
-                parser.close()
-                out.append("\n".join(parser.parts))
-            yield pd.DataFrame({id_col: pdf[id_col], "text": out})
-
-    return pages.select(id_col, html).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, text string")
+    """(id, text): the non-blank data of possibly malformed markup, a piece a line.
+
+    A tag that never closes is data.  References other than REFERENCES stay as they are.  Null markup has an empty text.
+    """
+    pieces = F.transform(F.split(F.coalesce(F.col(html), F.lit("")), MARKUP, -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    text = F.array_join(F.filter(pieces, lambda x: x != ""), "\n")
+    for name, char in REFERENCES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return pages.select(id_col, text.alias("text"))
 
 
 def header_footer_lines(blocks: DataFrame, min_pages: int = 3, first_pages: int = 10) -> DataFrame:

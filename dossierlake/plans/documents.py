@@ -87,7 +87,10 @@ query("csv_delimiter", "select event_id, case when event_id % 4 = 0 then ',' whe
 query("pii_columns", "select doc_id, case doc_num % 3 when 0 then 'patient_name,email' when 1 then 'dob' else '' end as pii from submissions")(
     lambda t: t.submissions.select("doc_id", F.array_join(x.pii_columns(F.when(F.col("doc_num") % 3 == 0, F.array(F.lit("Patient Name"), F.lit("Email"), F.lit("x"))).when(F.col("doc_num") % 3 == 1, F.array(F.lit("DOB"))).otherwise(F.array(F.col("lang")))), ",").alias("pii"))
 )
-query("markup_recover_text")(lambda t: x.markup_recover_text(t.pages))
+PLAIN = "array_to_string(list_filter(list_transform(string_split_regex(html, '" + x.MARKUP + "'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> ''), chr(10))"
+for name, char in x.REFERENCES:
+    PLAIN = f"replace({PLAIN}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+query("markup_recover_text", f"select page_id, {PLAIN} as text from pages")(lambda t: x.markup_recover_text(t.pages))
 BLOCKS = "select l_orderkey as doc_id, l_linenumber as page, case when l_quantity < 25 then 'Header' else l_returnflag end as text, cast(l_quantity * 16 as double) as y0, 800.0 as height from lineitem"
 query(
     "header_footer_lines",

@@ -82,7 +82,11 @@ def artefacts(t):
 
 
 query("write_artefacts", "select doc_id, cast(year(created_at) as int) as y, cast(month(created_at) as int) as m, cast(day(created_at) as int) as d, sha256(text) as hash from submissions where submission_type = 'sae' and month(created_at) = 1")(artefacts)
-query("csv_tables")(
+query(
+    "csv_tables",
+    """select o_custkey as doc_id, cast(row_number() over (partition by o_custkey order by line) as int) as row_no, line as cells from (select o_custkey, concat(cast(o_orderkey as varchar), '|', o_orderstatus) as line from orders)
+    union all select distinct o_custkey, 0, 'order|status' from orders""",
+)(
     lambda t: f.csv_tables(
         t.orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("order;status\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderstatus"))), "\n")).cast("binary").alias("content")).withColumn("delimiter", F.lit(";"))
     ).select("doc_id", "row_no", F.array_join("cells", "|").alias("cells"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import tempfile
 import uuid
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,33 +51,35 @@ def write_artefacts(rows: DataFrame, path: str, created: str = "created_at") ->
     dated.write.partitionBy("submission_type", "y", "m", "d").parquet(path)
 
 
+#: a record: runs of characters other than quotes and line ends, and quoted strings, which may hold line ends
+CSV_RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"|")++'
+DELIMITERS = (",", "\t", ";", "|")
+
+
+def _cells(record: Column, delimiter: str) -> Column:
+    """Cells of a CSV record; quotes around a cell go, doubled ones inside it become one."""
+    d = "\\t" if delimiter == "\t" else f"[{delimiter}]"
+    # a delimiter in front of the first cell as well: no match is empty
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(rf'{d}("(?:[^"]++|"")*+"|[^{d.strip("[]")}]*+)'), F.lit(1))
+    return F.transform(cells, lambda c: F.when(c.rlike(r'(?s)^".*"$') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def csv_tables(files: DataFrame, delimiter: str = "delimiter", content: str = "content", id_col: str = "doc_id", max_rows: int = 10_000) -> DataFrame:
     """Cells of CSV content: (id, row_no, cells) for at most max_rows rows a file, as the format's reader has it.
 
     Byte-order marks go, text that is not UTF-8 is read as Latin-1, blank rows are skipped, and rows are padded or cut
-    to the width of the first.  Row 0 is the header where there is more than one row.
+    to the width of the first.  Row 0 is the header where there is more than one row.  Delimiters other than comma, tab,
+    semicolon and bar are read as commas.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, data, d in zip(pdf[id_col], pdf[content], pdf[delimiter], strict=True):
-                try:
-                    text = bytes(data).decode("utf-8-sig")
-                except UnicodeDecodeError:
-                    text = bytes(data).decode("latin-1")
-                width, n = None, 0
-                for row in csv.reader(io.StringIO(text), delimiter=d):
-                    if not any(c.strip() for c in row):
-                        continue
-                    if n == max_rows:
-                        break
-                    width = len(row) if width is None else width
-                    out.append((i, n, (row + [""] * width)[:width]))
-                    n += 1
-            yield pd.DataFrame(out, columns=[id_col, "row_no", "cells"])
-
-    return files.select(id_col, content, delimiter).mapInPandas(run, f"{id_col} {files.schema[id_col].dataType.simpleString()}, row_no int, cells array<string>")
+    utf8 = F.decode(content, "ISO-8859-1")
+    utf8 = F.when(F.is_valid_utf8(F.col(content).cast("string")), F.regexp_replace(F.col(content).cast("string"), "^\ufeff", "")).otherwise(utf8)
+    records = files.select(id_col, F.col(delimiter).alias("d"), F.regexp_extract_all(utf8, F.lit(CSV_RECORD), F.lit(0)).alias("records"))
+    cells = lambda r: F.when(F.col("d") == "\t", _cells(r, "\t")).when(F.col("d") == ";", _cells(r, ";")).when(F.col("d") == "|", _cells(r, "|")).otherwise(_cells(r, ","))
+    filled = F.filter(F.transform("records", cells), lambda row: F.exists(row, lambda c: F.trim(c) != ""))
+    rows = records.select(id_col, F.slice(filled, 1, max_rows).alias("rows"))
+    width = lambda: F.size(F.get("rows", F.lit(0)))
+    padded = lambda row: F.slice(F.concat(row, F.array_repeat(F.lit(""), width())), F.lit(1), width())
+    return rows.select(id_col, F.posexplode(F.transform("rows", padded)).alias("row_no", "cells"))
 
 
 def xml_flatten(files: DataFrame, xml: str = "xml", id_col: str = "doc_id", max_depth: int = 12) -> DataFrame:

@@ -1,5 +1,6 @@
 """Literal cases and differential tests of the reference's operators."""
 
+import csv
 import hashlib
 import io
 import random
@@ -141,6 +142,26 @@ def test_csv_rules(spark):
     assert sorted((r.doc_id, r.row_no, tuple(r.cells)) for r in got) == [(1, 0, ("a", "b")), (1, 1, ("1", "2")), (1, 2, ("4", "")), (2, 0, ("é", "x"))]
 
 
+def test_csv_against_the_format_s_reader(spark):
+    rng = random.Random(12)
+    cell = lambda: rng.choice(["x", "", " ", "a b", "é", "1.5", '"q"', '"a,b;c"', '"two\nlines"', '"say ""hi"""', '""'])
+    texts = [",".join(cell() for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    texts = ["\n".join(texts[i : i + rng.randrange(1, 5)]) for i in range(300)]
+    rows = [(i, bytearray(t.encode()), ",") for i, t in enumerate(texts)]
+    want = {}
+    for i, t in enumerate(texts):
+        kept = [r for r in csv.reader(io.StringIO(t, newline="")) if any(c.strip() for c in r)]
+        want |= {(i, n): (r + [""] * len(kept[0]))[: len(kept[0])] for n, r in enumerate(kept)}
+    got = files.csv_tables(spark.createDataFrame(rows, "doc_id int, content binary, delimiter string")).collect()
+    assert {(r.doc_id, r.row_no): list(r.cells) for r in got} == want
+
+
+def test_markup_that_is_broken(spark):
+    rows = {1: "<p>a &amp; b<br>c</p", 2: "x < y <b >z</b><!-- <i>no</i> --> end", 3: None, 4: "<!doctype html>\n<a href='>'>", 5: "&amp;lt; &nbsp;"}
+    got = {r.page_id: r.text for r in text.markup_recover_text(spark.createDataFrame(list(rows.items()), "page_id int, html string")).collect()}
+    assert got == {1: "a & b\nc</p", 2: "x < y\nz\nend", 3: "", 4: "'>", 5: "&lt; \u00a0"}
+
+
 def test_retry_stream_equals_batch(spark, tmp_path):
     from dossierlake.operators.bus import retry_route
 
