@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dossierlake.functions.scratch import scratch_path
 from dossierlake.operators import bus as b
 from dossierlake.plans.fixtures import NOW
 from dossierlake.plans.registry import query
-from dossierlake.sources.files import scratch_path
 
 TS = f"timestamp '{NOW}'"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
+from dossierlake.functions.scratch import scratch_path
 from dossierlake.operators import anonymise as a
 from dossierlake.plans.bus import ROUTE
 from dossierlake.plans.registry import query
@@ -15,7 +16,7 @@ from dossierlake.streaming import streams as s
 
 def stream_of(rows):
     """A table as a stream: written into a folder of the shared store, whose files are the stream's input."""
-    path = f.scratch_path(rows.sparkSession, "stream-input")
+    path = scratch_path(rows.sparkSession, "stream-input")
     rows.write.parquet(path)
     return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
 
@@ -24,14 +25,14 @@ def events(t):
     return stream_of(t.events)
 
 
-query("stream_dedup", "select event_id, user_id from events")(lambda t: s.run_once(s.stream_dedup(events(t)), t.spark, f.scratch_path(t.spark, "dedup")).select("event_id", "user_id"))
+query("stream_dedup", "select event_id, user_id from events")(lambda t: s.run_once(s.stream_dedup(events(t)), t.spark, scratch_path(t.spark, "dedup")).select("event_id", "user_id"))
 query("rate_windows_stream", "select time_bucket(interval 1 minute, ts) - to_minutes(k) as window_start, count(*) as n from events, (select unnest([0,1,2,3,4]) as k) group by 1")(
-    lambda t: s.run_once(s.rate_windows_stream(events(t)), t.spark, f.scratch_path(t.spark, "rates"), "complete")
+    lambda t: s.run_once(s.rate_windows_stream(events(t)), t.spark, scratch_path(t.spark, "rates"), "complete")
 )
 
 
 def anonymised(t):
-    path = f.scratch_path(t.spark, "governed")
+    path = scratch_path(t.spark, "governed")
     docs = stream_of(t.documents)
 
     def stage(batch):
@@ -47,7 +48,7 @@ query("rate_block_state")(lambda t: s.rate_block_state(t.request_log, 1, 86_400,
 
 
 def alerts(t):
-    path = f.scratch_path(t.spark, "alerts")
+    path = scratch_path(t.spark, "alerts")
     s.dlq_alert_stream(stream_of(t.dlq_events), path, f"{path}-state", every=None).awaitTermination()
     return t.spark.read.parquet(f"{path}/alerts").select("topic", "depth", "severity")
 
@@ -57,7 +58,7 @@ query("dlq_alert_stream", "select original_topic as topic, count(*) as depth, ca
 
 def routed(t):
     failures = t.event_log.select("topic", "doc_id", "event_id", (F.col("processing_status") == "failed").alias("failed"), F.col("produced_at").alias("ts"))
-    return s.run_once(s.retry_route_stream(stream_of(failures), 3, None), t.spark, f.scratch_path(t.spark, "routed")).withColumn("attempt", F.col("attempt").cast("long"))
+    return s.run_once(s.retry_route_stream(stream_of(failures), 3, None), t.spark, scratch_path(t.spark, "routed")).withColumn("attempt", F.col("attempt").cast("long"))
 
 
 query("retry_route_stream", ROUTE.format(limit=3))(routed)
@@ -76,7 +77,7 @@ query("scan_events_bad", "select event_id from events where event_id % 9 = 4 or
 
 def artefacts(t):
     """Submissions written by type and date, and one type of one month read back."""
-    path = f.scratch_path(t.spark, "artefacts")
+    path = scratch_path(t.spark, "artefacts")
     f.write_artefacts(t.submissions.select("doc_id", "submission_type", "created_at", F.sha2("text", 256).alias("hash")), path)
     return t.spark.read.parquet(path).where("submission_type = 'sae' and m = 1").select("doc_id", "y", "m", "d", "hash")
 
