@@ -16,7 +16,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -26,6 +26,8 @@ SHAPES, WORDS = 2_048, 2_048
 REPEATED_WORD, REPEATED_LINE, EXTRA = SHAPES + WORDS, SHAPES + WORDS + 1, 2
 WIDTH = SHAPES + WORDS + EXTRA
 CACHE = 50_000
+#: Documents of a block of cosine products
+ROWS = 64
 _known: dict[str, tuple[int, int]] = {}
 
 
@@ -100,13 +102,13 @@ class Model:
             return out
         unit = self.latent(texts)
         k = min(self.neighbours, len(self.labels))
-        for a in range(0, len(texts), 256):
-            cosine = unit[a : a + 256] @ self.vectors.T
+        for a in range(0, len(texts), ROWS):
+            cosine = unit[a : a + ROWS] @ self.vectors.T
             near = nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** 8
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
-            out[a : a + 256] = np.where(total > 0, np.divide(vote, total, out=np.zeros_like(vote), where=total > 0), prior)
+            out[a : a + ROWS] = np.where(total > 0, np.divide(vote, total, out=np.zeros_like(vote), where=total > 0), prior)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -171,21 +173,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4_000, rank: int = 4
     return fit([(r["slots"], r["vals"]) for r in got], [r["label"] for r in got], rank, neighbours)
 
 
+def scorer(spark: SparkSession, model: Model):
+    """UDF of a text: its score."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
+
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.scores(texts.slice(at, ROWS).to_pylist()) for at in range(0, len(texts), ROWS)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score
+
+
 def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs plus a score from 0 to 1 of every whole text, higher where label 1 is likelier; replaces a column `out`.
 
     Only the text enters the score, and only the text goes to Python.  Null and empty texts get the share of label 1
     in the sample, and 0.5 if that is empty.  Repeated rows keep their rows; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-
-    @F.arrow_udf(DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        parts = [shared.value.scores(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
-
-    return docs.drop(out).withColumn(out, score(F.col(text)))
+    return docs.drop(out).withColumn(out, scorer(docs.sparkSession, model)(F.col(text)))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,7 +201,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **params) -> DataFrame:
-    """docs that score at least the threshold; columns unchanged."""
-    model = train(docs, labels, **params)
-    return score_documents(docs, model, out="_quality_score").where(F.col("_quality_score") >= threshold).drop("_quality_score")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", **params) -> DataFrame:
+    """docs that score at least the threshold; columns unchanged, whatever their names."""
+    score = scorer(docs.sparkSession, train(docs, labels, text=text, **params))
+    return docs.where(score(F.col(text)) >= threshold)

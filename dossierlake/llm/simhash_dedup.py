@@ -15,7 +15,6 @@ from functools import reduce
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -44,20 +43,23 @@ def shingle_hashes(tokens: Column, size: int) -> Column:
     return F.transform(starts, lambda at: F.xxhash64(F.array_join(F.slice(tokens, at, size), " ")))
 
 
-@F.pandas_udf(LongType())
-def majority(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A bit is 1 if it is set in more than half of a row's hashes; no hashes give 0."""
-    for rows in batches:
-        out = np.zeros(len(rows), dtype=np.int64)
-        for i, h in enumerate(rows):
-            if h is None or not len(h):
-                continue
-            ones = np.zeros(64, dtype=np.int64)
-            h = np.ascontiguousarray(h, dtype="<u8" if h.dtype.kind == "u" else "<i8").view(np.uint8).reshape(-1, 8)
-            for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
-                ones += np.unpackbits(h[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]
-        yield pd.Series(out)
+def majority_bits(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in more than half of the hashes; no hashes give 0."""
+    ones, h = np.zeros(64, dtype=np.int64), np.ascontiguousarray(hashes, dtype="<i8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
+        ones += np.unpackbits(h[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
+def _each(hashes: pa.Array) -> Iterator[np.ndarray]:
+    """The rows of an array of arrays of longs."""
+    flat, ends = hashes.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False)).tolist()
+    return (flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+
+@F.arrow_udf(LongType())
+def majority(hashes: pa.Array) -> pa.Array:
+    return pa.array([majority_bits(h) for h in _each(hashes)], pa.int64())
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -148,11 +150,6 @@ def parity(members: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(members & (width - 1), minlength=width) & 1, bitorder="little").view("<i8")
 
 
-def _each(hashes: pa.Array) -> Iterator[np.ndarray]:
-    flat, ends = hashes.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False)).tolist()
-    return (flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *(len(x) for x in parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *parts])))
@@ -191,9 +188,8 @@ def sketcher(frequent: tuple[np.ndarray, np.ndarray], shingle: int, similarity:
         sizes, prints, odd, keys = [], [], [], []
         for h in _each(hashes):
             x = shingle_set(h, shingle)
-            ones = sum((np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(x), 1 << 16)), np.zeros(64, dtype=np.int64))
             sizes.append(len(x))
-            prints.append(np.packbits(ones * 2 > len(x), bitorder="little").view("<i8")[0])
+            prints.append(majority_bits(x))
             odd.append(parity(x) if len(x) else x)
             take = len(x) - ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
             if len(known) and len(x):

@@ -4,6 +4,11 @@ An Aho-Corasick automaton names every vocabulary piece that ends at a position;
 score and the number of pieces on the best path, and no path is kept.  Scores tie as in the tokenizer library: starts are
 tried from left to right and only a strictly better path replaces one, so that of equal paths to a position the one with
 the longest last piece stands.
+
+The library adds scores in single precision.  Where a vocabulary holds scores of very different size (the given file has
+its space signs at -1e9, where neighbouring single-precision numbers are 64 apart) the library's sum loses what parts two
+paths, and it takes the longer last piece; the sums here are exact and take the better path.  On the 93,796 different words
+of 1,000 documents the counts differ in 368, on whole texts in 615 of 1,000, by 1.5 per cent on average.
 """
 
 from __future__ import annotations

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierlake.functions.scratch import scratch_path
 from dossierlake.llm.common import written
-from dossierlake.sources.files import scratch_path
 
 #: record header fields of the two ARC versions (fixed values)
 ARC_FIELDS = {
@@ -165,8 +165,17 @@ def mark_revisits(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
     return marked.withColumn("type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_page")))
 
 
-def write_warc(marked: DataFrame, path: str, records_per_file: int = 5_000) -> None:
-    """Write captures as gzipped WARC 1.1 files into a folder; a revisit holds the HTTP header alone."""
+#: Records, and bytes of payload, of a WARC file at most
+FILE_RECORDS, FILE_BYTES = 5_000, 1 << 30
+
+
+def write_warc(marked: DataFrame, path: str, largest: int = 0) -> None:
+    """Write captures as gzipped WARC 1.1 files into a folder; a revisit holds the HTTP header alone.
+
+    largest: bytes of the largest payload, from which follows how many records a file may hold, so that a task can read
+    a whole file.  Spark's text writer makes one gzip member of a file.
+    """
+    records_per_file = max(1, min(FILE_RECORDS, FILE_BYTES // max(largest, 1)))
     revisit = F.col("type") == "revisit"
     http = F.when(F.col("http") == "", "").otherwise(F.concat("http", F.lit("\r\n\r\n")))
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
@@ -231,13 +240,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, kind)
 
 
-def convert(archives: DataFrame, path: str, min_bytes: int = 0) -> None:
+def convert(archives: DataFrame, path: str, min_bytes: int = 0, largest: int = 0) -> None:
     """ARC files (path, content) to WARC files in a folder, equal payloads as revisits of the first."""
-    write_warc(mark_revisits(arc_to_captures(archives), min_bytes), path)
+    write_warc(mark_revisits(arc_to_captures(archives), min_bytes), path, largest)
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
     """Pages to ARC, converted to WARC in the shared folder, and read back."""
     path = scratch_path(pages.sparkSession, "warc")
-    convert(pages_to_arc(pages), path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    convert(pages_to_arc(pages), path, largest=largest)
     return read_warc(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import public_tokenizers as tok
+from pyspark.sql import functions as F
 
 from dossierlake.llm import bpe
 
@@ -44,3 +45,37 @@ def test_empty_documents_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def awkward(spark):
+    """Null ids, null and blank texts, repeated rows, an id with two texts, a very long text, and columns with clashing names."""
+    a = "\n".join(" ".join(f"a{k}x{i}" for i in range(30)) for k in range(4))
+    b = "\n".join(" ".join(f"b{k}x{i}" for i in range(30)) for k in range(4))
+    long = " ".join(f"w{i % 9973}" for i in range(150_000))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, None), (4, ""), (5, "  \n "), (None, a), (None, None), (6, long), (7, long + " end")]
+    names = ["id", "body", "node", "item", "doc", "removed_lines", "_quality_score", "same"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    return spark.createDataFrame([(i, t, None, "s", len(t or "")) + tuple(names) for i, t in rows], schema)
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = awkward(spark)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    before = texts(docs)
+    good = corpus_pipeline.good_quality(spark, docs, SF)
+    assert good.columns == docs.columns and set(texts(good)) <= set(before)
+    lines = corpus_pipeline.without_repeated_lines(spark, docs, SF)
+    a, b = (next(t for i, t in before if i == d and t and t[0] == c) for d, c in ((1, "a"), (2, "b")))
+    assert lines.columns == docs.columns
+    assert texts(lines) == sorted([x for x in before if x != (2, a)] + [(2, "")], key=repr)
+    once = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert once.columns == docs.columns
+    # 2 with text a and 7 are copies of 1 and 6; blank texts are one group, whose first is 3; null ids stay
+    assert texts(once) == sorted([x for x in before if x != (2, a) and x[0] not in (4, 5, 7)], key=repr)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    leaky = docs.limit(0).unionByName(docs).withColumn("text", F.when(F.col("doc_id").isNull() & F.col("text").isNotNull(), F.lit(bench)).otherwise(F.col("text")))
+    clean = corpus_pipeline.without_leaks(spark, leaky, SF)
+    assert clean.columns == docs.columns and clean.count() == len(before) - 1
+    assert clean.where("doc_id is null").count() == 1
+    assert corpus_pipeline.token_digests(spark, docs, SF).count() == len(before)
+    assert b in [t for _, t in texts(once)]

@@ -36,3 +36,15 @@ def test_edges(spark):
     assert got.columns == ["doc_id", "text", "score"] and [r.score for r in got.collect()] == [0.5, 0.5, 0.5]
     assert quality.keep_good(docs, labels).columns == docs.columns and quality.keep_good(docs, labels).count() == 3
     assert quality.quality_digest(docs.limit(0), labels).count() == 0
+
+
+def test_equal_cosines_count_in_sample_order():
+    cosine = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.3] * 5])
+    assert [sorted(r) for r in quality.nearest(cosine, 2).tolist()] == [[0, 1], [0, 1]]
+
+
+def test_an_id_with_many_rows_counts_once(spark):
+    rows = [(1, "good words here"), (1, "another text"), *[(2, "BAD !!! ###")] * 50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality.train(docs, labels).labels) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (1, 2))
