@@ -163,8 +163,13 @@ def visible_submissions(subs: DataFrame, user: int, role: str, owner: str = "own
 
 
 def reviewer_action(subs: DataFrame, actions: DataFrame) -> DataFrame:
-    """Submissions after the reviewers' actions: approve -> reviewed, reject -> rejected."""
-    joined = subs.join(actions.select("doc_id", "action"), "doc_id", "left")
+    """Submissions after the reviewers' actions: approve -> reviewed, reject -> rejected.
+
+    Of several actions on a document the latest by `acted_at` counts; without times the greatest by name.
+    """
+    order = F.struct("acted_at", "action") if "acted_at" in actions.columns else F.struct("action")
+    latest = actions.groupBy("doc_id").agg(F.max(order).alias("a")).select("doc_id", "a.action")
+    joined = subs.join(latest, "doc_id", "left")
     return joined.withColumn("status", F.when(F.col("action") == "approve", "reviewed").when(F.col("action") == "reject", "rejected").otherwise(F.col("status"))).drop("action")
 
 

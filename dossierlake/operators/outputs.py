@@ -37,19 +37,20 @@ def parse_model_reply(replies: DataFrame, reply: str = "reply") -> tuple[DataFra
 
 
 def line_diff_exact(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(pair, diff, added, removed): unified diff with three lines of context of the stripped non-blank lines of text_a and text_b."""
+    """(pair, diff, added, removed): unified diff with three lines of context of the stripped non-blank lines of text_a and
+    text_b, headed by doc_a and doc_b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, a, b in zip(pdf[key], pdf["text_a"], pdf["text_b"], strict=True):
+            for k, a, b, name_a, name_b in zip(pdf[key], pdf["text_a"], pdf["text_b"], pdf["doc_a"], pdf["doc_b"], strict=True):
                 clean = [[x.strip() for x in (t or "").splitlines() if x.strip()] for t in (a, b)]
-                diff = list(difflib.unified_diff(*clean, lineterm="", n=3))
-                body = [d for d in diff if not d.startswith(("+++", "---"))]
+                diff = list(difflib.unified_diff(*clean, str(name_a), str(name_b), lineterm="", n=3))
+                body = diff[2:]  # the two lines of the heading come first
                 rows.append((k, "\n".join(diff), sum(d.startswith("+") for d in body), sum(d.startswith("-") for d in body)))
             yield pd.DataFrame(rows, columns=[key, "diff", "added", "removed"])
 
-    return pairs.select(key, "text_a", "text_b").mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, diff string, added int, removed int")
+    return pairs.select(key, "doc_a", "doc_b", "text_a", "text_b").mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, diff string, added int, removed int")
 
 
 def output_event(rows: DataFrame, topic: str, fields: tuple[str, ...], key: str = "doc_id") -> DataFrame:

@@ -12,8 +12,8 @@ from dossierlake.operators.dashboards import at
 
 COLLECTIONS = {"drug": "drug_applications", "medical_device": "medical_devices", "clinical_trial": "clinical_trials", "sae": "adverse_events"}
 NEIGHBOURS, SIMILAR = 6, 0.92
-#: Query vectors up to which they are broadcast to the corpus
-BROADCAST_QUERIES = 100_000
+#: Bytes of query vectors up to which they are broadcast to the corpus, and of a block of either side beyond that
+BLOCK_BYTES = 64 << 20
 
 
 def collection_of(kind: Column) -> Column:
@@ -51,13 +51,24 @@ def embed_texts(text: Column, dim: int = 64) -> Column:
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS, metric: str = "cosine") -> DataFrame:
     """The k nearest corpus vectors of each query in its collection: query_id, vec_id, distance, rank.
 
-    Inputs have vec_id, collection and v.  A checked number of queries is broadcast; more are joined by collection.
-    The rank limit is applied before the shuffle too, so each task hands on at most k rows a query.
+    Inputs have vec_id, collection and v.  Queries of a checked size are broadcast; beyond it both sides are cut into
+    blocks of a checked size and each block of queries meets each block of its collection, a task each, so no task
+    holds a collection.  The rank limit is applied before the shuffle too: each task hands on at most k rows a query.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), "collection", F.col("v").alias("qv"))
-    q = F.broadcast(q) if queries.count() <= BROADCAST_QUERIES else q
+    corpus = corpus.select("vec_id", "collection", "v")
+    held = lambda df, v: df.agg(F.coalesce(F.sum(F.size(v)), F.lit(0))).first()[0] * 8
+    on = ["collection"]
+    if (size := held(q, "qv")) <= BLOCK_BYTES:
+        q = F.broadcast(q)
+    else:
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        part, block = -(-size // BLOCK_BYTES), -(-held(corpus, "v") // BLOCK_BYTES)
+        q = q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(part)).cast("int")).withColumn("block", every(block))
+        corpus = corpus.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(block)).cast("int")).withColumn("part", every(part))
+        on = ["collection", "part", "block"]
     distance = {"cosine": 1 - dot(l2_normalise(F.col("qv")), l2_normalise(F.col("v"))), "l2": F.aggregate(F.zip_with("qv", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double"))}[metric]
-    found = corpus.select("vec_id", "collection", "v").join(q, "collection").select("query_id", "vec_id", distance.alias("distance"))
+    found = corpus.join(q, on).select("query_id", "vec_id", distance.alias("distance"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

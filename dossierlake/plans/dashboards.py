@@ -85,7 +85,10 @@ query(
     "select doc_id, case when doc_num % 10 = 0 then 'reviewed' when doc_num % 10 = 1 then 'rejected' else status end as status from submissions",
 )(
     lambda t: d.reviewer_action(
-        t.submissions, t.submissions.where("doc_num % 10 < 2").select("doc_id", F.when(F.col("doc_num") % 10 == 0, "approve").otherwise("reject").alias("action"))
+        t.submissions,
+        # an earlier opposite action on each document does not count
+        t.submissions.where("doc_num % 10 < 2").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("acted_at"), "doc_num")
+        .select("doc_id", "acted_at", F.when(F.col("doc_num") % 10 == F.col("acted_at"), "reject").otherwise("approve").alias("action")),
     ).select("doc_id", "status")
 )
 query("soft_delete", "select doc_id, case when doc_num % 13 = 0 then 'rejected' else status end as status, case when doc_num % 13 = 0 then 'withdrawn' end as reason from submissions")(

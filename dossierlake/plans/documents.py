@@ -180,6 +180,9 @@ query("l2_normalise", "select vec_id, i, round(embedding[i] / sqrt(list_dot_prod
 KNN = f"""select query_id, vec_id, d, rank from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, 1 - list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)) as d
     from (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings where vec_id % 20 = 0) q join (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings) c using (k))) where rank <= 6"""
 query("knn_exact", f"select query_id, vec_id, rank from ({KNN}) where query_id <> vec_id")(lambda t: v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)).where("query_id <> vec_id").select("query_id", "vec_id", "rank"))
+query("topk_neighbours", f"select query_id, vec_id, round(d, 6) as distance, rank from ({KNN})")(
+    lambda t: v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+)
 query("duplicate_candidates", f"select query_id, vec_id, round(1 - d, 4) as similarity from ({KNN}) where query_id <> vec_id and round(1 - d, 4) >= 0.5")(lambda t: v.duplicate_candidates(v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)), 0.5))
 query("embed_texts")(lambda t: t.documents.select("doc_id", v.embed_texts(F.col("text")).alias("e")).select("doc_id", F.round(v.dot(F.col("e"), F.col("e")), 6).alias("norm"), F.round(F.get("e", F.lit(0)), 6).alias("first")))
 query("embedding_cache_join", "select doc_id, sha256(text) in (select sha256(text) from documents where doc_id % 3 = 0) as hit from documents")(

@@ -230,3 +230,13 @@ def test_limiter_holds_no_more_than_it_needs(spark):
     rows = spark.createDataFrame([(i, "a", t) for i, t in enumerate([0, 1, 2, 3, 61, 62, 63, 200, 400])], "req_id long, ip string, s long")
     got = {r.req_id: r.outcome for r in streams.rate_block_state(rows.select("req_id", "ip", F.timestamp_seconds("s").alias("ts")), 2, 60, 2, 3600, 300).collect()}
     assert got == {0: "ok", 1: "ok", 2: "limited", 3: "limited", 4: "blocked", 5: "blocked", 6: "blocked", 7: "blocked", 8: "ok"}
+
+
+def test_neighbours_by_blocks_equal_neighbours_by_broadcast(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 2], [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, collection string, v array<double>")
+    near = lambda: sorted((r.query_id, r.rank, r.vec_id) for r in vectors.knn_exact(df.where("vec_id % 3 = 0"), df).collect())
+    want = near()
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 3000)
+    assert near() == want and len(want) == 600
