@@ -18,8 +18,8 @@ def small_batches(spark: SparkSession) -> None:
     of MB, on either side of the socket, in each task.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key).rstrip("b") or -1)
-    if not 0 < now <= BATCH_BYTES:
+    now = spark.conf.get(key).rstrip("bB")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
         spark.conf.set(key, BATCH_BYTES)
 
 

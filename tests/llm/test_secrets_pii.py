@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 
@@ -102,3 +104,76 @@ def test_random_strings_are_added_and_words_are_not(spark):
 def test_empty_tables(spark):
     assert pii.pii_digest(frame(spark, [None]).limit(0)).count() == 0
     assert secrets.secret_digest(frame(spark, [None]).limit(0)).count() == 0
+
+
+def tail(z):
+    x = min(max(z, -12.0), 12.0)
+    return 1 / (1 + math.exp(1.5976 * x + 0.07056 * x**3))
+
+
+def brute_battery(body):
+    letters = next(a for _, p, a in secrets.ENCODINGS if re.fullmatch(p.strip("^$"), body))
+    v, k, n = [letters.index(c) for c in body], len(letters), len(body)
+    chi = (sum(c * c for c in Counter(v).values()) * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    up = [x * 2 >= k for x in v]
+    high = sum(up)
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    mid = (k - 1) / 2
+    serial = sum((a - mid) * (b - mid) for a, b in zip(v, v[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    return 3 * min(tail(chi), 2 * tail(abs((runs - mean) / spread)), 2 * tail(abs(serial)))
+
+
+def brute_score(body):
+    model = secrets._text_model()
+    share = {c: math.exp(-s) for c, s in model.items()}
+    mean = sum(share[c] * model[c] for c in model)
+    spread = math.sqrt(sum(share[c] * model[c] ** 2 for c in model) - mean * mean)
+    folded = body.lower() if body == body.upper() else body
+    return tail((sum(model.get(c, 10.0) for c in folded) - len(body) * mean) / (math.sqrt(len(body)) * spread))
+
+
+def tenths(p):
+    return min(math.floor(-10 * math.log10(max(min(p, 1.0), 1e-300))), secrets.P_BINS)
+
+
+def cut(scores, rate):
+    passing = [s for s in scores if 10 ** (-s / 10) <= rate * sum(x >= s for x in scores) / len(scores)]
+    return min(passing, default=secrets.P_BINS + 1)
+
+
+def test_added_spans_against_python(spark):
+    """The strings that the tests add over a whole table: both batteries and both Benjamini-Hochberg cut-offs, in plain Python."""
+    rng = random.Random(17)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [upper + upper.lower() + digits + "+/", upper + digits, upper.lower() + digits, upper + upper.lower() + digits, "ab", "etaoinshrdlu"]
+    rows = []
+    for _ in range(400):
+        parts = ["".join(rng.choice(rng.choice(alphabets[:4])) if rng.random() < 0.05 else rng.choice(a) for _ in range(rng.randrange(5, 90))) for a in (rng.choice(alphabets) for _ in range(rng.randrange(0, 4)))]
+        rows.append(" ; ".join([*parts, rng.choice(["", "token=abcdefgh", "0123456789abcdef0123456789", "é🙂"])]))
+    rows += [None, "", rows[0], rows[0]]
+    candidates = []
+    for i, t in enumerate(rows):
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_secrets(t)]
+        for m in re.finditer(secrets.CANDIDATE.replace("}+", "}"), t or ""):
+            if not any(a < m.end() and m.start() < b for a, b in base):
+                body = m[0].rstrip("=")
+                candidates.append((i, m.start(), m.end(), math.floor(math.log2(len(body))), tenths(brute_battery(body)), tenths(brute_score(body))))
+    want = {i: [] for i in range(len(rows))}
+    for stratum in {c[3] for c in candidates}:
+        own = [c for c in candidates if c[3] == stratum]
+        odd, score = cut([c[4] for c in own], 0.01), cut([c[5] for c in own], 0.001)
+        for i, a, b, _, o, s in own:
+            if o < odd and s >= score:
+                want[i].append(f"random:{a}:{b}")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("random")] for r in secrets.secret_digest(frame(spark, rows)).collect()}
+    assert got == {i: sorted(v, key=lambda s: int(s.split(":")[1])) for i, v in want.items()}
+    assert 100 < sum(map(len, want.values())) < len(candidates)
+
+
+def test_repeated_rows_null_ids_and_other_columns(spark):
+    rows = [(1, "mail a@b.co", "x"), (1, "mail a@b.co", "x"), (None, "token=abcdef1", "y"), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, runs string")
+    assert sorted((r.doc_id or 0, r.n_email) for r in pii.pii_digest(df).collect()) == [(0, 0), (1, 1), (1, 1), (2, 0)]
+    assert sorted((r.doc_id or 0, r.n_assign) for r in secrets.secret_digest(df).collect()) == [(0, 1), (1, 0), (1, 0), (2, 0)]
