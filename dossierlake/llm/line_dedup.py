@@ -174,7 +174,7 @@ def _run_pairs(common: DataFrame, min_words: int) -> DataFrame:
 
     each = common.select("doc", F.explode("at").alias("at"), F.xxhash64("key").alias("key"), "words")
     lines = each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "key", "words"))).alias("x"), F.sum("words").alias("size")).where(F.col("size") >= min_words)
-    held = written(lines.select("doc", F.explode(runs(F.col("x.at"), F.col("x.key"), F.col("x.words"))).alias("run")), "runs")
+    held = written(lines.select("doc", F.explode_outer(runs(F.col("x.at"), F.col("x.key"), F.col("x.words"))).alias("run")).where("run is not null"), "runs")
     firsts = written(held.groupBy("run").agg(F.min("doc").alias("earlier"), F.count("*").alias("n")).where("n > 1").select("run", "earlier"), "firsts")
     pairs = written(held.join(firsts, "run").where("earlier < doc").select("doc", "earlier").distinct(), "run-pairs")
     drop_written(held)
@@ -221,8 +221,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     pair = both.groupBy("doc", "earlier").agg(F.collect_list(row).alias("m"))
     # a pair whose common lines are too short together holds no block
     pair = pair.where(F.aggregate("m", F.lit(0), lambda a, x: a + x["w"] * F.size(x["l"])) >= min_words)
-    gone = pair.select("doc", deleted(F.col("m.l"), F.col("m.r"), F.col("m.e"), F.col("m.w")).alias("gone")).where(F.size("gone") > 0)
-    result = gone.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
+    gone = pair.select("doc", deleted(F.col("m.l"), F.col("m.r"), F.col("m.e"), F.col("m.w")).alias("gone"))
+    # filtered after the aggregation: below it the filter would run the alignment a second time, in workers of its own
+    result = gone.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed")).where(F.size("removed") > 0)
     result = written(result.select(F.col("doc.id").alias(id_col), "doc.body", "removed"), "removed")
     for t in (held, counts, met, shared, firsts, *in_runs, pairs, later):
         drop_written(t)

@@ -25,7 +25,7 @@ from dossierlake.llm.common import small_batches
 SHAPES, WORDS = 2_048, 2_048
 REPEATED_WORD, REPEATED_LINE, EXTRA = SHAPES + WORDS, SHAPES + WORDS + 1, 2
 WIDTH = SHAPES + WORDS + EXTRA
-CACHE = 50_000
+CACHE = 30_000
 #: Documents of a block of cosine products
 ROWS = 64
 _known: dict[str, tuple[int, int]] = {}
