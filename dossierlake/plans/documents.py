@@ -183,7 +183,7 @@ query("knn_exact", f"select query_id, vec_id, rank from ({KNN}) where query_id <
 query("topk_neighbours", f"select query_id, vec_id, round(d, 6) as distance, rank from ({KNN})")(
     lambda t: v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 )
-query("duplicate_candidates", f"select query_id, vec_id, round(1 - d, 4) as similarity from ({KNN}) where query_id <> vec_id and round(1 - d, 4) >= 0.5")(lambda t: v.duplicate_candidates(v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)), 0.5))
+query("duplicate_candidates", f"select query_id, vec_id, round(1 - d, 4) as similarity from ({KNN}) where query_id <> vec_id and round(1 - d, 4) >= 0.3")(lambda t: v.duplicate_candidates(v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)), 0.3))
 query("embed_texts")(lambda t: t.documents.select("doc_id", v.embed_texts(F.col("text")).alias("e")).select("doc_id", F.round(v.dot(F.col("e"), F.col("e")), 6).alias("norm"), F.round(F.get("e", F.lit(0)), 6).alias("first")))
 query("embedding_cache_join", "select doc_id, sha256(text) in (select sha256(text) from documents where doc_id % 3 = 0) as hit from documents")(
     lambda t: v.embedding_cache_join(
