@@ -62,10 +62,13 @@ def _needed_of(total: Column, threshold: float) -> Column:
 def simhash(hashes: Column) -> Column:
     """Majority bits of an array of hashes as a long.  Counts of two bits at a time share a long, 32 bits each."""
     lanes = [F.aggregate(hashes, F.lit(0).cast("long"), _lane(g)) for g in range(32)]
-    return let(
-        F.array(F.size(hashes).cast("long"), *lanes),
-        lambda c: _or([F.when(F.shiftright(F.get(c, g + 1), 32 * half).bitwiseAND(F.lit(0x7FFFFFFF)) * 2 > F.get(c, 0), F.lit(_signed(1 << (g + 32 * half)))).otherwise(F.lit(0).cast("long")) for g in range(32) for half in (0, 1)]),
-    )
+
+    def bits(counts: Column) -> Column:
+        ones = lambda g, half: F.shiftright(F.get(counts, g + 1), 32 * half).bitwiseAND(F.lit(0x7FFFFFFF))
+        bit = lambda g, half: F.when(ones(g, half) * 2 > F.get(counts, 0), F.lit(_signed(1 << (g + 32 * half)))).otherwise(F.lit(0).cast("long"))
+        return _or([bit(g, half) for g in range(32) for half in (0, 1)])
+
+    return let(F.array(F.size(hashes).cast("long"), *lanes), bits)
 
 
 def _lane(g: int):

@@ -158,7 +158,8 @@ def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
                     raws.append(r)
                     words.append(len(line.split()))
                 if len(owner) >= LINES or i == batch.num_rows - 1:
-                    columns = [batch.column("doc").take(pa.array(owner, pa.int64())), pa.array(keys, pa.binary()), *(pa.array(x, pa.list_(pa.int32())) for x in (ats, raws)), pa.array(words, pa.int32())]
+                    numbers = [pa.array(x, pa.list_(pa.int32())) for x in (ats, raws)]
+                    columns = [batch.column("doc").take(pa.array(owner, pa.int64())), pa.array(keys, pa.binary()), *numbers, pa.array(words, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc", "key", "at", "raw", "words"])
                     owner, keys, ats, raws, words = [], [], [], [], []
 

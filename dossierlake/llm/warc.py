@@ -121,7 +121,8 @@ def arc_to_captures(archives: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in ("record_id", "uri", "date", "ip", "media", "digest")), ("payload_bytes", pa.int64()), ("http", pa.string()), ("payload", pa.binary())])
+        text = [(n, pa.string()) for n in ("record_id", "uri", "date", "ip", "media", "digest")]
+        schema = pa.schema([("page_id", pa.int64()), *text, ("payload_bytes", pa.int64()), ("http", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
@@ -184,9 +185,12 @@ def write_warc(marked: DataFrame, path: str, largest: int = 0) -> None:
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("uri")),
         line("WARC-IP-Address", F.col("ip")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", F.col("first_record")), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(revisit, F.concat(
+            line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", F.col("first_record")), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string"))
+        )).otherwise(""),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        line("Content-Type", F.when(F.col("http") == "", F.col("media")).otherwise(F.lit("application/http; msgtype=response"))), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"),
+        line("Content-Type", F.when(F.col("http") == "", F.col("media")).otherwise(F.lit("application/http; msgtype=response"))),
+        line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"),
     )
     record = F.concat(head.cast("binary"), F.col("block"), F.lit("\r\n\r").cast("binary"))
     marked.withColumn("block", block).select(record.cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
@@ -218,7 +222,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("record_id", pa.string())])
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "record_id"]
+        schema = pa.schema([(n, pa.int64() if n in ("page_id", "payload_bytes", "refers_to") else pa.string()) for n in names])
         for batch in batches:
             for content in batch.column("content"):
                 raw = content.as_py()
@@ -232,7 +237,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if h["warc-type"] == "response" and (sha1_base32(payload), len(payload)) != (digest, size):
                         raise ValueError(f"payload of {h['warc-record-id']} differs from its digest")
                     refers = h.get("x-refers-to-page-id")
-                    rows.append({"page_id": int(page[1]) if page else None, "payload_bytes": size, "payload_digest": digest, "record_type": h["warc-type"], "refers_to": int(refers) if refers else None, "uri": h.get("warc-target-uri"), "record_id": h["warc-record-id"]})
+                    values = [int(page[1]) if page else None, size, digest, h["warc-type"], int(refers) if refers else None, h.get("warc-target-uri"), h["warc-record-id"]]
+                    rows.append(dict(zip(names, values, strict=True)))
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, record_id string"

@@ -65,3 +65,11 @@ def test_files_are_whole_records(spark, tmp_path):
     for f in (tmp_path / "w").glob("part-*"):
         raw = gzip.decompress(f.read_bytes())
         assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+
+
+def test_very_long_pages_take_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3_000_000)
+    rows = [(i, "u", f"{i} " * 700_000) for i in range(4)] + [(9, "u", "short")]
+    warc.convert(warc.pages_to_arc(frame(spark, rows).coalesce(1)), str(tmp_path / "w"), largest=2_000_000)
+    assert len(list((tmp_path / "w").glob("part-*"))) == 5
+    assert {r.page_id: r.payload_bytes for r in warc.read_warc(spark, str(tmp_path / "w")).collect()} == {i: len(t) for i, _, t in rows}
