@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.functions.spans import let
-from dossierlake.llm.common import id_side
+from dossierlake.llm.common import id_side, written
 
 SHINGLE = 5
 #: At similarity 0.8 the expected distance is 10 bits with a spread of 3 (a window shares 8/9 of its shingles: an angle of
@@ -128,7 +128,8 @@ def _windows(docs: DataFrame, benchmark: DataFrame, threshold: float, radius: in
     # words of the windows that may hold position p
     first = F.greatest(F.col("p") - F.col("n") + 1, F.lit(0))
     around = hits.select("id", "body", "item", "p", "doc_n", first.alias("at"), F.slice("w", first + 1, F.col("p") - first + F.col("n") + SHINGLE - 1).alias("w"))
-    around = around.select("id", "body", "item", "p", "doc_n", "at", _hashes(F.col("w")).alias("h")).join(small(items), "item")
+    # written: windows and short documents both read it, and the texts are split and hashed once
+    around = written(around.select("id", "body", "item", "p", "doc_n", "at", _hashes(F.col("w")).alias("h")), "around").join(small(items), "item")
     member = around.withColumn("m", F.transform("h", lambda x: F.array_contains("item_h", x)))
     starts = F.when(F.size("h") >= F.col("n"), F.sequence(F.lit(0), F.size("h") - F.col("n"))).otherwise(F.array().cast("array<int>"))
     # enough shared shingles, and p the first looked-up member: each window is built once
