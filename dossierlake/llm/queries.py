@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import bpe, decontaminate, embedding_dedup, line_dedup, pii, quality, secrets, simhash_dedup, unigram, warc
+from dossierlake.llm import bpe, centroids, decontaminate, embedding_dedup, line_dedup, merkle, pii, quality, secrets, simhash_dedup, sql, unigram, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,8 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_merkle": op11_merkle,
+    "op12_centroids": op12_centroids,
+    "op13_url_filter": op13_url_filter,
     "pipeline": pipeline,
 }
 
 #: DuckDB SQL of those that SQL can express
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE
