@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from dossierlake.operators.dashboards import at
 
@@ -26,6 +30,10 @@ RETENTION = {
 #: seconds before the nth retry is due (fixed values)
 RETRY_DELAYS = {1: 5, 2: 30, 3: 300}
 STATUSES = ("pending", "reprocessing", "dismissed", "resolved")
+#: pending dead letters of a topic that raise an alert (fixed values)
+DEPTHS = {"WARNING": 10, "CRITICAL": 50}
+#: seconds that an attempt counter lives from its first failure (fixed value)
+ATTEMPT_TTL = DAY
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
@@ -164,6 +172,24 @@ def dlq_dismiss(dlq: DataFrame, event_ids: DataFrame, reason: str, now: str) ->
     return named.select(*[c for c in dlq.columns if c != "status"], F.when(hit, "dismissed").otherwise(F.col("status")).alias("status"), F.when(hit, reason).alias("reason"), F.when(hit, at(now)).alias("resolved_at"))
 
 
+def backlog_alerts(changes: DataFrame, depths: dict[str, int] | None = None, bucket: int = DAY) -> DataFrame:
+    """(topic, event_id, us, depth, severity) each time the pending events of a topic reach a depth from below.
+
+    changes: event_id, topic, status, ts.  A status that is said again changes nothing.  Depths are running sums inside
+    time buckets, on top of the sums of the buckets before, so that a busy topic is no single task.
+    """
+    rows = changes.select("topic", "event_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    pending = F.col("status") == "pending"
+    before = F.coalesce(F.lag(pending).over(W.partitionBy("topic", "event_id").orderBy("us", "status")), F.lit(False))
+    rows = rows.withColumn("delta", pending.cast("int") - before.cast("int")).where("delta <> 0").withColumn("bucket", F.floor(F.col("us") / (bucket * 1_000_000)))
+    sums = rows.groupBy("topic", "bucket").agg(F.sum("delta").alias("sum"))
+    base = F.coalesce(F.sum("sum").over(W.partitionBy("topic").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("delta").over(W.partitionBy("topic", "bucket").orderBy("us", "event_id", "status").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.join(sums.withColumn("base", base).drop("sum"), ["topic", "bucket"]).withColumn("depth", F.col("base") + within)
+    severity = lookup(F.col("depth"), {n: s for s, n in (depths or DEPTHS).items()})
+    return rows.where("delta > 0").select("topic", "event_id", "us", "depth", severity.alias("severity")).where("severity is not null")
+
+
 # --- retries -------------------------------------------------------------------------------------------------------
 
 
@@ -176,6 +202,47 @@ def retry_route(records: DataFrame, limit: int = 3, keys: tuple[str, ...] = ("to
     return nth.withColumn("target", F.when(F.col("attempt") <= limit, F.concat("topic", F.lit(".retry."), F.col("attempt").cast("string"))).otherwise("dlq")).drop("_run")
 
 
+def attempts(times: list[int], failed: list[bool], ttl: int | None, state: tuple[int, int] = (0, 0)) -> tuple[list[int], tuple[int, int]]:
+    """Number of each failure since the last success (0 for a success), and the state (failures, time of the first) after.
+
+    Times are microseconds in ascending order; a counter ends `ttl` seconds after its first failure.
+    """
+    (n, first), out = state, []
+    for us, bad in zip(times, failed, strict=True):
+        if n and ttl is not None and us - first >= ttl * 1_000_000:
+            n = 0
+        n = n + 1 if bad else 0
+        if n == 1:
+            first = us
+        out.append(n)
+    return out, (n, first if n else 0)
+
+
+def retry_route_ttl(records: DataFrame, limit: int = 3, ttl: int | None = ATTEMPT_TTL, keys: tuple[str, ...] = ("topic", "doc_id"), order: tuple[str, ...] = ("produced_at", "event_id")) -> DataFrame:
+    """retry_route with counters that end `ttl` seconds after their first failure.
+
+    When a counter began depends on when the one before it ended, so a key is walked in order: in sorted partitions,
+    keys side by side, with two numbers held.
+    """
+    names, schema = records.columns, StructType([*records.schema.fields]).add("attempt", IntegerType())
+    rows = records.withColumn("_us", F.unix_micros(F.col(order[0]).cast("timestamp")))
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, (0, 0)
+        for batch in batches:
+            numbers = []
+            held = zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column("_us").to_pylist(), batch.column("failed").to_pylist(), strict=True)
+            for key, us, bad in held:
+                if key != now:
+                    now, state = key, (0, 0)
+                (n,), state = attempts([us], [bool(bad)], ttl, state)
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(numbers, pa.int32())], names=[*names, "attempt"])
+
+    walked = rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema).where("failed")
+    return walked.withColumn("target", F.when(F.col("attempt") <= limit, F.concat("topic", F.lit(".retry."), F.col("attempt").cast("string"))).otherwise("dlq"))
+
+
 def retry_due(retries: DataFrame, now: str) -> DataFrame:
     """Retries whose delay has passed, with the topic they came from."""
     due = F.unix_timestamp("retry_ts") + lookup(F.col("attempt"), RETRY_DELAYS, 300)
@@ -215,6 +282,69 @@ def latency_quantiles(events: DataFrame, minutes: int = 5, exact: bool = True) -
     return per.select(F.col("w.start").alias("window_start"), "p50", "p95", "p99")
 
 
+#: upper bounds of latency buckets in milliseconds, the last one open; a histogram of a user's own choice may differ
+LATENCY_BOUNDS = (5, 10, 25, 50, 75, 100, 250, 500, 750, 1_000, 2_500, 5_000, 7_500, 10_000)
+
+
+def latency_histogram(events: DataFrame, minutes: int = 1, bounds: tuple[float, ...] = LATENCY_BOUNDS, value: str = "processing_duration_ms", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of a window's durations per bucket: (keys, window_start, counts), counts one longer than bounds.
+
+    A bucket holds what is above the bound before it and at most its own.  Nulls are left out.  The counts are all that
+    is kept of a window, whatever the number of its events, and add up over windows and keys (merge_histograms).
+    """
+    v, lows = F.col(value), [None, *bounds]
+    within = lambda i: (v > lows[i] if i else F.lit(True)) & (v <= bounds[i] if i < len(bounds) else F.lit(True))
+    per = events.where(v.isNotNull()).groupBy(*keys, F.window("produced_at", f"{minutes} minutes").alias("w")).agg(F.array(*[F.count_if(within(i)) for i in range(len(bounds) + 1)]).alias("counts"))
+    return per.select(*keys, F.col("w.start").alias("window_start"), "counts")
+
+
+def merge_histograms(histograms: DataFrame, minutes: int, slide: int | None = None, bounds: tuple[float, ...] = LATENCY_BOUNDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Histograms of longer windows, tumbling or sliding by `slide` minutes, from those of shorter ones that divide them."""
+    w = F.window("window_start", f"{minutes} minutes", f"{slide or minutes} minutes").alias("w")
+    per = histograms.groupBy(*keys, w).agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(len(bounds) + 1)]).alias("counts"))
+    return per.select(*keys, F.col("w.start").alias("window_start"), "counts")
+
+
+def histogram_quantile(counts: Column, p: float, bounds: tuple[float, ...] = LATENCY_BOUNDS) -> Column:
+    """The p-quantile that bucket counts tell: the bucket in which the rank p * n falls, cut in proportion.
+
+    The first bucket begins at 0; a rank in the open last bucket gives the highest bound; no events give null.
+    """
+    lows = F.array(*[F.lit(float(b)) for b in (0, *bounds)])
+    highs = F.array(*[F.lit(float(b)) for b in (*bounds, bounds[-1])])
+    rank = p * F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("q"))
+    pieces = F.arrays_zip(counts.alias("n"), lows.alias("low"), highs.alias("high"))
+
+    def step(a: Column, x: Column) -> Column:
+        here = a["q"].isNull() & (x["n"] > 0) & (a["below"] + x["n"] >= rank)
+        return F.struct((a["below"] + x["n"]).alias("below"), F.when(here, x["low"] + (x["high"] - x["low"]) * (rank - a["below"]) / x["n"]).otherwise(a["q"]).alias("q"))
+
+    return F.aggregate(pieces, start, step, lambda a: a["q"])
+
+
+def failure_rate_alert(events: DataFrame, over: float = 0.1, minutes: int = 5, seconds: int = 180, key: str = "topic") -> DataFrame:
+    """Stretches over which the share of failures in the last `minutes`, told each minute, stayed above `over` for `seconds`.
+
+    A minute without finished events in its window says nothing, and ends a stretch.
+    """
+    bad, good = F.count_if(F.col("processing_status") == "failed"), F.count_if(F.col("processing_status") == "success")
+    per = events.groupBy(key, F.window("produced_at", f"{minutes} minutes", "1 minute").alias("w")).agg(bad.alias("failed"), good.alias("processed"))
+    told = per.select(key, F.col("w.end").alias("ts"), F.try_divide(F.col("failed"), F.col("failed") + F.col("processed")).alias("rate")).where("rate is not null")
+    # a minute that is missing stands between its neighbours as one on which the condition does not hold; a row a minute
+    gap = F.lead("ts").over(W.partitionBy(key).orderBy("ts")) > F.col("ts") + F.make_interval(mins=F.lit(1))
+    marked = told.withColumn("gap", F.coalesce(gap, F.lit(False)))
+    holes = marked.where("gap").select(key, (F.col("ts") + F.make_interval(mins=F.lit(1))).alias("ts"), F.lit(None).cast("double").alias("rate"))
+    return sustained_alert(told.unionByName(holes), F.col("rate") > over, seconds, key, "ts")
+
+
+def error_percent(events: DataFrame, minutes: int = 5, keys: tuple[str, ...] = ("topic",), floor: float = 0.001) -> DataFrame:
+    """Failures per hundred finished events as a dashboard draws them: rates a second, with `floor` under the fraction."""
+    bad, good = F.count_if(F.col("processing_status") == "failed"), F.count_if(F.col("processing_status") == "success")
+    per = events.groupBy(*keys, F.window("produced_at", f"{minutes} minutes").alias("w")).agg((bad / (60 * minutes)).alias("bad"), (good / (60 * minutes)).alias("good"))
+    return per.select(*keys, F.col("w.start").alias("window_start"), (100 * F.col("bad") / (F.col("bad") + F.col("good") + floor)).alias("percent"))
+
+
 def rate_windows(events: DataFrame, width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     per = events.groupBy(F.window("produced_at", width, slide).alias("w")).agg(F.count("*").alias("n"))
     return per.select(F.col("w.start").alias("window_start"), "n")

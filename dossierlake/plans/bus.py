@@ -22,18 +22,21 @@ query(
 )(lambda t: b.event_store_record(t.events, "props", 12).select("event_id", "status", "summary"))
 UPDATES = """select off % 4000 as event_id, off as seq, case when off % 3 = 0 then null else processing_status end as status, case when off % 2 = 0 then processing_duration_ms end as duration_ms,
     case when processing_status = 'failed' then topic end as error from event_log"""
-query(
-    "event_status_fold",
-    f"""select event_id, arg_max(status, seq) filter (status is not null) as status, arg_max(duration_ms, seq) filter (duration_ms is not null) as duration_ms, arg_max(error, seq) filter (error is not null) as error,
-    max(seq) filter (status in ('success','failed','dlq','dismissed')) as completed_at from ({UPDATES}) group by 1""",
-)(
-    lambda t: b.event_status_fold(
-        t.event_log.select(
-            (F.col("off") % 4000).alias("event_id"), F.col("off").alias("seq"), F.when(F.col("off") % 3 != 0, F.col("processing_status")).alias("status"),
-            F.when(F.col("off") % 2 == 0, F.col("processing_duration_ms")).alias("duration_ms"), F.when(F.col("processing_status") == "failed", F.col("topic")).alias("error"),
-        )
-    )
-)
+
+
+def fold_sql(updates: str) -> str:
+    return f"""select event_id, arg_max(status, seq) filter (status is not null) as status, arg_max(duration_ms, seq) filter (duration_ms is not null) as duration_ms, arg_max(error, seq) filter (error is not null) as error,
+    max(seq) filter (status in ('success','failed','dlq','dismissed')) as completed_at from ({updates}) group by 1"""
+
+
+def status_updates(t):
+    return t.event_log.select(
+        (F.col("off") % 4000).alias("event_id"), F.col("off").alias("seq"), F.when(F.col("off") % 3 != 0, F.col("processing_status")).alias("status"),
+        F.when(F.col("off") % 2 == 0, F.col("processing_duration_ms")).alias("duration_ms"), F.when(F.col("processing_status") == "failed", F.col("topic")).alias("error"),
+    )
+
+
+query("event_status_fold", fold_sql(UPDATES))(lambda t: b.event_status_fold(status_updates(t)))
 query("insert_ignore", "select event_id, case when off % 3 <> 0 then topic else 'new' end as topic from event_log where off % 3 <> 0 or off % 2 = 0")(
     lambda t: b.insert_ignore(t.event_log.where("off % 3 <> 0"), t.event_log.where("off % 2 = 0").withColumn("topic", F.lit("new")), ["event_id", "produced_at"]).select("event_id", "topic")
 )
@@ -98,6 +101,14 @@ ROUTE = """with r as (select *, sum(case when processing_status = 'failed' then
     select event_id, attempt, case when attempt <= {limit} then concat(topic, '.retry.', cast(cast(attempt as bigint) as varchar)) else 'dlq' end as target from n where processing_status = 'failed'"""
 for name, limit in (("retry_route", 3), ("retry_route_ingest", 2)):
     query(name, ROUTE.format(limit=limit))(lambda t, limit=limit: b.retry_route(t.event_log.withColumn("failed", F.col("processing_status") == "failed"), limit).select("event_id", "attempt", "target"))
+#: counters that end a day after their first failure: the failures and successes of a key folded in order
+COUNT = "case when not x.bad then 0 when s.n > 0 and x.us - s.first < 86400000000 then s.n + 1 else 1 end"
+ROUTE_TTL = f"""select event_id, attempt, case when attempt <= 3 then concat(topic, '.retry.', cast(attempt as varchar)) else 'dlq' end as target from (
+    select topic, unnest(ids) as event_id, cast(unnest(outs) as bigint) as attempt from (select topic, ids, list_reduce(list_prepend(struct_pack(us := 0::bigint, bad := false, n := 0, first := 0::bigint, outs := []::int[]), r),
+        lambda s, x: struct_pack(us := x.us, bad := x.bad, n := {COUNT}, first := case when {COUNT} = 1 then x.us else s.first end, outs := list_append(s.outs, {COUNT}))).outs as outs from (
+    select topic, list(event_id order by produced_at, event_id) as ids, list(struct_pack(us := epoch_us(produced_at), bad := processing_status = 'failed', n := 0, first := 0::bigint, outs := []::int[]) order by produced_at, event_id) as r
+    from event_log group by topic, doc_id))) where attempt > 0"""
+query("retry_route_ttl", ROUTE_TTL)(lambda t: b.retry_route_ttl(t.event_log.withColumn("failed", F.col("processing_status") == "failed"), 3).select("event_id", F.col("attempt").cast("long").alias("attempt"), "target"))
 query(
     "retry_due",
     """select event_id, topic as original_topic from event_log where processing_status = 'failed' and off % 4 > 0 and
@@ -126,6 +137,39 @@ query(
     "latency_quantiles",
     f"select {window_start(60)} as window_start, " + ", ".join(f"round(quantile_cont(processing_duration_ms, {p}), 6) as {n}" for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " from event_log group by 1",
 )(lambda t: b.latency_quantiles(t.event_log, 60).select("window_start", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")]))
+BOUNDS = b.LATENCY_BOUNDS
+INSIDE = [" and ".join([*([f"processing_duration_ms > {BOUNDS[i - 1]}"] if i else []), *([f"processing_duration_ms <= {BOUNDS[i]}"] if i < len(BOUNDS) else [])]) for i in range(len(BOUNDS) + 1)]
+DUCK_COUNTS = "[" + ", ".join(f"count(*) filter ({c})" for c in INSIDE) + "]"
+query("latency_histogram", f"select {window_start(1)} as window_start, array_to_string({DUCK_COUNTS}, ',') as counts from event_log where processing_duration_ms is not null group by 1")(
+    lambda t: b.latency_histogram(t.event_log).select("window_start", F.array_join(F.transform("counts", lambda n: n.cast("string")), ",").alias("counts"))
+)
+
+
+def duck_quantile(p: float) -> str:
+    """The bucket that the rank falls into, cut in proportion, from the list `counts`."""
+    lows, highs = ", ".join(map(str, (0, *BOUNDS))), ", ".join(map(str, (*BOUNDS, BOUNDS[-1])))
+    rank, at = f"({p} * list_sum(counts))", f"list_position(list_transform(counts, lambda n, i: n > 0 and list_sum(counts[1:i]) >= {p} * list_sum(counts)), true)"
+    return f"([{lows}][{at}] + ([{highs}][{at}] - [{lows}][{at}]) * ({rank} - coalesce(list_sum(counts[1:{at} - 1]), 0)) / counts[{at}])"
+
+
+PARTS = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+query(
+    "latency_histogram_quantiles",
+    f"select window_start, {', '.join(f'round({duck_quantile(p)}, 6) as {n}' for n, p in PARTS)} from (select {window_start(60)} as window_start, {DUCK_COUNTS} as counts from event_log where processing_duration_ms is not null group by 1)",
+)(lambda t: b.merge_histograms(b.latency_histogram(t.event_log), 60).select("window_start", *[F.round(b.histogram_quantile(F.col("counts"), p), 6).alias(n) for n, p in PARTS]))
+FINISHED = "count(*) filter (processing_status = 'failed') as failed, count(*) filter (processing_status = 'success') as processed"
+query(
+    "failure_rate_alert",
+    f"""with w as (select topic, time_bucket(interval 1 minute, produced_at) - to_minutes(k) + interval 5 minute as ts, processing_status from event_log, (select unnest([0,1,2,3,4]) as k)),
+    r as (select topic, ts, failed / (failed + processed) as rate from (select topic, ts, {FINISHED} from w group by 1, 2) where failed + processed > 0),
+    i as (select *, rate > 0.1 as held, sum(case when rate > 0.1 and lag_ts = ts - interval 1 minute then 0 else 1 end) over (partition by topic order by ts rows unbounded preceding) as island from (select *, lag(ts) over (partition by topic order by ts) as lag_ts from r)),
+    s as (select topic, min(ts) as since, max(ts) as until, count(*) as samples from i where held group by topic, island)
+    select topic, since, until, samples from s where epoch(until) - epoch(since) >= 180""",
+)(lambda t: b.failure_rate_alert(t.event_log))
+query(
+    "error_percent",
+    f"select topic, window_start, round(100 * (failed / 300) / (failed / 300 + processed / 300 + 0.001), 6) as percent from (select topic, {window_start(5)} as window_start, {FINISHED} from event_log group by 1, 2)",
+)(lambda t: b.error_percent(t.event_log).select("topic", "window_start", F.round("percent", 6).alias("percent")))
 query(
     "rate_windows",
     "select time_bucket(interval 1 minute, produced_at) - to_minutes(k) as window_start, count(*) as n from event_log, (select unnest([0,1,2,3,4]) as k) group by 1",

@@ -1,20 +1,17 @@
-"""Structured Streaming forms of the bus operators and of the governance chain.
+"""Streams that Spark's own operators express: events once, windowed counts; and how streams are fed and run in parts.
 
-Each stream takes a streaming DataFrame and gives one, or starts a query that writes; batch forms of the same operators
-give the same rows, which the tests hold against each other with the availableNow trigger.
+Each takes a streaming DataFrame and gives one; the batch forms of the same operators give the same rows.  Streams with
+state of their own are in `state`, tables that a stream updates in `upsert`, the governance chain in `chain`.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossierlake.operators.bus import dlq_depth_alert
-
 
 def stream_dedup(events: DataFrame, key: str = "event_id", ts: str = "ts", lateness: str = "1 day") -> DataFrame:
     """The same event once, however often it arrives within `lateness`."""
@@ -27,85 +24,6 @@ def rate_windows_stream(events: DataFrame, ts: str = "ts", width: str = "5 minut
     return timed.groupBy(F.window(ts, width, slide).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
 
 
-def stream_pipeline(docs: DataFrame, stage: Callable[[DataFrame], dict[str, DataFrame]], path: str, checkpoint: str, **trigger):
-    """Run a chain of columns over each micro-batch and write every table that it gives; replayed batches overwrite themselves."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        for name, rows in stage(batch).items():
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        batch.unpersist()
-
-    return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def dlq_alert_stream(dlq: DataFrame, path: str, checkpoint: str, every: str | None = "60 seconds"):
-    """Depth alerts of each micro-batch of the dead-letter table, once a minute; every=None runs what is there and ends."""
-    stage = lambda batch: {"alerts": dlq_depth_alert(batch)}
-    return stream_pipeline(dlq, stage, path, checkpoint, **({"processingTime": every} if every else {"availableNow": True}))
-
-
-def rate_block_state(requests: DataFrame, limit: int = 60, seconds: int = 60, most: int = 10, window: int = 3600, block: int = 86_400) -> DataFrame:
-    """Exact sequential limiter, an audit of traffic: (req_id, outcome), outcome ok, limited or blocked.
-
-    Blocked requests are neither counted nor retried, so each ip is one sequence; ips run side by side.  Requests are
-    sorted inside partitions and walked once; no more is held than one ip's last `limit` requests and `most` violations.
-    """
-
-    def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seen, bad, until = None, deque(), deque(), -1.0
-        for pdf in batches:
-            out = []
-            for ip, t in zip(pdf["ip"], pdf["ts"], strict=True):
-                if ip != now:
-                    now, seen, bad, until = ip, deque(), deque(), -1.0
-                if t < until:
-                    out.append("blocked")
-                    continue
-                while seen and seen[0] <= t - seconds:
-                    seen.popleft()
-                if len(seen) < limit:
-                    seen.append(t)
-                    out.append("ok")
-                    continue
-                while bad and bad[0] <= t - window:
-                    bad.popleft()
-                bad.append(t)
-                until = t + block if len(bad) >= most else until
-                out.append("limited")
-            yield pd.DataFrame({"req_id": pdf["req_id"], "outcome": out})
-
-    timed = requests.select("req_id", "ip", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    return timed.repartition("ip").sortWithinPartitions("ip", "ts", "req_id").mapInPandas(audit, "req_id long, outcome string")
-
-
-def retry_route_stream(records: DataFrame, limit: int = 3, ttl: str | None = "24 hours") -> DataFrame:
-    """Routes of failures counted per topic and document since the last success; the count is forgotten after `ttl`.
-
-    records: topic, doc_id, event_id, failed, ts.  A stream with a ttl never runs out of work, since its clock goes on;
-    ttl=None keeps counts for good and ends under an availableNow trigger.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = 0 if state.hasTimedOut or not state.exists else state.get[0]
-        if state.hasTimedOut:
-            state.remove()
-            return
-        for pdf in batches:
-            rows = []
-            for event, failed in zip(pdf.sort_values(["ts", "event_id"])["event_id"], pdf.sort_values(["ts", "event_id"])["failed"], strict=True):
-                n = n + 1 if failed else 0
-                if failed:
-                    rows.append((event, n, f"{key[0]}.retry.{n}" if n <= limit else "dlq"))
-            yield pd.DataFrame(rows, columns=["event_id", "attempt", "target"])
-        state.update((n,))
-        if ttl:
-            state.setTimeoutDuration(int(pd.Timedelta(ttl).total_seconds() * 1000))
-
-    return records.groupBy("topic", "doc_id").applyInPandasWithState(route, "event_id string, attempt int, target string", "n int", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read what it wrote."""
     if mode == "complete":
@@ -114,3 +32,27 @@ def run_once(stream: DataFrame, spark: SparkSession, path: str, mode: str = "app
         query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+def run_in_parts(rows: DataFrame, ts: str, path: str, stream: Callable[[DataFrame], DataFrame], parts: int = 6) -> DataFrame:
+    """Feed a table to a stream in `parts` slices of time, a micro-batch each, stopping and starting again halfway.
+
+    The query ends after half of the slices and a new one goes on from its checkpoint.  Rows without a time come first.
+    """
+    spark = rows.sparkSession
+    # a row a day
+    edges = F.ntile(parts).over(W.orderBy("day"))
+    days = rows.select(F.to_date(ts).alias("day")).groupBy("day").count().withColumn("part", edges)
+    sliced = rows.withColumn("_day", F.to_date(ts)).join(F.broadcast(days.select(F.col("day").alias("_d"), "part")), F.col("_day").eqNullSafe(F.col("_d"))).drop("_day", "_d")
+
+    def feed(numbers: range) -> None:
+        for n in numbers:
+            # one file, later than those before it
+            sliced.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+    half = parts // 2
+    for numbers in (range(1, half + 1), range(half + 1, parts + 1)):
+        feed(numbers)
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        run_once(stream(source), spark, path)
+    return spark.read.parquet(f"{path}/out")
