@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from dossierlake.functions.scratch import written
 from dossierlake.operators import anonymise as a
 from dossierlake.operators import rules as r
 from dossierlake.operators import summary as s
@@ -96,10 +97,13 @@ def schemas(spark: SparkSession) -> dict[str, StructType]:
 
 
 def batch_chain(raw: DataFrame) -> dict[str, DataFrame]:
-    """Topic tables of a table of raw documents, and the dead letters."""
+    """Topic tables of a table of raw documents, each written, and the dead letters.
+
+    As one plan the stages would not do: the optimizer puts a stage's columns into each place where the next uses them.
+    """
     out = {"raw.documents.ingested": raw.select(RAW.names)}
     for stage in STAGES:
-        out[stage.topic] = stage.make(*[_usable(out[t]) for t in stage.sources])
+        out[stage.topic] = written(stage.make(*[_usable(out[t]) for t in stage.sources]), stage.topic)
     del out["raw.documents.ingested"]
     return out | {DEAD_LETTERS: _union([_dead(t, rows) for t, rows in out.items()])}
 

@@ -286,17 +286,17 @@ def test_topics_equal_the_batch_chain_after_kills(spark, tmp_path):
     texts = ["Aadhaar 1234 5678 9012 of the patient id PT-00123, who died after the dose. Long enough to be read.", "Plain words about a device and its manufacturer, which is safe.", "mail a@b.org now, and call 9876543210 soon. Another sentence is here to be found.", "", None]
     rows = [(None if i % 11 == 0 else f"D{i}", rng.choice(["drug", "sae", "medical_device", "clinical_trial", "other", None]), rng.choice(texts)) for i in range(80)]
     raw = spark.createDataFrame(rows, "doc_id string, submission_type string, text string")
-    chain = Chain(spark, str(tmp_path / "topics"), files=1)
-    for part in raw.randomSplit([1, 1, 1], 3):
-        part.coalesce(1).write.mode("append").parquet(f"{chain.root}/raw.documents.ingested")
-    # the first two stages run, the second is stopped on its way; then all run, and again over nothing new
-    chain.start(STAGES[0]).awaitTermination()
-    query = chain.start(STAGES[1], processingTime="0 seconds")
-    while not query.lastProgress:
-        query.awaitTermination(1)
+    chain = Chain(spark, str(tmp_path / "topics"))
+    first, second = raw.randomSplit([1.0, 1.0], 3)
+    feed = lambda df: df.coalesce(1).write.mode("append").parquet(f"{chain.root}/raw.documents.ingested")
+    feed(first)
+    # the first stage runs, the second is killed on its way; then all run, over more, and over nothing new
+    chain.start(STAGES[0]).awaitTermination(60)
+    query = chain.start(STAGES[1])
+    query.awaitTermination(1)
     query.stop()
+    feed(second)
     chain.run()
-    raw.limit(0).coalesce(1).write.mode("append").parquet(f"{chain.root}/raw.documents.ingested")
     chain.run()
     want = batch_chain(raw)
     plain = lambda df: sorted((str(r.asDict(recursive=True)) for r in df.collect()))
