@@ -116,7 +116,7 @@ def waiting(t):
 
 query(
     "retry_timers",
-    """select event_id, topic as original_topic, epoch_ms(produced_at) + case off % 3 + 1 when 1 then 5 when 2 then 30 else 300 end * 1000 as due_ms, true as waited from event_log where processing_status = 'failed'""",
+    """select event_id, topic as original_topic, epoch_us(produced_at) // 1000 + case off % 3 + 1 when 1 then 5 when 2 then 30 else 300 end * 1000 as due_ms, true as waited from event_log where processing_status = 'failed'""",
 )(waiting)
 
 
