@@ -161,3 +161,29 @@ def processing_log_rows(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_i
     per = chunks.groupBy(id_col).agg(F.count("*").alias("chunk_count"), F.sum("char_count").alias("chars"), F.sum("token_count").alias("tokens"))
     joined = docs.select(id_col).join(per, id_col, "left")
     return joined.select(id_col, F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(F.col("chunk_count").isNull(), "failed").otherwise("processed").alias("status"))
+
+
+def processing_log(runs: DataFrame, chunks: DataFrame, version: str = "1.0.0", id_col: str = "doc_id") -> DataFrame:
+    """The row that each run leaves behind: all of it for a run that ended well, id, version and error for one that failed.
+
+    runs: id, error, ocr_used, ocr_pages, ocr_mean, page_count, word_count, table_count, language, language_confidence,
+    multilingual, extractors_used, changes and warnings (arrays of text), started_at, finished_at.
+    """
+    per = chunks.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_chunks"))
+    rows = runs.join(per, F.col(id_col) == F.col("_id"), "left")
+    confidence = extraction_confidence(F.col("ocr_used"), F.col("ocr_mean"), F.col("language_confidence"), F.size("warnings"))
+    rows = rows.withColumn("extraction_confidence", confidence).withColumn("chunk_count", F.coalesce("_chunks", F.lit(0)))
+    flags = F.to_json(quality_flags(F.col("extraction_confidence"), F.col("table_count"), F.col("multilingual"), F.col("ocr_used"), F.col("language"), F.col("warnings")))
+    rows = rows.withColumns({"flags": flags, "normalisation_changes": F.to_json("changes"), "processing_duration_ms": F.unix_millis(F.col("finished_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))})
+    kept = ("extraction_confidence", "ocr_used", "ocr_pages", "page_count", "word_count", "chunk_count", "table_count", "language", "extractors_used", "normalisation_changes", "flags", "processing_duration_ms")
+    fine = F.col("error").isNull()
+    return rows.select(id_col, F.lit(version).alias("pipeline_version"), *[F.when(fine, F.col(c)).alias(c) for c in kept], F.col("error").alias("error_detail"))
+
+
+def processed_submissions(submissions: DataFrame, log: DataFrame, now: Column, id_col: str = "doc_id") -> DataFrame:
+    """Submissions after their runs: processed with confidence, chunks and time; those whose run failed stay as they are,
+    since only the retries' end makes a submission failed."""
+    done = log.where("error_detail is null").select(F.col(id_col).alias("_id"), F.col("extraction_confidence").alias("_c"), F.col("chunk_count").alias("_n"))
+    rows = submissions.join(done, F.col(id_col) == F.col("_id"), "left")
+    good = F.col("_id").isNotNull()
+    return rows.withColumn("status", F.when(good, "processed").otherwise(F.col("status"))).withColumns({"preprocessing_confidence": F.col("_c"), "chunk_count": F.col("_n"), "preprocessed_at": F.when(good, now)}).drop("_id", "_c", "_n")

@@ -127,40 +127,6 @@ def normalise_log(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-#: frequent short words of each language (fixed values)
-STOP_WORDS = {
-    "en": "the of and to in is that it for was on are with as be by this from at or an which",
-    "fr": "le la les de des du et un une en que qui dans pour par sur est au aux avec il elle ce",
-    "de": "der die das und in zu den von mit ist des sich auf für nicht ein eine dem als auch es an",
-    "es": "el la los las de y en que un una por con para del se su al lo como más es o",
-}
-MARKS = {"fr": "éèêàçùœ", "de": "äöüß", "es": "ñáíóú¿¡"}
-
-
-def language_scores(text: Column) -> Column:
-    """array<struct<score, lang>>: share of stop words plus letters that only one language writes."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-
-    def score(w: Column, lang: str) -> Column:
-        stop = F.array(*[F.lit(x) for x in STOP_WORDS[lang].split()])
-        marks = MARKS.get(lang)
-        hits = F.size(F.filter(w, lambda x: F.array_contains(stop, x)))
-        return (hits + (2 * F.size(F.filter(w, lambda x: x.rlike(f"[{marks}]"))) if marks else 0)) / F.greatest(F.size(w), F.lit(1))
-
-    return let(words, lambda w: F.array(*[F.struct(score(w, k).alias("score"), F.lit(k).alias("lang")) for k in STOP_WORDS]))
-
-
-def language_detect(docs: DataFrame, text: str = "text", sample: int = 2000) -> DataFrame:
-    """docs plus language and multilingual: the best score on the first `sample` characters, and whether the same
-    number from the middle says otherwise.  Blank texts are English."""
-    t = F.col(text)
-    best = lambda c: F.array_max(language_scores(c))["lang"]
-    middle = F.substring(t, F.floor(F.length(t) / 2).cast("int") + 1, sample)
-    blank = F.trim(F.coalesce(t, F.lit(""))) == ""
-    out = docs.withColumn("language", F.when(blank, "en").otherwise(best(F.substring(t, 1, sample))))
-    return out.withColumn("multilingual", ~blank & (F.length(middle) > 100) & (best(middle) != F.col("language")))
-
-
 def extract_title(text: Column, filename: Column) -> Column:
     """The first of 20 lines that is a heading of 6 to 199 characters, else the file's stem."""
     heads = F.transform(F.filter(F.slice(F.split(text, "\n"), 1, 20), lambda x: x.startswith("# ")), lambda x: F.trim(F.regexp_replace(x, "^[# ]+", "")))

@@ -55,8 +55,10 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS, metric
     blocks of a checked size and each block of queries meets each block of its collection, a task each, so no task
     holds a collection.  The rank limit is applied before the shuffle too: each task hands on at most k rows a query.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), "collection", F.col("v").alias("qv"))
-    corpus = corpus.select("vec_id", "collection", "v")
+    # lengths are taken once a vector, before the pairs
+    ready = l2_normalise if metric == "cosine" else lambda v: v
+    q = queries.select(F.col("vec_id").alias("query_id"), "collection", ready(F.col("v")).alias("qv"))
+    corpus = corpus.select("vec_id", "collection", ready(F.col("v")).alias("v"))
     held = lambda df, v: df.agg(F.coalesce(F.sum(F.size(v)), F.lit(0))).first()[0] * 8
     on = ["collection"]
     if (size := held(q, "qv")) <= BLOCK_BYTES:
@@ -67,7 +69,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS, metric
         q = q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(part)).cast("int")).withColumn("block", every(block))
         corpus = corpus.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(block)).cast("int")).withColumn("part", every(part))
         on = ["collection", "part", "block"]
-    distance = {"cosine": 1 - dot(l2_normalise(F.col("qv")), l2_normalise(F.col("v"))), "l2": F.aggregate(F.zip_with("qv", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double"))}[metric]
+    distance = {"cosine": 1 - dot(F.col("qv"), F.col("v")), "l2": F.aggregate(F.zip_with("qv", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double"))}[metric]
     found = corpus.join(q, on).select("query_id", "vec_id", distance.alias("distance"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

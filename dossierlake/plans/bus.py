@@ -37,14 +37,14 @@ def status_updates(t):
 
 
 query("event_status_fold", fold_sql(UPDATES))(lambda t: b.event_status_fold(status_updates(t)))
-query("insert_ignore", "select event_id, case when off % 3 <> 0 then topic else 'new' end as topic from event_log where off % 3 <> 0 or off % 2 = 0")(
-    lambda t: b.insert_ignore(t.event_log.where("off % 3 <> 0"), t.event_log.where("off % 2 = 0").withColumn("topic", F.lit("new")), ["event_id", "produced_at"]).select("event_id", "topic")
+query("insert_ignore", "select event_id, case when off % 3 <> 0 then topic else 'new' end as topic from event_log")(
+    lambda t: b.insert_ignore(t.event_log.where("off % 3 <> 0"), t.event_log.where("off % 3 = 0 or off % 2 = 0").withColumn("topic", F.lit("new")), ["event_id", "produced_at"]).select("event_id", "topic")
 )
 query("upsert_latest", "select group_id, topic, part, case when part < 3 then committed_offset + 7 else committed_offset end as committed_offset from group_offsets")(
     lambda t: b.upsert_latest(t.group_offsets, t.group_offsets.where("part < 3").withColumn("committed_offset", F.col("committed_offset") + 7), ["group_id", "topic", "part"], "end_offset").select("group_id", "topic", "part", "committed_offset")
 )
-query("replace_chunks", "select doc_id, case when doc_num % 4 = 1 then 'new' else lang end as lang from submissions where doc_num % 4 <> 3")(
-    lambda t: b.replace_for_keys(t.submissions.where("doc_num % 4 <> 3").select("doc_id", "lang"), t.submissions.where("doc_num % 4 = 1").select("doc_id", F.lit("new").alias("lang")), "doc_id")
+query("replace_chunks", "select doc_id, case when doc_num % 2 = 1 then 'new' else lang end as lang from submissions")(
+    lambda t: b.replace_for_keys(t.submissions.where("doc_num % 4 <> 3").select("doc_id", "lang"), t.submissions.where("doc_num % 2 = 1").select("doc_id", F.lit("new").alias("lang")), "doc_id")
 )
 query("delete_document", "select vec_id, label from embeddings where vec_id % 10 <> 4")(lambda t: b.delete_keys(t.embeddings.select("vec_id", "label"), t.embeddings.where("vec_id % 10 = 4"), "vec_id"))
 query("events_by_doc", "select event_id, topic from event_log where doc_id = 'DOC-000000000008'")(lambda t: b.events_by_doc(t.event_log, "DOC-000000000008").select("event_id", "topic"))
@@ -111,11 +111,11 @@ ROUTE_TTL = f"""select event_id, attempt, case when attempt <= 3 then concat(top
 query("retry_route_ttl", ROUTE_TTL)(lambda t: b.retry_route_ttl(t.event_log.withColumn("failed", F.col("processing_status") == "failed"), 3).select("event_id", F.col("attempt").cast("long").alias("attempt"), "target"))
 query(
     "retry_due",
-    """select event_id, topic as original_topic from event_log where processing_status = 'failed' and off % 4 > 0 and
-    epoch(timestamp '2024-01-15 00:00:00') >= floor(epoch(produced_at)) + case off % 4 when 1 then 5 when 2 then 30 else 300 end""",
+    """select event_id, topic as original_topic from event_log where processing_status = 'failed' and
+    epoch(timestamp '2024-01-15 00:00:00') >= floor(epoch(produced_at)) + case off % 3 when 0 then 5 when 1 then 30 else 300 end""",
 )(
     lambda t: b.retry_due(
-        t.event_log.where("processing_status = 'failed' and off % 4 > 0").select("event_id", F.concat("topic", F.lit(".retry."), (F.col("off") % 4).cast("string")).alias("topic"), (F.col("off") % 4).alias("attempt"), F.col("produced_at").alias("retry_ts")),
+        t.event_log.where("processing_status = 'failed'").select("event_id", F.concat("topic", F.lit(".retry."), (F.col("off") % 3 + 1).cast("string")).alias("topic"), (F.col("off") % 3 + 1).alias("attempt"), F.col("produced_at").alias("retry_ts")),
         "2024-01-15",
     ).select("event_id", "original_topic")
 )

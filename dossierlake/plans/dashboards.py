@@ -65,12 +65,10 @@ query("queue_page", "select doc_id, status, (select count(*) from submissions wh
 query("queue_search", "select doc_id from submissions where contains(lower(doc_id), '07') or contains(lower(concat('File ', cast(doc_num as varchar))), '07')")(
     lambda t: d.queue_search(t.submissions.withColumn("applicant", d.applicant_label(F.col("original_filename"))), "07").select("doc_id")
 )
-query(
-    "submission_detail",
-    f"""select s.doc_id, s.status, l.decision as latest_decision, h.history, coalesce(f.n, 0) as n_failed from submissions s left join ({LATEST}) l using (doc_id)
+DETAIL = f"""select s.doc_id, s.status, l.decision as latest_decision, h.history, coalesce(f.n, 0) as n_failed from submissions s left join ({LATEST}) l using (doc_id)
     left join (select doc_id, string_agg(concat(source_event, '=', decision), ',' order by assessed_at desc, source_event desc) as history from assessments group by 1) h using (doc_id)
-    left join (select doc_id, count(*) filter (processing_status in ('failed','dlq')) as n from event_log group by 1) f using (doc_id)""",
-)(lambda t: d.submission_detail(t.submissions, t.assessments, t.event_log))
+    left join (select doc_id, count(*) filter (processing_status in ('failed','dlq')) as n from event_log group by 1) f using (doc_id)"""
+query("submission_detail", DETAIL)(lambda t: d.submission_detail(t.submissions, t.assessments, t.event_log))
 query(
     "compliance_counters",
     """select count(*) filter (blocked) as n_blocked, count(*) filter (decision = 'review_required') as n_review, count(*) filter (blocked or human_review_required) as n_alerts

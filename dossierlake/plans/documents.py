@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from dossierlake.operators import chunks as c
 from dossierlake.operators import text as x
 from dossierlake.operators import vectors as v
+from dossierlake.operators.knn_index import build_index, search
+from dossierlake.operators.language import detect_languages, learn_profiles
 from dossierlake.plans.fixtures import NOW
 from dossierlake.plans.registry import query
 
@@ -22,8 +24,21 @@ def messy(t):
 
 DATED = rf"""regexp_replace(regexp_replace(regexp_replace({DUCK_CLEAN}, '\b7/3/2021\b', '2021-03-07', 'g'), '\b31-12-1999\b', '1999-12-31', 'g'), 'March 5, 2020 or 17 august 2019', '2020-03-05 or 2019-08-17', 'g')"""
 query("normalise_text", f"select doc_id, trim({DATED}, chr(10) || ' ') as text from submissions")(lambda t: messy(t).select("doc_id", x.normalise_text(F.col("text")).alias("text")))
-DATES = "concat('7/3/2021 or 45/3/2020, March 5, 2020 or 17 august 2019 of ', doc_id, ' on ', cast(1 + doc_num % 28 as {s}), '-12-1999')"
-query("dates_to_iso", "select doc_id, concat('2021-03-07 or 45/3/2020, 2020-03-05 or 2019-08-17 of ', doc_id, ' on 1999-12-', lpad(cast(1 + doc_num % 28 as varchar), 2, '0')) as text from submissions")(
+MONTH = "case doc_num % 12 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(x.MONTHS)) + " end"
+#: days up to 33 and months up to 14, some with a nought in front, months by name in both orders and any case
+DATES = f"""concat(cast(1 + doc_num % 33 as {{s}}), '/', cast(1 + doc_num % 14 as {{s}}), '/2021 or 0', cast(1 + doc_num % 9 as {{s}}), '-', cast(1 + doc_num % 12 as {{s}}), '-1999, ', {MONTH}, ' ', cast(1 + doc_num % 31 as {{s}}),
+    case when doc_num % 2 = 0 then ', 2020 or ' else ' 2020 or ' end, cast(1 + doc_num % 29 as {{s}}), ' ', lower({MONTH}), ' 2019 of ', doc_id, ' 12/2020 ', upper({MONTH}), ' 2018')"""
+
+
+def duck_dates(text: str) -> str:
+    """Numeric dates turned round, then each month's name in both orders, then single digits filled."""
+    out = rf"regexp_replace({text}, '\b(0[1-9]|[12]\d|3[01]|[1-9])[/-](0[1-9]|1[0-2]|[1-9])[/-](\d{{4}})\b', '\3-\2-\1', 'g')"
+    for i, m in enumerate(x.MONTHS, 1):
+        out = rf"regexp_replace(regexp_replace({out}, '(?i)\b{m}\s+(\d{{1,2}}),?\s+(\d{{4}})\b', '\2-{i:02d}-\1', 'g'), '(?i)\b(\d{{1,2}})\s+{m}\s+(\d{{4}})\b', '\2-{i:02d}-\1', 'g')"
+    return rf"regexp_replace(regexp_replace({out}, '\b(\d{{4}})-(\d)-', '\1-0\2-', 'g'), '\b(\d{{4}}-\d{{2}})-(\d)\b', '\1-0\2', 'g')"
+
+
+query("dates_to_iso", f"select doc_id, {duck_dates(DATES.format(s='varchar'))} as text from submissions")(
     lambda t: t.submissions.select("doc_id", x.dates_to_iso(F.expr(DATES.format(s="string"))).alias("text"))
 )
 query(
@@ -36,20 +51,25 @@ query(
     f"""select doc_id, count(*) filter (n >= 5 and hits < 0.3 * n) as windows from (select doc_id, len(w) as n, len(list_filter(w, lambda y: list_contains({WORDS}, y))) as hits from (
     select doc_id, regexp_extract_all(lower(substr(text, k * 100 + 1, 100)), '[a-z]+') as w from (select doc_id, text, unnest(range((length(text) + 99) // 100)) as k from submissions))) group by 1""",
 )(lambda t: t.submissions.select("doc_id", x.gibberish_windows(F.col("text")).cast("long").alias("windows")))
-query("language_detect")(lambda t: x.language_detect(t.documents).groupBy("lang", "language", "multilingual").agg(F.count("*").alias("n")))
-TITLED = "concat(case when doc_num % 3 = 0 then concat('# Title of ', doc_id, chr(10)) else '' end, 'Version ', cast(doc_num % 7 as {s}), '.', cast(doc_num % 3 as {s}), ' application no: ab-', cast(100000 + doc_num as {s}), ' on 2020-01-02', chr(10), 'applicant name: Firm ', doc_id, chr(10), text)"
+query("language_detect")(lambda t: detect_languages(t.documents, learn_profiles(t.documents)).select("doc_id", "lang", "language", "probability", "multilingual"))
+TITLED = """concat(case doc_num % 5 when 0 then '' when 1 then concat(chr(10), chr(10), '# Short', chr(10)) when 2 then concat('## no title', chr(10)) else concat('# ', case when doc_num % 7 = 0 then '#  ' else '' end, 'Title of ', doc_id, chr(10)) end,
+    case doc_num % 4 when 0 then 'Rev ' when 1 then 'v' else 'Version ' end, cast(doc_num % 7 as {s}), case when doc_num % 4 = 0 then ' ' else concat('.', cast(doc_num % 3 as {s})) end, case when doc_num % 6 = 0 then '.2' else '' end, ' application no: ab-',
+    cast(100000 + doc_num as {s}), ' on ', case when doc_num % 3 = 0 then '02-01-2020' else concat('2020-01-', lpad(cast(1 + doc_num % 28 as {s}), 2, '0')) end, chr(10), 'applicant name: Firm ', doc_id, chr(10), text)"""
 
 
 def titled(t):
     return t.submissions.withColumn("text", F.expr(TITLED.format(s="string")))
 
 
-query("extract_title", "select doc_id, case when doc_num % 3 = 0 then concat('Title of ', doc_id) else concat('file ', cast(doc_num as varchar)) end as title from submissions")(
+DUCK_HEAD = f"substr({TITLED.format(s='varchar')}, 1, 2000)"
+HEADINGS = f"list_filter(list_transform(list_filter(string_split({TITLED.format(s='varchar')}, chr(10))[1:20], lambda l: starts_with(l, '# ')), lambda l: trim(regexp_replace(l, '^[# ]+', ''))), lambda l: length(l) > 5 and length(l) < 200)"
+query("extract_title", rf"select doc_id, coalesce(({HEADINGS})[1], translate(regexp_replace(original_filename, '\.[^.]*$', ''), '_-', '  ')) as title from submissions")(
     lambda t: titled(t).select("doc_id", x.extract_title(F.col("text"), F.col("original_filename")).alias("title"))
 )
-query("extract_version", "select doc_id, concat(cast(doc_num % 7 as varchar), '.', cast(doc_num % 3 as varchar)) as version from submissions")(lambda t: titled(t).select("doc_id", x.extract_version(F.col("text")).alias("version")))
-query("extract_app_number", "select doc_id, concat('AB-', cast(100000 + doc_num as varchar)) as number from submissions")(lambda t: titled(t).select("doc_id", x.extract_app_number(F.col("text")).alias("number")))
-query("extract_first_date", "select doc_id, '2020-01-02' as day from submissions")(lambda t: titled(t).select("doc_id", x.extract_first_date(F.col("text")).alias("day")))
+DUCK_VERSION = "coalesce(" + ", ".join(f"nullif(regexp_extract({DUCK_HEAD}, '{p}', 1), '')" for p in x.VERSION_PATTERNS) + ")"
+query("extract_version", f"select doc_id, {DUCK_VERSION} as version from submissions")(lambda t: titled(t).select("doc_id", x.extract_version(F.col("text")).alias("version")))
+query("extract_app_number", f"select doc_id, upper(nullif(regexp_extract({DUCK_HEAD}, '{x.APP_NUMBER}', 1), '')) as number from submissions")(lambda t: titled(t).select("doc_id", x.extract_app_number(F.col("text")).alias("number")))
+query("extract_first_date", f"select doc_id, nullif(regexp_extract({DUCK_HEAD}, '{x.ISO_DATE}', 1), '') as day from submissions")(lambda t: titled(t).select("doc_id", x.extract_first_date(F.col("text")).alias("day")))
 FIELDS = sorted({f for fields in x.TYPE_FIELDS.values() for f in fields})
 
 
@@ -70,8 +90,8 @@ def labelled(t):
 query("extract_type_fields", f"select doc_id, {', '.join(map(duck_field, FIELDS))} from ({DUCK_TITLED})")(
     lambda t: labelled(t).select("doc_id", x.extract_type_fields(F.col("text"), F.col("submission_type")).alias("m")).select("doc_id", *[F.col("m")[f].alias(f) for f in FIELDS])
 )
-UNIVERSAL = """case when doc_num % 3 = 0 then concat('Title of ', doc_id) else concat('file ', cast(doc_num as varchar)) end as title, concat(cast(doc_num % 7 as varchar), '.', cast(doc_num % 3 as varchar)) as version,
-    concat('AB-', cast(100000 + doc_num as varchar)) as application_number, '2020-01-02' as document_date"""
+UNIVERSAL = rf"""coalesce(({HEADINGS})[1], translate(regexp_replace(original_filename, '\.[^.]*$', ''), '_-', '  ')) as title, {DUCK_VERSION} as version,
+    upper(nullif(regexp_extract({DUCK_HEAD}, '{x.APP_NUMBER}', 1), '')) as application_number, nullif(regexp_extract({DUCK_HEAD}, '{x.ISO_DATE}', 1), '') as document_date"""
 query("extract_metadata", f"select doc_id, {UNIVERSAL}, {', '.join(map(duck_field, FIELDS))} from ({DUCK_TITLED})")(
     lambda t: x.extract_metadata(labelled(t)).select("doc_id", *[F.col("metadata")[f].alias(f) for f in ("title", "version", "application_number", "document_date", *FIELDS)])
 )
@@ -99,9 +119,12 @@ query(
 query("image_coverage", "select l_orderkey as doc_id, l_suppkey % 2 as page, round(least(1.0, sum(cast(l_quantity as double) * 10) / 1000.0), 6) as coverage, least(1.0, sum(cast(l_quantity as double) * 10) / 1000.0) > 0.6 as hybrid from lineitem group by 1, 2")(
     lambda t: x.image_coverage(t.lineitem.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).alias("page"), F.col("l_quantity").cast("double").alias("width"), F.lit(10.0).alias("height"), F.lit(1000.0).alias("page_area"))).withColumn("coverage", F.round("coverage", 6))
 )
-query("ocr_candidate_pick", "select l_orderkey as doc_id, mode from (select *, row_number() over (partition by l_orderkey order by (chars >= 100) desc, case when chars >= 100 then 0 else -chars end, case mode when 6 then 1 when 3 then 2 else 3 end) as r from (select l_orderkey, case l_linenumber when 1 then 6 when 2 then 3 else 11 end as mode, cast(l_quantity as int) * 4 as chars from lineitem where l_linenumber <= 3)) where r = 1")(
-    lambda t: x.ocr_candidate_pick(t.lineitem.where("l_linenumber <= 3").selectExpr("l_orderkey as doc_id", "1 as page", "case l_linenumber when 1 then 6 when 2 then 3 else 11 end as mode", "int(l_quantity) * 4 as chars")).select("doc_id", "mode")
-)
+CANDIDATES = "(l_linenumber - 1) // 3 + 1 as page, case l_linenumber % 3 when 1 then 6 when 2 then 3 else 11 end as mode, cast(l_quantity as int) * 4 as chars"
+query(
+    "ocr_candidate_pick",
+    f"""select doc_id, page, mode from (select *, row_number() over (partition by doc_id, page order by (chars >= 100) desc, case when chars >= 100 then 0 else -chars end, case mode when 6 then 1 when 3 then 2 else 3 end) as r
+    from (select l_orderkey as doc_id, {CANDIDATES} from lineitem)) where r = 1""",
+)(lambda t: x.ocr_candidate_pick(t.lineitem.selectExpr("l_orderkey as doc_id", *CANDIDATES.replace("//", "div").split(", "))).select("doc_id", F.col("page").cast("int").alias("page"), "mode"))
 query("ocr_routing", "select event_id as doc_id, event_id % 3 <> 0 as needs_ocr, case when event_id % 3 <> 0 then 'hybrid' else 'text' end as method from events")(
     lambda t: x.ocr_routing(t.events.selectExpr("event_id as doc_id", "1 as page", "event_type as text", "event_id % 3 as n_images"), t.events.where("event_id % 2 = 0").selectExpr("event_id as doc_id", "1 as page", "props as text")).select("doc_id", "needs_ocr", "method")
 )
@@ -134,7 +157,40 @@ query("chunk_links")(lambda t: c.chunk_links(c.chunk_text(headed(t))).select("do
 query("all_chunks")(
     lambda t: c.chunk_text(headed(t)).select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", F.lit("text").alias("chunk_type")).unionByName(c.chunk_tables(tables(t)).select("doc_id", "chunk_id", F.lit("table").alias("chunk_type")))
 )
-query("processing_log_rows", "select doc_id, case when trim(text) = '' then 'failed' else 'processed' end as status from documents")(lambda t: c.processing_log_rows(t.documents, c.chunk_text(t.documents)).select("doc_id", "status"))
+
+
+def runs(t):
+    """A run of each document: every ninth failed, every third was read by OCR."""
+    n, words = F.col("doc_id"), F.size(F.split("text", " "))
+    return t.documents.select(
+        "doc_id", F.when(n % 9 == 0, "ValueError: unreadable").alias("error"), (n % 3 == 0).alias("ocr_used"), (n % 3 == 0).cast("int").alias("ocr_pages"), (0.5 + n % 5 / 10).alias("ocr_mean"), (1 + n % 4).cast("int").alias("page_count"),
+        words.alias("word_count"), (n % 2).cast("int").alias("table_count"), F.col("lang").alias("language"), F.when(n % 4 == 0, 0.5).otherwise(0.99).alias("language_confidence"), (n % 8 == 0).alias("multilingual"),
+        F.when(n % 3 == 0, F.array(F.lit("pdf"), F.lit("ocr"))).otherwise(F.array(F.lit("pdf"))).alias("extractors_used"), F.array(F.lit("Stripped lines")).alias("changes"), F.when(n % 5 == 0, F.array(F.lit("CORRUPTED page"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.lit("2024-01-05 10:00:00").cast("timestamp").alias("started_at"), (F.lit("2024-01-05 10:00:00").cast("timestamp") + F.make_dt_interval(secs=(n % 50).cast("int"))).alias("finished_at"),
+    )
+
+
+def pieces(t):
+    """A chunk of each conversation's turn, as the documents' chunks."""
+    return t.conversations.select(F.col("conv_id").alias("doc_id"))
+
+
+LOG = """select d.doc_id, d.doc_id % 9 = 0 as failed, d.lang, round(greatest(0, 1 - (case when d.doc_id % 3 = 0 then 0.15 + greatest(0, 0.8 - (0.5 + (d.doc_id % 5) / 10)) else 0 end + case when d.doc_id % 4 = 0 then 0.1 else 0 end + case when d.doc_id % 5 = 0 then 0.05 else 0 end)), 3) as conf,
+    len(string_split(text, ' ')) as words, coalesce(n, 0) as n, doc_id % 3 = 0 as ocr, doc_id % 2 > 0 as tables, doc_id % 8 = 0 as multi, doc_id % 5 = 0 as corrupt from documents d left join (select conv_id, count(*) as n from conversations group by 1) c on c.conv_id = d.doc_id"""
+query(
+    "processing_log_rows",
+    f"""select doc_id, '1.0.0' as pipeline_version, case when failed then 'ValueError: unreadable' end as error_detail, case when not failed then conf end as extraction_confidence, case when not failed then words end as word_count, case when not failed then n end as chunk_count,
+    case when not failed then lang end as language, case when not failed then case when ocr then 'pdf,ocr' else 'pdf' end end as extractors, case when not failed then '["Stripped lines"]' end as normalisation_changes, case when not failed then doc_id % 50 * 1000 end as processing_duration_ms,
+    case when not failed then concat('{{"needs_review":', conf < 0.7, ',"low_confidence":', conf < 0.5, ',"has_tables":', tables, ',"is_multilingual":', multi, ',"ocr_used":', ocr, ',"encrypted":false,"corrupted":', corrupt, ',"needs_translation":', lang <> 'en', ',"has_pii":false}}') end as flags from ({LOG})""",
+)(
+    lambda t: c.processing_log(runs(t), pieces(t)).select(
+        "doc_id", "pipeline_version", "error_detail", "extraction_confidence", "word_count", "chunk_count", "language", F.array_join("extractors_used", ",").alias("extractors"), "normalisation_changes", "processing_duration_ms", "flags"
+    )
+)
+query("processed_submissions", f"select doc_id, case when failed then 'queued' else 'processed' end as status, case when not failed then conf end as preprocessing_confidence, case when not failed then n end as chunk_count from ({LOG})")(
+    lambda t: c.processed_submissions(t.documents.select("doc_id", F.lit("queued").alias("status")), c.processing_log(runs(t), pieces(t)), F.lit(NOW).cast("timestamp")).select("doc_id", "status", "preprocessing_confidence", "chunk_count")
+)
+query("chunk_runs", "select doc_id, case when trim(text) = '' then 'failed' else 'processed' end as status from documents")(lambda t: c.processing_log_rows(t.documents, c.chunk_text(t.documents)).select("doc_id", "status"))
 query("chunks_to_text", "select conv_id as doc_id, coalesce(string_agg(trim(text), chr(10) || chr(10) order by turn) filter (trim(text) <> ''), '') as text from conversations group by 1")(
     lambda t: c.chunks_to_text(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text"))
 )
@@ -181,9 +237,25 @@ KNN = f"""select query_id, vec_id, d, rank from (select *, row_number() over (pa
     from (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings where vec_id % 20 = 0) q join (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings) c using (k))) where rank <= 6"""
 query("knn_exact", f"select query_id, vec_id, rank from ({KNN}) where query_id <> vec_id")(lambda t: v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)).where("query_id <> vec_id").select("query_id", "vec_id", "rank"))
 query("topk_neighbours", f"select query_id, vec_id, round(d, 6) as distance, rank from ({KNN})")(
-    lambda t: v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    lambda t: search(build_index(vectors(t)), vectors(t).where("vec_id % 20 = 0")).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+)
+
+
+def planted(t):
+    """The corpus and, of every fifth vector, a copy with one component raised by a tenth of the vector's length."""
+    rows = vectors(t)
+    length = F.sqrt(v.dot(F.col("v"), F.col("v")))
+    copies = rows.where("vec_id % 5 = 0").select((F.col("vec_id") + 10_000_000).alias("vec_id"), "collection", F.transform("v", lambda y, i: F.when(i == F.col("vec_id") % 64, y + 0.1 * length).otherwise(y)).alias("v"))
+    return rows.unionByName(copies)
+
+
+PLANTED = f"""select vec_id, k, v from (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings)
+    union all select vec_id + 10000000, k, list_transform(v, lambda y, i: case when i - 1 = vec_id % 64 then y + 0.1 * sqrt(list_dot_product(v, v)) else y end) from (select vec_id, {COLLECTION} as k, embedding::double[] as v from embeddings where vec_id % 5 = 0)"""
+PLANTED_KNN = f"""select query_id, vec_id, d from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, 1 - list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)) as d
+    from (select * from ({PLANTED}) where vec_id % 20 = 0) q join ({PLANTED}) c using (k))) where rank <= 6"""
+query("duplicate_candidates", f"select query_id, vec_id, round(1 - d, 4) as similarity from ({PLANTED_KNN}) where query_id <> vec_id and round(1 - d, 4) >= 0.92")(
+    lambda t: v.duplicate_candidates(search(build_index(planted(t)), planted(t).where("vec_id % 20 = 0")))
 )
-query("duplicate_candidates", f"select query_id, vec_id, round(1 - d, 4) as similarity from ({KNN}) where query_id <> vec_id and round(1 - d, 4) >= 0.3")(lambda t: v.duplicate_candidates(v.knn_exact(vectors(t).where("vec_id % 20 = 0"), vectors(t)), 0.3))
 query("embed_texts")(lambda t: t.documents.select("doc_id", v.embed_texts(F.col("text")).alias("e")).select("doc_id", F.round(v.dot(F.col("e"), F.col("e")), 6).alias("norm"), F.round(F.get("e", F.lit(0)), 6).alias("first")))
 query("embedding_cache_join", "select doc_id, sha256(text) in (select sha256(text) from documents where doc_id % 3 = 0) as hit from documents")(
     lambda t: v.embedding_cache_join(

@@ -169,7 +169,16 @@ query("assess", f"select doc_num, topic, n as n_findings, case when blocked then
 )
 query("decision", f"select topic, case when blocked then 'blocked' when review then 'review_required' else 'pass' end as decision, count(*) as n from ({ASSESSED}) group by 1, 2")(lambda t: r.assess(rule_events(t)).groupBy("topic", "decision").agg(F.count("*").alias("n")))
 query("finding_stats", f"select doc_id, cast(sum(n) as bigint) as n_findings, bool_or(blocked) as any_blocked, bool_or(review) as any_review from ({ASSESSED}) group by 1")(lambda t: r.finding_stats(r.assess(rule_events(t))))
-query("compliance_notifications")(lambda t: r.compliance_notifications(r.assess(rule_events(t))))
+#: findings of an event in the order in which the rules give them
+TOLD = """list_concat(case when c = 1 then ['NDHM-DOC-ID-MISSING=critical'] else [] end, case when w0 = 1 then ['NDHM-SUBMISSION-TYPE-MISSING=warning'] else [] end, case topic
+    when 'documents.anonymised' then list_concat(list_transform(range(dp), lambda i: 'DPDP-PII-LEAK=critical'), case when w > (doc_num % 3 = 0)::int then ['DPDP-AUDIT-ENTITY-MAP=warning'] else [] end, case when doc_num % 3 = 0 then ['DPDP-LINEAGE-MISSING=warning'] else [] end)
+    when 'documents.summarised' then case when dp = 1 then ['DPDP-SUMMARY-IDENTIFIER=critical'] else [] end
+    when 'documents.classified' then list_concat(case when oc = 1 then ['ICMR-SAE-MANDATORY-REVIEW=critical'] else [] end, case when w = 1 then ['ICMR-HIGH-RISK-REVIEW=warning'] else [] end)
+    else case when oc = 1 then ['GOV-REPORT-LINEAGE=critical'] else [] end end)[1:10]"""
+query(
+    "compliance_notifications",
+    f"""select doc_id, topic, case when blocked then 'CRITICAL' else 'WARNING' end as severity, array_to_string(list_filter(told, lambda x, i: list_position(told, x) = i), ',') as rules from (select *, {TOLD} as told from ({ASSESSED})) where review""",
+)(lambda t: r.compliance_notifications(r.assess(rule_events(t))))
 for name, topic in (("rule_dpdp_anonymised", "documents.anonymised"), ("rule_dpdp_summary", "documents.summarised"), ("rule_icmr", "documents.classified"), ("rule_report_lineage", "reports.generated")):
     query(name, f"select doc_num, dp + oc + w as n_findings, dp + oc as n_critical from ({EVENTS}) where topic = '{topic}'")(
         lambda t, topic=topic: r.assess(rule_events(t).where(F.col("topic") == topic))

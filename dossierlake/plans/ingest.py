@@ -99,12 +99,12 @@ query(
 def reconciled(t):
     s = t.submissions.withColumn("batch_id", F.col("doc_num") % 10)
     files = s.where("doc_num % 4 <> 0").select("batch_id", F.col("original_filename").alias("filename"), F.col("checksum_sha256").alias("checksum"), F.when(F.col("doc_num") % 9 == 0, "MIME_TYPE").alias("error_code"))
-    known = s.where("doc_num < 100").groupBy(F.col("checksum_sha256").alias("checksum")).agg(F.min("doc_id").alias("existing_id"))
+    known = s.where("doc_num % 7 = 3").groupBy(F.col("checksum_sha256").alias("checksum")).agg(F.min("doc_id").alias("existing_id"))
     return i.bulk_reconcile(s.select("batch_id", F.col("original_filename").alias("filename")), files, known)
 
 
 RECONCILED = """select doc_num % 10 as batch_id, original_filename as filename, case when doc_num % 4 = 0 then 'FILE_NOT_IN_ZIP' when doc_num % 9 = 0 then 'MIME_TYPE' when k.existing_id is not null then 'DUPLICATE' else 'OK' end as outcome, k.existing_id as known_id
-    from submissions s left join (select checksum_sha256 as c, min(doc_id) as existing_id from submissions where doc_num < 100 group by 1) k on k.c = s.checksum_sha256"""
+    from submissions s left join (select checksum_sha256 as c, min(doc_id) as existing_id from submissions where doc_num % 7 = 3 group by 1) k on k.c = s.checksum_sha256"""
 query("bulk_reconcile", f"select batch_id, filename, outcome, case when outcome = 'DUPLICATE' then known_id end as existing_id from ({RECONCILED})")(reconciled)
 query("bulk_batch_totals", f"select batch_id, count(*) as total, count(*) filter (outcome = 'OK') as successful, count(*) filter (outcome <> 'OK') as failed from ({RECONCILED}) group by 1")(lambda t: i.bulk_batch_totals(reconciled(t)))
 query("resolve_submitter", "select o_orderkey, case when o_custkey % 3 = 0 then o_custkey end as owner from orders")(

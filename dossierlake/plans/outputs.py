@@ -9,6 +9,7 @@ from dossierlake.operators import dashboards as d
 from dossierlake.operators import outputs as o
 from dossierlake.operators import summary as s
 from dossierlake.operators import anonymise as a
+from dossierlake.plans.dashboards import DETAIL
 from dossierlake.plans.governance import MATCHES, PRIORITY, SCORED, WITH_S, pairs
 from dossierlake.plans.registry import query
 
@@ -56,4 +57,8 @@ query("table_json_rows", """select n_regionkey as region, string_agg(concat('{"k
     .agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
     .select("region", F.array_join(o.table_json_rows(F.array(F.lit("k"), F.lit("n")), F.transform("r", lambda y: F.array(y["n_nationkey"].cast("string"), y["n_name"]))), "|").alias("rows"))
 )
-query("report_lines")(lambda t: o.report_lines(d.submission_detail(t.submissions, t.assessments, t.event_log)).select("doc_id", F.array_join("lines", "\n").alias("report")))
+query(
+    "report_lines",
+    f"""select doc_id, array_to_string(['SUBMISSION REPORT', 'Document: ' || doc_id, 'Status: ' || coalesce(status, '-'), 'Decision: ' || coalesce(latest_decision, '-'), 'History: ' || coalesce(history, '-'), 'Failures: ' || coalesce(n_failed::varchar, '-')], chr(10)) as report
+    from ({DETAIL})""",
+)(lambda t: o.report_lines(d.submission_detail(t.submissions, t.assessments, t.event_log)).select("doc_id", F.array_join("lines", "\n").alias("report")))

@@ -11,6 +11,8 @@ from dossierlake.operators.limiter import rate_block_state
 from dossierlake.plans.bus import ROUTE_TTL, UPDATES, fold_sql, status_updates
 from dossierlake.plans.registry import query
 from dossierlake.sources import files as f
+from dossierlake.sources.frames import Schema, scan_frames
+from dossierlake.sources.xml import fhir_flatten, xml_flatten
 from dossierlake.streaming import state, upsert
 from dossierlake.streaming import streams as s
 from dossierlake.streaming.chain import DEAD_LETTERS, STAGES, Chain
@@ -171,6 +173,31 @@ query("scan_events", "select event_id, user_id, event_type from events where eve
 query("scan_events_bad", "select event_id from events where event_id % 9 = 4 or event_id % 9 = 5")(lambda t: f.scan_events(json_lines(t).withColumnRenamed("event_id", "line"), StructType.fromDDL(LINE))[1].select(F.col("line").alias("event_id")))
 
 
+# --- framed events -------------------------------------------------------------------------------------------------
+
+
+def framed(t):
+    """Events as frames: two versions of a schema in turn, and some that are broken in one way or another."""
+    n = F.col("event_id")
+    old, new = F.to_json(F.struct("event_id", "user_id", F.col("event_type").alias("kind"))), F.to_json(F.struct("event_id", "user_id", F.col("event_type").alias("kind"), F.col("props").alias("source")))
+    body = F.when(n % 2 == 0, old).otherwise(new)
+    number = F.when(n % 10 == 9, 99).when(n % 2 == 0, 1).otherwise(258)
+    frame = F.concat(F.when(n % 10 == 8, F.unhex(F.lit("07"))).otherwise(F.unhex(F.lit("00"))), F.unhex(F.lpad(F.hex(number), 8, "0")), F.when(n % 10 == 6, F.concat(body, F.lit("}{"))).otherwise(body).cast("binary"))
+    return t.events.select(F.col("event_id").alias("line"), F.when(n % 10 == 7, F.substring(frame, 1, 4)).otherwise(frame).alias("value"))
+
+
+def frames(t):
+    first = StructType().add("event_id", "long", False).add("user_id", "long").add("kind", "string")
+    second = StructType().add("event_id", "long", False).add("user_id", "long").add("kind", "string").add("source", "string")
+    return scan_frames(framed(t), [Schema(1, first), Schema(258, second)], second, {"source": "bus"})
+
+
+query("scan_frames", "select event_id as line, event_id, user_id, event_type as kind, case when event_id % 2 = 0 then 'bus' else props end as source from events where event_id % 10 < 6")(lambda t: frames(t)[0])
+query("scan_frames_bad", "select event_id as line, case event_id % 10 when 6 then 'BadBody' when 7 then 'TooShort' when 8 then 'BadMagic' else 'UnknownSchema' end as error, case event_id % 10 when 6 then 1 when 9 then 99 end as schema_id from events where event_id % 10 > 5")(
+    lambda t: frames(t)[1].select("line", "error", "schema_id")
+)
+
+
 def artefacts(t):
     """Submissions written by type and date, and one type of one month read back."""
     path = scratch_path(t.spark, "artefacts")
@@ -190,11 +217,24 @@ query(
 )
 
 
-def xml(t):
-    """Each customer as a clinical document."""
-    body = F.format_string('<Patient xmlns="http://hl7.org/fhir"><id value="%d"/><name><family value="%s"/></name><note>n</note></Patient>', F.col("c_custkey"), "c_name")
-    return f.xml_flatten(t.customer.select(F.col("c_custkey").alias("doc_id"), body.alias("xml")))
+def clinical(t):
+    """Each order as a document: a clinical resource, another kind of document, or a broken one."""
+    kind = F.col("o_orderkey") % 4
+    body = F.format_string(
+        '<?xml version="1.0"?>\n<!-- order --><f:Patient xmlns:f="http://hl7.org/fhir"><f:id value=" %d "/><name><family value="%s"/>A &amp; <![CDATA[<B>]]></name><status>ok</status><id value="again"/><note>n&#233;<b/>tail</note></f:Patient>', F.col("o_orderkey"), "o_orderpriority"
+    )
+    other = F.format_string('<order><key>%d</key><key> </key><empty a=""/></order>', F.col("o_orderkey"))
+    return t.orders.select(F.col("o_orderkey").alias("doc_id"), F.when(kind == 0, other).when(kind == 1, F.concat(other, F.lit("<x>"))).otherwise(body).alias("xml"))
 
 
-query("xml_flatten", "select c_custkey as doc_id, unnest([0,1,2]) as seq, unnest(['Patient/id[@value]', 'Patient/name/family[@value]', 'Patient/note']) as path, unnest([cast(c_custkey as varchar), c_name, 'n']) as value from customer")(xml)
-query("fhir_flatten", "select c_custkey as doc_id, 'id.value' as key, cast(c_custkey as varchar) as value from customer union all select c_custkey, 'family.value', c_name from customer")(lambda t: f.fhir_flatten(xml(t)))
+query(
+    "xml_flatten",
+    """with o as (select o_orderkey as doc_id, o_orderpriority as p, o_orderkey % 4 as k from orders)
+    select doc_id, unnest([0, 1, 2, 3, 4, 5]) as seq, unnest(['Patient.id[@value]', 'Patient.name.family[@value]', 'Patient.status', 'Patient.id[@value]', 'Patient.note', null]) as path, unnest([cast(doc_id as varchar), p, 'ok', 'again', 'né', null]) as value from o where k > 1 qualify path is not null
+    union all select doc_id, 0, 'order.key', cast(doc_id as varchar) from o where k = 0 union all select doc_id, 0, null, null from o where k = 1""",
+)(lambda t: xml_flatten(clinical(t)))
+query(
+    "fhir_flatten",
+    """with o as (select o_orderkey as doc_id, o_orderpriority as p from orders where o_orderkey % 4 > 1)
+    select doc_id, unnest(['id.value', 'family.value', 'note']) as key, unnest([concat(' ', doc_id, ' '), p, 'né']) as value from o""",
+)(lambda t: fhir_flatten(clinical(t)))

@@ -1,11 +1,7 @@
-"""Sources and sinks: raw document stores, event files, CSV and XML content, partitioned artefacts."""
+"""Sources and sinks: raw document stores, event files, CSV content, partitioned artefacts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -64,41 +60,3 @@ def csv_tables(files: DataFrame, delimiter: str = "delimiter", content: str = "c
     width = lambda: F.size(F.get("rows", F.lit(0)))
     padded = lambda row: F.slice(F.concat(row, F.array_repeat(F.lit(""), width())), F.lit(1), width())
     return rows.select(id_col, F.posexplode(F.transform("rows", padded)).alias("row_no", "cells"))
-
-
-def xml_flatten(files: DataFrame, xml: str = "xml", id_col: str = "doc_id", max_depth: int = 12) -> DataFrame:
-    """(id, seq, path, value) of attributes and texts in document order, name spaces stripped; malformed files give a row with path null.
-
-    Declarations of entities must have been refused before (validate_xxe).
-    """
-
-    def walk(node, path: str, depth: int, out: list) -> None:
-        if depth > max_depth:
-            return
-        here = f"{path}/{node.tag.rpartition('}')[2]}" if path else node.tag.rpartition("}")[2]
-        out += [(f"{here}[@{k.rpartition('}')[2]}]", v) for k, v in node.attrib.items() if v.strip()]
-        if node.text and node.text.strip():
-            out.append((here, node.text.strip()))
-        for child in node:
-            walk(child, here, depth + 1, out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf[id_col], pdf[xml], strict=True):
-                found: list = []
-                try:
-                    walk(ElementTree.fromstring(text), "", 0, found)
-                except (ElementTree.ParseError, TypeError):
-                    found = [(None, None)]
-                rows += [(i, n, p, v) for n, (p, v) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[id_col, "seq", "path", "value"])
-
-    return files.select(id_col, xml).mapInPandas(run, f"{id_col} {files.schema[id_col].dataType.simpleString()}, seq int, path string, value string")
-
-
-def fhir_flatten(flat: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """From flattened clinical documents the first value, system, code, display and url of each element."""
-    keyed = flat.where(F.col("path").rlike(r"\[@(value|system|code|display|url)\]$")).withColumn("key", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\[@(\w+)\]", ".$1"))
-    first = keyed.groupBy(id_col, "key").agg(F.min(F.struct("seq", "value")).alias("f"))
-    return first.select(id_col, "key", F.col("f.value").alias("value"))
