@@ -19,7 +19,7 @@ MAX_DEPTH = 12
 NAME = r"[\p{L}_:][\p{L}\p{N}_:.\-]*+"
 ATTRIBUTE = rf"""\s++({NAME})\s*+=\s*+("[^"<]*+"|'[^'<]*+')"""
 #: comment, character data, instruction, document type, closing tag, opening tag, text; at last whatever else begins with <
-TOKEN = rf"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*+>|</{NAME}\s*+>|<{NAME}(?:{ATTRIBUTE})*+\s*+/?>|[^<]++|<"""
+TOKEN = rf"""(?s)<!--(?:(?!--).)*+-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*+>|</{NAME}\s*+>|<{NAME}(?:{ATTRIBUTE})*+\s*+/?>|[^<]++|<"""
 #: names of character references (fixed values)
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
 REFERENCE = r"&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});"
@@ -76,7 +76,7 @@ def xml_elements(files: DataFrame, xml: str = "xml", id_col: str = "doc_id") ->
     tokens = docs.where(refused.isNull()).select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("seq", "token"))
     t = F.col("token")
     kind = (
-        F.when(~t.startswith("<"), "text").when(t.startswith("<![CDATA["), "data").when(t.startswith("<!") | t.startswith("<?"), "other").when(t == "<", "broken")
+        F.when(~t.startswith("<"), F.when(t.contains("]]>"), "broken").otherwise("text")).when(t.startswith("<![CDATA["), "data").when(t.startswith("<!") | t.startswith("<?"), "other").when(t == "<", "broken")
         .when(t.startswith("</"), "close").when(t.endswith("/>"), "self").otherwise("open")
     )
     rows = tokens.withColumn("kind", kind).withColumn("name", F.regexp_extract(t, rf"^</?({NAME})", 1))

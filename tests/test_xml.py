@@ -44,7 +44,7 @@ GOOD = [
     "<a b='&#x3c;&amp;'/>", "<a><![CDATA[<not> & a tag]]> and</a>", "<n:a xmlns:n='u' n:k='v'><n:b>t</n:b></n:a>", "<a xmlns='http://hl7.org/fhir'><b c = 'd' ></b ></a>", "﻿<a>bom</a>", "<a>\n  <b>\n t \n</b>\n</a>", "<é ü='ß'>ñ</é>", "<a.b-c_d><x1/></a.b-c_d>",
     "<a><?pi some?><b/><!-- <c> --></a>", "<a>" * 20 + "deep" + "</a>" * 20, "<r>" + "<a><b>t</b></a>" * 400 + "</r>", "<a><b/>after</a>", "<a><a><a>in</a></a><a>out</a></a>", "<a>" + "long " * 50_000 + "</a>",
 ]
-BAD = ["<a>", "</a>", "<a></b>", "<a><b></a></b>", "<a/><b/>", "text", "<a/>text", "<a b=c/>", "<a b='1' b='2'/>", "<a", "<a>&nope;</a>", "<a>&</a>", "< a/>", "<a><b></b>", "<a>]</a><", "<1a/>"]
+BAD = ["<a>", "</a>", "<a></b>", "<a><b></a></b>", "<a/><b/>", "text", "<a/>text", "<a b=c/>", "<a b='1' b='2'/>", "<a", "<a>&nope;</a>", "<a>&</a>", "< a/>", "<a><b></b>", "<a>]</a><", "<1a/>", "<a>]]></a>", "<a><!-- x -- y --></a>", "<a><!- x --></a>", "<a><![CDAT[x]]></a>"]
 
 
 def test_documents_against_a_tree(spark):
@@ -65,7 +65,8 @@ def test_random_documents(spark):
     # some lose a character
     texts += [t[:at] + t[at + 1 :] for t in texts[:150] for at in [rng.randrange(len(t))]]
     got, want = flat(spark, texts), [plain(t) for t in texts]
-    assert got == want and sum(w == [(None, None)] for w in want) > 50
+    assert [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+    assert sum(w == [(None, None)] for w in want) > 30
 
 
 def test_nulls_repeated_ids_and_clinical_documents(spark):
