@@ -54,7 +54,7 @@ query(
 query("language_detect")(lambda t: detect_languages(t.documents, learn_profiles(t.documents)).select("doc_id", "lang", "language", "probability", "multilingual"))
 TITLED = """concat(case doc_num % 5 when 0 then '' when 1 then concat(chr(10), chr(10), '# Short', chr(10)) when 2 then concat('## no title', chr(10)) else concat('# ', case when doc_num % 7 = 0 then '#  ' else '' end, 'Title of ', doc_id, chr(10)) end,
     case doc_num % 4 when 0 then 'Rev ' when 1 then 'v' else 'Version ' end, cast(doc_num % 7 as {s}), case when doc_num % 4 = 0 then ' ' else concat('.', cast(doc_num % 3 as {s})) end, case when doc_num % 6 = 0 then '.2' else '' end, ' application no: ab-',
-    cast(100000 + doc_num as {s}), ' on ', case when doc_num % 3 = 0 then '02-01-2020' else concat('2020-01-', lpad(cast(1 + doc_num % 28 as {s}), 2, '0')) end, chr(10), 'applicant name: Firm ', doc_id, chr(10), text)"""
+    cast(100000 + doc_num as {s}), ' on ', case when doc_num % 3 = 0 then '02-01-2020' else concat('2020-01-', lpad(cast(1 + doc_num % 28 as {s}), 2, '0')) end, chr(10), 'applicant name: Firm ', doc_id, chr(10), text)""".replace("\n", " ")
 
 
 def titled(t):

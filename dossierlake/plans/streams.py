@@ -230,7 +230,7 @@ def clinical(t):
 query(
     "xml_flatten",
     """with o as (select o_orderkey as doc_id, o_orderpriority as p, o_orderkey % 4 as k from orders)
-    select doc_id, unnest([0, 1, 2, 3, 4, 5]) as seq, unnest(['Patient.id[@value]', 'Patient.name.family[@value]', 'Patient.status', 'Patient.id[@value]', 'Patient.note', null]) as path, unnest([cast(doc_id as varchar), p, 'ok', 'again', 'né', null]) as value from o where k > 1 qualify path is not null
+    select doc_id, unnest([0, 1, 2, 3, 4]) as seq, unnest(['Patient.id[@value]', 'Patient.name.family[@value]', 'Patient.status', 'Patient.id[@value]', 'Patient.note']) as path, unnest([cast(doc_id as varchar), p, 'ok', 'again', 'né']) as value from o where k > 1
     union all select doc_id, 0, 'order.key', cast(doc_id as varchar) from o where k = 0 union all select doc_id, 0, null, null from o where k = 1""",
 )(lambda t: xml_flatten(clinical(t)))
 query(
