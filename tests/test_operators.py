@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.spans import regex_spans, running_sum
 from dossierlake.operators import anonymise, audit, bus, chunks, ingest, rules, summary, text, vectors
+from dossierlake.operators.limiter import rate_block_state
 from dossierlake.sources import files
-from dossierlake.streaming import streams
+from dossierlake.streaming import state, streams
 
 
 def one(spark, value, f, kind="string"):
@@ -169,7 +170,8 @@ def test_retry_stream_equals_batch(spark, tmp_path):
     rows = [("t", f"d{rng.randrange(4)}", f"e{i:03d}", rng.random() < 0.7, float(i)) for i in range(80)]
     df = spark.createDataFrame(rows, "topic string, doc_id string, event_id string, failed boolean, ts double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = streams.retry_route_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ttl=None)
+    state.with_rocksdb(spark)
+    stream = state.retry_route_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ttl=None)
     got = streams.run_once(stream, spark, str(tmp_path / "run"))
     want = retry_route(df, order=("ts", "event_id"))
     assert sorted((r.event_id, r.attempt, r.target) for r in got.collect()) == sorted((r.event_id, r.attempt, r.target) for r in want.collect())
@@ -228,8 +230,8 @@ def test_alert_stretches_cross_bucket_edges(spark):
 
 def test_limiter_holds_no_more_than_it_needs(spark):
     rows = spark.createDataFrame([(i, "a", t) for i, t in enumerate([0, 1, 2, 3, 61, 62, 63, 200, 400])], "req_id long, ip string, s long")
-    got = {r.req_id: r.outcome for r in streams.rate_block_state(rows.select("req_id", "ip", F.timestamp_seconds("s").alias("ts")), 2, 60, 2, 3600, 300).collect()}
-    assert got == {0: "ok", 1: "ok", 2: "limited", 3: "limited", 4: "blocked", 5: "blocked", 6: "blocked", 7: "blocked", 8: "ok"}
+    got = {r.req_id: r.outcome for r in rate_block_state(rows.select("req_id", "ip", F.timestamp_seconds("s").alias("ts")), 2, seconds=60, most=2, window=3600, block=300).collect()}
+    assert got == {0: "ok", 1: "ok", 2: "limited_ip", 3: "limited_ip", 4: "blocked", 5: "blocked", 6: "blocked", 7: "blocked", 8: "ok"}
 
 
 def test_neighbours_by_blocks_equal_neighbours_by_broadcast(spark, monkeypatch):
