@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierlake.functions.scratch import scratch_path
-from dossierlake.llm.common import written
+from dossierlake.llm.common import drop_written, written
 
 #: record header fields of the two ARC versions (fixed values)
 ARC_FIELDS = {
@@ -247,8 +247,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert(archives: DataFrame, path: str, min_bytes: int = 0, largest: int = 0) -> None:
-    """ARC files (path, content) to WARC files in a folder, equal payloads as revisits of the first."""
-    write_warc(mark_revisits(arc_to_captures(archives), min_bytes), path, largest)
+    """ARC files (path, content) to WARC files in a folder, equal payloads as revisits of the first.
+
+    Captures are written once: digests are counted from their small columns, records made from all, and no archive is
+    parsed twice.
+    """
+    captures = written(arc_to_captures(archives), "captures")
+    write_warc(mark_revisits(captures, min_bytes), path, largest)
+    drop_written(captures)
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
