@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossierlake.functions.spans import let
-
 #: levels below the root that a flattened document shows (fixed value)
 MAX_DEPTH = 12
 NAME = r"[\p{L}_:][\p{L}\p{N}_:.\-]*+"
