@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from math import floor, isfinite
+from math import floor
 
 import numpy as np
 import pyarrow as pa
