@@ -13,3 +13,30 @@ def test_xml_tokens_stay_in_their_row(spark):
         # the documents once for the check of their ids, their tokens never
         assert plan(made).count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, xml.xml_flatten(df).collect()), key=str) == [(1, 0, "a[@x]", "1"), (1, 1, "a.b", "t"), (2, 0, None, None), (3, 0, None, None)]
+
+
+def test_exact_neighbours_are_matrix_products(spark):
+    from dossierlake.operators.vectors import knn_exact
+
+    nan = float("nan")
+    rows = [(i, "a", [1.0, i / 10]) for i in range(9)] + [(20, "a", [2.0, 0.0]), (21, "a", None), (22, "a", [nan, 1.0]), (23, "b", [1.0]), (24, "b", [1.0, 2.0]), (25, "b", [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, collection string, v array<double>")
+    found = knn_exact(df.where("vec_id in (0, 21, 23)"), df, 3)
+    assert "CoGroupsInArrow" in plan(found)
+    got = sorted((r.query_id, r.rank, r.vec_id, None if r.distance is None else round(r.distance, 6)) for r in found.collect())
+    assert got == [(0, 1, 0, 0.0), (0, 2, 20, 0.0), (0, 3, 1, 0.004963), (21, 1, 0, None), (21, 2, 1, None), (21, 3, 2, None), (23, 1, 23, 0.0), (23, 2, 25, 0.0), (23, 3, 24, None)]
+    far = knn_exact(df.where("vec_id = 0"), df.where("vec_id < 20"), 2, "l2").collect()
+    assert [(r.vec_id, round(r.distance, 9)) for r in far] == [(0, 0.0), (1, 0.01)]
+
+
+def test_routing_leaves_in_bounded_batches(spark, monkeypatch):
+    import random
+
+    from dossierlake.operators import knn_index
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, "a", [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)], "vec_id long, collection string, v array<double>")
+    near = lambda: sorted(map(tuple, knn_index.search(knn_index.build_index(df), df.where("vec_id % 3 = 0")).select("query_id", "rank", "vec_id").collect()))
+    want = near()
+    monkeypatch.setattr(knn_index, "ROUTED", 5)
+    assert near() == want and len(want) == 600
