@@ -33,6 +33,8 @@ from dossierlake.operators.vectors import NEIGHBOURS, l2_normalise
 SAMPLE, LISTS = 4_096, 1_024
 #: Vectors, and queries, that meet in one task
 BLOCK, QUERIES = 8_192, 2_048
+#: Rows of a batch that leaves the routing of queries
+ROUTED = 8_192
 #: Slack of bounds for rounding
 EPS = 1e-9
 
@@ -77,7 +79,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64) if len(column) else np.zeros((0, 0))
+    """Vectors of one length as a matrix, without a Python number for each component."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def build_index(corpus: DataFrame, lists: int | None = None, sample: int = SAMPLE) -> Index:
@@ -133,15 +136,19 @@ def _route(queries: DataFrame, index: Index, probes: int, second: bool) -> DataF
     """(query_id, collection, list, qu): the lists that a query reads first, or, given kth, those that it must read still."""
     centroids, radii = index.centroids, index.radii
 
+    def routed(batch: pa.RecordBatch, rows: list[int], lists: list[int]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("collection").take(at), pa.array(lists, pa.int32()), batch.column("qu").take(at)], names=["query_id", "collection", "list", "qu"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, rows, lists = batch.column("collection").to_pylist(), [], []
             kth = batch.column("kth").to_pylist() if second else None
-            for i, u in enumerate(batch.column("qu").to_pylist()):
-                c = centroids.get(names[i])
+            for i in range(batch.num_rows):
+                c, u = centroids.get(names[i]), batch.column("qu")[i].values.to_numpy(zero_copy_only=False)
                 if c is None or len(u) != c.shape[1]:
                     continue
-                angles = np.arccos(np.clip(c @ np.array(u), -1, 1))
+                angles = np.arccos(np.clip(c @ u, -1, 1))
                 there = np.flatnonzero(radii[names[i]] >= 0)
                 order = there[np.argsort(angles[there], kind="stable")]
                 wanted = order[:probes]
@@ -151,8 +158,11 @@ def _route(queries: DataFrame, index: Index, probes: int, second: bool) -> DataF
                     wanted = rest[bound <= (np.inf if kth[i] is None else kth[i] + EPS)]
                 rows += [i] * len(wanted)
                 lists += wanted.tolist()
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("collection").take(at), pa.array(lists, pa.int32()), batch.column("qu").take(at)], names=["query_id", "collection", "list", "qu"])
+                # a query that nothing rules out goes to every list, so what a batch of them becomes has no bound of its own
+                if len(rows) >= ROUTED:
+                    yield routed(batch, rows, lists)
+                    rows, lists = [], []
+            yield routed(batch, rows, lists)
 
     ident = queries.schema["query_id"].dataType.simpleString()
     return written(queries.mapInArrow(run, f"query_id {ident}, collection string, list int, qu array<double>"), "knn-routed")
