@@ -166,6 +166,8 @@ def scan_frames(records: DataFrame, schemas: list[Schema], reader: StructType, d
         fields = [(F.col(got)[f.name] if f.name in s.fields.names else F.lit(defaults[f.name])).cast(f.dataType).alias(f.name) for f in reader]
         event = F.when(own, F.struct(*fields)).otherwise(event)
         fault = F.when(own, F.when(~F.col(got)["_fine"], "BadBody").when(lost, "MissingField")).otherwise(fault)
-    told = rows.withColumn("_event", event).withColumn("_error", F.coalesce("_error", F.when(F.col("_id").isNotNull(), fault)))
+    told = rows.withColumn("_error", F.coalesce("_error", F.when(F.col("_id").isNotNull(), fault)))
     others = [c for c in records.columns if c != value]
+    # unnested, so that a filter on the error is not put before the parsers and runs them again
+    told = told.select(*others, value, F.explode(F.array(F.struct("_id", "_error", event.alias("_event")))).alias("_f")).select(*others, value, "_f.*")
     return told.where("_error is null").select(*others, "_event.*"), told.where("_error is not null").select(*others, value, F.col("_id").alias("schema_id"), F.col("_error").alias("error"))

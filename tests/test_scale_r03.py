@@ -40,3 +40,32 @@ def test_routing_leaves_in_bounded_batches(spark, monkeypatch):
     want = near()
     monkeypatch.setattr(knn_index, "ROUTED", 5)
     assert near() == want and len(want) == 600
+
+
+def test_frames_are_parsed_once(spark):
+    from pyspark.sql.types import StructType
+
+    from dossierlake.sources.frames import Schema, scan_frames
+
+    kind = StructType().add("a", "long")
+    df = spark.createDataFrame([(1, bytearray(b'\x00\x00\x00\x00\x01{"a":5}')), (2, bytearray(b"\x07"))], "line long, value binary")
+    good, bad = scan_frames(df, [Schema(1, kind)], kind)
+    for rows in (good, bad):
+        # the filter on the error uses what was parsed, it does not hold a parser of its own
+        assert not [line for line in plan(rows).splitlines() if "Filter" in line and "from_json" in line]
+    assert [r.a for r in good.collect()] == [5] and [r.error for r in bad.collect()] == ["TooShort"]
+
+
+def test_months_and_slices_are_written_by_many_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from dossierlake.plans import bus
+    from dossierlake.streaming import streams
+
+    rows = spark.range(0, 4000, 1, 4).select("id", F.timestamp_seconds(1_704_067_200 + F.col("id") % 4 * 86_400).alias("produced_at"))
+    table = bus.by_month(type("T", (), {"spark": spark, "event_log": rows}))
+    assert len(table.inputFiles()) == 4 and table.count() == 4000
+    got = streams.run_in_parts(rows.withColumnRenamed("produced_at", "ts"), "ts", str(tmp_path), lambda s: s.where("id % 2 = 1"), 2)
+    assert got.count() == 2000 and len(list(Path(tmp_path, "in").glob("*.parquet"))) > 2
