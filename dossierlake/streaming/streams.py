@@ -35,9 +35,10 @@ def run_once(stream: DataFrame, spark: SparkSession, path: str, mode: str = "app
 
 
 def run_in_parts(rows: DataFrame, ts: str, path: str, stream: Callable[[DataFrame], DataFrame], parts: int = 6) -> DataFrame:
-    """Feed a table to a stream in `parts` slices of time, a micro-batch each, stopping and starting again halfway.
+    """Feed a table to a stream in `parts` slices of time, a micro-batch each, stopping and starting again between them.
 
-    The query ends after half of the slices and a new one goes on from its checkpoint.  Rows without a time come first.
+    Each slice is written by as many tasks as the table has; the query ends with it and a new one goes on from its checkpoint.
+    Rows without a time come first.
     """
     spark = rows.sparkSession
     # a row a day
@@ -45,14 +46,7 @@ def run_in_parts(rows: DataFrame, ts: str, path: str, stream: Callable[[DataFram
     days = rows.select(F.to_date(ts).alias("day")).groupBy("day").count().withColumn("part", edges)
     sliced = rows.withColumn("_day", F.to_date(ts)).join(F.broadcast(days.select(F.col("day").alias("_d"), "part")), F.col("_day").eqNullSafe(F.col("_d"))).drop("_day", "_d")
 
-    def feed(numbers: range) -> None:
-        for n in numbers:
-            # one file, later than those before it
-            sliced.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
-
-    half = parts // 2
-    for numbers in (range(1, half + 1), range(half + 1, parts + 1)):
-        feed(numbers)
-        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        run_once(stream(source), spark, path)
+    for n in range(1, parts + 1):
+        sliced.where(F.col("part") == n).drop("part").write.mode("append").parquet(f"{path}/in")
+        run_once(stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), spark, path)
     return spark.read.parquet(f"{path}/out")
