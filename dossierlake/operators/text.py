@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from dossierlake.functions.batches import small_batches
 from dossierlake.functions.spans import let
 
 #: fixed values
@@ -46,9 +47,16 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: a character from U+0300 on; those below neither change nor combine under NFC
+BEYOND_LATIN = r"[^\x00-\u02FF]"
+
+
 def nfc(text: Column) -> Column:
-    """Unicode NFC; only texts beyond ASCII travel to Python."""
-    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Unicode NFC; only texts with characters that it may change travel to Python, in small batches."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        small_batches(session)
+    return F.coalesce(_nfc(F.when(text.rlike(BEYOND_LATIN), text)), text)
 
 
 def dates_to_iso(text: Column) -> Column:

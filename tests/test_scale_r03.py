@@ -69,3 +69,27 @@ def test_months_and_slices_are_written_by_many_tasks(spark, tmp_path):
     assert len(table.inputFiles()) == 4 and table.count() == 4000
     got = streams.run_in_parts(rows.withColumnRenamed("produced_at", "ts"), "ts", str(tmp_path), lambda s: s.where("id % 2 = 1"), 2)
     assert got.count() == 2000 and len(list(Path(tmp_path, "in").glob("*.parquet"))) > 2
+
+
+def test_texts_go_to_python_in_small_batches_and_only_where_needed(spark, monkeypatch):
+    import unicodedata
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from dossierlake.operators import text
+
+    # below U+0300 nothing changes, so that accents of Latin letters stay in the JVM
+    assert all(unicodedata.normalize("NFC", chr(a) + chr(b)) == chr(a) + chr(b) for a in range(0x300) for b in range(0x300))
+
+    @F.pandas_udf("string")
+    def narrow(texts: pd.Series) -> pd.Series:
+        here = texts.dropna()
+        assert here.str.len().sum() < 12_000_000 and not here.str.startswith("caf\u00e9").any()
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    monkeypatch.setattr(text, "_nfc", narrow)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 60, 1, 1).select("id", F.when(F.col("id") % 3 == 0, "caf\u00e9").otherwise(F.concat(F.repeat(F.lit("a"), 1_000_000), F.lit("e\u0301"))).alias("t"))
+    got = df.select("id", F.right(text.nfc(F.col("t")), F.lit(1)).alias("end"), F.length(text.nfc(F.col("t"))).alias("n")).collect()
+    assert {r.end for r in got} == {"\u00e9"} and {r.n for r in got} == {4, 1_000_001}
