@@ -40,12 +40,13 @@ def running_sum(lengths: Column, block: int = 256) -> Column:
     return let(lengths, lambda v: F.when(F.size(v) <= block, _sums(v)).otherwise(blocked(v)))
 
 
-def regex_spans(text: Column, pattern: str, context: int = 0) -> Column:
+def regex_spans(text: Column, pattern: str, context: int = 0, needs: Column | None = None) -> Column:
     """All leftmost non-overlapping matches as array<struct<start,end,match,before>>, code points, end exclusive.
 
     The pattern must not match the empty string.  Gaps come from splitting by the same pattern, so that
     end_i = gaps up to i + matches up to i.  before holds up to `context` characters between the match and the one
-    before it.  Null text gives an empty array.
+    before it.  Null text gives an empty array.  needs: true for each text that
+    holds a match, and cheaper to find out than the pattern.
     """
 
     def build(found: Column) -> Column:
@@ -63,8 +64,10 @@ def regex_spans(text: Column, pattern: str, context: int = 0) -> Column:
         return let(pieces, place)
 
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
-    # most texts hold no match: a single find decides, and a null text takes the last branch
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build)).otherwise(none)
+    if needs is None:
+        # most texts hold no match: a single find decides, and a null text takes the last branch
+        return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build)).otherwise(none)
+    return F.when(needs, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, build(found)).otherwise(none))).otherwise(none)
 
 
 def span_list(kind: str | Column, spans: Column) -> Column:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,12 +62,46 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(text.rlike(BEYOND_LATIN), text)), text)
 
 
+#: what ends a line for Java's ^ and $, beside the newline
+OTHER_ENDS = ("\x85", "\u2028", "\u2029")
+
+
+def _any(test: Callable[[str], Column], parts: Iterable[str]) -> Column:
+    return reduce(or_, map(test, parts))
+
+
+def where_it_may(text: Column, needs: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """change(text) where the text has what the change needs, else the text: to find a few bytes costs far less than a regex."""
+    return let(text, lambda t: F.when(needs(t), change(t)).otherwise(t))
+
+
+def _replaced(text: Column, needs: Callable[[Column], Column], pattern: str, by: str) -> Column:
+    return where_it_may(text, needs, lambda t: F.regexp_replace(t, pattern, by))
+
+
+def _holds(*parts: str) -> Callable[[Column], Column]:
+    return lambda t: _any(t.contains, parts)
+
+
+def _finds(pattern: str) -> Callable[[Column], Column]:
+    return lambda t: t.rlike(pattern)
+
+
+def _blank_at_ends(t: Column) -> Column:
+    """Whether a line may end with blanks or tabs."""
+    return _any(t.endswith, " \t") | _holds(" \n", "\t\n", *OTHER_ENDS)(t)
+
+
+def _blank_at_edges(t: Column) -> Column:
+    return _blank_at_ends(t) | _any(t.startswith, " \t") | _holds("\n ", "\n\t")(t)
+
+
 def dates_to_iso(text: Column) -> Column:
     """d/m/yyyy with a possible day and month, Month d, yyyy and d Month yyyy as yyyy-mm-dd."""
     day, month = r"(0[1-9]|[12]\d|3[01]|[1-9])", r"(0[1-9]|1[0-2]|[1-9])"
-    out = F.regexp_replace(text, rf"\b{day}[/-]{month}[/-](\d{{4}})\b", "$3-0$2-0$1")
-    out = F.regexp_replace(out, r"\b(\d{4})-0?(\d{2})-0?(\d{2})\b", "$1-$2-$3")
-    # one search finds the months that a text names; only those are replaced, in the order of the year
+    out = _replaced(text, _finds(r"\d[/-]\d{4}"), rf"\b{day}[/-]{month}[/-](\d{{4}})\b", "$3-0$2-0$1")
+    out = _replaced(out, _finds(r"\d{4}-\d"), r"\b(\d{4})-0?(\d{2})-0?(\d{2})\b", "$1-$2-$3")
+    # only months whose names a text holds are replaced, in the order of the year
     months = [
         F.struct(
             F.lit(name.lower()).alias("name"), F.lit(rf"(?i)\b{name}\s+(\d{{1,2}}),?\s+(\d{{4}})\b").alias("month_first"), F.lit(f"$2-{i:02d}-0$1").alias("as_first"),
@@ -75,10 +112,10 @@ def dates_to_iso(text: Column) -> Column:
     replace = lambda t, m: F.regexp_replace(F.regexp_replace(t, m["month_first"], m["as_first"]), m["day_first"], m["as_second"])
 
     def named(t: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(t, F.lit(rf"(?i)\b(?:{'|'.join(MONTHS)})\b"), F.lit(0)), F.lower)
-        return let(found, lambda f: F.when(F.size(f) == 0, t).otherwise(F.aggregate(F.filter(F.array(*months), lambda m: F.array_contains(f, m["name"])), t, replace)))
+        held = lambda low: F.filter(F.array(*months), lambda m: F.contains(low, m["name"]))
+        return let(F.lower(t), lambda low: F.aggregate(held(low), t, replace))
 
-    return F.regexp_replace(let(out, named), r"\b(\d{4})-(\d{2})-0(\d{2})\b", "$1-$2-$3")
+    return _replaced(where_it_may(out, _finds(r"\s\d{4}"), named), _holds("-0"), r"\b(\d{4})-(\d{2})-0(\d{2})\b", "$1-$2-$3")
 
 
 def count_dates(text: Column) -> Column:
@@ -91,18 +128,20 @@ def clean_lines(text: Column, unicode_form: bool = True) -> Column:
     """Everything before the dates: NFC, control characters, line ends, blank lines, hyphen breaks, quotes, dashes, spaces."""
     out = nfc(text) if unicode_form else text
     out = F.regexp_replace(out, CONTROL, "")
-    out = F.regexp_replace(out, "\r\n|\r", "\n")
-    out = F.regexp_replace(out, "\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"(?m)[^\S\n]+$", "")
-    out = F.regexp_replace(out, r"(\w)-\n([a-z])", "$1$2")
-    out = F.translate(out, "‘’‚‛“”„‟‒‑", "''''\"\"\"\"--")
-    out = F.regexp_replace(out, "[–—]", " - ")
-    out = F.regexp_replace(out, "[ \t]+", " ")
-    return F.regexp_replace(out, r"(?m)^[^\S\n]+|[^\S\n]+$", "")
+    out = _replaced(out, _holds("\r"), "\r\n|\r", "\n")
+    out = _replaced(out, _holds("\n\n\n"), "\n{3,}", "\n\n")
+    out = _replaced(out, _blank_at_ends, r"(?m)[^\S\n]+$", "")
+    out = _replaced(out, _holds("-\n"), r"(\w)-\n([a-z])", "$1$2")
+    out = where_it_may(out, lambda t: (F.octet_length(t) > F.length(t)) & _holds(*"‘’‚‛“”„‟‒‑")(t), lambda t: F.translate(t, "‘’‚‛“”„‟‒‑", "''''\"\"\"\"--"))
+    out = _replaced(out, _holds("–", "—"), "[–—]", " - ")
+    out = _replaced(out, _holds("  ", "\t"), "[ \t]+", " ")
+    return _replaced(out, _blank_at_edges, r"(?m)^[^\S\n]+|[^\S\n]+$", "")
 
 
 def normalise_text(text: Column, unicode_form: bool = True) -> Column:
-    return F.regexp_replace(dates_to_iso(clean_lines(text, unicode_form)), r"^\s+|\s+$", "")
+    # Java's $ also stands before a line's end that is the last character
+    needs = lambda t: _any(t.startswith, " \t\n\v\f\r") | _any(t.endswith, [*" \t\n\v\f\r", *OTHER_ENDS])
+    return _replaced(dates_to_iso(clean_lines(text, unicode_form)), needs, r"^\s+|\s+$", "")
 
 
 def gibberish_windows(text: Column, width: int = 100) -> Column:

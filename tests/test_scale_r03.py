@@ -93,3 +93,39 @@ def test_texts_go_to_python_in_small_batches_and_only_where_needed(spark, monkey
     df = spark.range(0, 60, 1, 1).select("id", F.when(F.col("id") % 3 == 0, "caf\u00e9").otherwise(F.concat(F.repeat(F.lit("a"), 1_000_000), F.lit("e\u0301"))).alias("t"))
     got = df.select("id", F.right(text.nfc(F.col("t")), F.lit(1)).alias("end"), F.length(text.nfc(F.col("t"))).alias("n")).collect()
     assert {r.end for r in got} == {"\u00e9"} and {r.n for r in got} == {4, 1_000_001}
+
+
+def test_regexes_run_only_where_a_cheap_test_lets_them(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dossierlake.functions.spans import regex_spans
+    from dossierlake.operators import anonymise, summary, text
+
+    def plainly(t):
+        """What the steps do without their tests."""
+        for p, r in ((text.CONTROL, ""), ("\r\n|\r", "\n"), ("\n{3,}", "\n\n"), (r"(?m)[^\S\n]+$", ""), (r"(\w)-\n([a-z])", "$1$2")):
+            t = F.regexp_replace(t, p, r)
+        t = F.regexp_replace(F.translate(t, "‘’‚‛“”„‟‒‑", "''''\"\"\"\"--"), "[–—]", " - ")
+        t = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), r"(?m)^[^\S\n]+|[^\S\n]+$", "")
+        t = F.regexp_replace(t, r"\b(0[1-9]|[12]\d|3[01]|[1-9])[/-](0[1-9]|1[0-2]|[1-9])[/-](\d{4})\b", "$3-0$2-0$1")
+        t = F.regexp_replace(t, r"\b(\d{4})-0?(\d{2})-0?(\d{2})\b", "$1-$2-$3")
+        for i, m in enumerate(text.MONTHS, 1):
+            t = F.regexp_replace(F.regexp_replace(t, rf"(?i)\b{m}\s+(\d{{1,2}}),?\s+(\d{{4}})\b", f"$2-{i:02d}-0$1"), rf"(?i)\b(\d{{1,2}})\s+{m}\s+(\d{{4}})\b", f"$2-{i:02d}-0$1")
+        return F.regexp_replace(F.regexp_replace(t, r"\b(\d{4})-(\d{2})-0(\d{2})\b", "$1-$2-$3"), r"^\s+|\s+$", "")
+
+    rng = random.Random(5)
+    parts = [*" \t\n\r\x0b\x85  “–\x01-/.aZ9", " ", " ", "\n", "\r\n", "x-\ny", "7/3/2021", "31-12-1999", "2020-011-012", "March 5, 2020", "17 august 2019", "mAy 1 2020", "dismay", "MAY\n3,\t1999"]
+    parts += ["1234 5678 9012", "ABCDE1234F", "U12345AB1234ABC123456", "+91-9876543210", "a.b@c.org", "Patient ID: X-1", "SUBJECT no 123", "dob 1/2/99", "Date Of Birth: 1-2-1999"]
+    df = spark.createDataFrame([(i, "".join(rng.choice(parts) for _ in range(rng.randrange(14)))) for i in range(4000)] + [(-1, None)], "i int, t string").cache()
+    t = F.col("t")
+    assert df.where(~plainly(t).eqNullSafe(text.normalise_text(t, False))).count() == 0
+    assert set(anonymise.NEEDS) == {k for k, _, _ in anonymise.PATTERNS}
+    spans = [(regex_spans(t, p), regex_spans(t, p, needs=anonymise.NEEDS[k](t))) for k, p, _ in anonymise.PATTERNS]
+    told = df.select(*[F.count_if(~a.eqNullSafe(b)) for a, b in spans], *[F.count_if(F.size(a) > 0) for a, _ in spans]).first()
+    assert not any(told[: len(spans)]) and min(told[len(spans) :]) > 20
+    # a test before each regex that a clean text does not need, and one lower-casing for all terms
+    assert plan(df.select(text.normalise_text(t, False))).count("CASE WHEN") >= 11
+    for c in (summary.risk_terms(t, F.lit("sae")), summary.missing_fields(t, F.lit("sae"))):
+        assert "contains(lower(" not in plan(df.select(c)).lower()
