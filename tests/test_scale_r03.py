@@ -129,3 +129,13 @@ def test_regexes_run_only_where_a_cheap_test_lets_them(spark):
     assert plan(df.select(text.normalise_text(t, False))).count("CASE WHEN") >= 11
     for c in (summary.risk_terms(t, F.lit("sae")), summary.missing_fields(t, F.lit("sae"))):
         assert "contains(lower(" not in plan(df.select(c)).lower()
+
+
+def test_notifications_run_the_rules_once(spark):
+    from dossierlake.operators import rules
+    from dossierlake.plans.fixtures import Tables
+    from dossierlake.plans.governance import rule_events
+
+    made = plan(rules.compliance_notifications(rules.assess(rule_events(Tables(spark, "/root/testdata/sf0.001")))))
+    # the filter uses the decision that was made, it does not hold the patterns again
+    assert made.count("regexp_extract_all") == 7
