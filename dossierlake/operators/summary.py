@@ -186,15 +186,13 @@ def priority_alerts(scored: DataFrame) -> DataFrame:
 
 
 def significance_notes(diff: Column) -> Column:
-    low = F.lower(diff)
-    notes = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), n) for t, n in SIGNIFICANCE])))
+    notes = let(F.lower(diff), lambda low: F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), n) for t, n in SIGNIFICANCE]))))
     return F.when(F.size(notes) > 0, notes).otherwise(_strings("No specific high-impact regulatory term was detected in the diff."))
 
 
 def changed_sections(diff: Column, aspects: tuple[str, ...] = ()) -> Column:
     """Asked-for aspects found in the diff, then the standing ones."""
-    low = F.lower(diff)
-    found = F.array_distinct(F.filter(_strings(*aspects, *ASPECTS), lambda a: F.contains(low, F.lower(a))))
+    found = let(F.lower(diff), lambda low: F.array_distinct(F.filter(_strings(*aspects, *ASPECTS), lambda a: F.contains(low, F.lower(a)))))
     return F.when(F.size(found) > 0, found).otherwise(_strings("general_content"))
 
 
@@ -204,8 +202,11 @@ def diff_confidence(changed_lines: Column) -> Column:
 
 def line_diff_bag(pairs: DataFrame, a: str = "text_a", b: str = "text_b", key: str = "pair_id") -> DataFrame:
     """Lines added and removed between two texts as bags: (pair, line, change), change the signed surplus in b."""
-    side = lambda c, sign: pairs.select(key, F.explode(F.split(c, "\n")).alias("line"), F.lit(sign).alias("s"))
-    lines = side(a, -1).unionByName(side(b, 1)).withColumn("line", F.trim("line")).where("line <> ''")
+    sides = F.array(*[F.struct(F.col(c).alias("text"), F.lit(sign).alias("s")) for c, sign in ((a, -1), (b, 1))])
+    # whole texts move once, to the task of their pair; lines are counted there, and what follows by pair stays there
+    both = pairs.select(key, a, b).repartition(key).select(key, F.explode(sides).alias("side"))
+    # from an inner explode the optimizer would infer a filter that splits again
+    lines = both.select(key, F.explode_outer(F.split("side.text", "\n")).alias("line"), "side.s").withColumn("line", F.trim("line")).where("line <> ''")
     return lines.groupBy(key, "line").agg(F.sum("s").alias("change")).where("change <> 0")
 
 

@@ -139,3 +139,15 @@ def test_notifications_run_the_rules_once(spark):
     made = plan(rules.compliance_notifications(rules.assess(rule_events(Tables(spark, "/root/testdata/sf0.001")))))
     # the filter uses the decision that was made, it does not hold the patterns again
     assert made.count("regexp_extract_all") == 7
+
+
+def test_texts_of_a_pair_move_once(spark):
+    from dossierlake.operators import summary
+
+    rows = [(1, "a\nb\nb\n c ", "b\nc\nd"), (2, None, "x\n\nx"), (2, "x", None), (3, "", "same"), (3, "same", None)]
+    df = spark.createDataFrame(rows, "pair_id long, text_a string, text_b string")
+    diffs = summary.line_diff_bag(df)
+    # neither the lines nor the report's groups are dealt again
+    assert plan(summary.comparison_report(diffs)).count("Exchange") == 1
+    assert sorted(map(tuple, diffs.collect())) == [(1, "a", -1), (1, "b", -1), (1, "d", 1), (2, "x", 1)]
+    assert {r.pair_id: (r.added, r.removed) for r in summary.comparison_report(diffs).collect()} == {1: (1, 2), 2: (1, 0)}
