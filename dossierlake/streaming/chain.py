@@ -88,14 +88,6 @@ STAGES = (
 )
 
 
-def schemas(spark: SparkSession) -> dict[str, StructType]:
-    """Schema of each topic table, by running the stages on nothing."""
-    out = {"raw.documents.ingested": RAW}
-    for stage in STAGES:
-        out[stage.topic] = stage.make(*[spark.createDataFrame([], out[t]) for t in stage.sources]).schema
-    return out
-
-
 def batch_chain(raw: DataFrame) -> dict[str, DataFrame]:
     """Topic tables of a table of raw documents, each written, and the dead letters.
 
@@ -128,7 +120,12 @@ class Chain:
     """The stages over a folder of the shared store: root/{topic} are the tables, root/_state/{topic} the checkpoints."""
 
     def __init__(self, spark: SparkSession, root: str, files: int = 1_000):
-        self.spark, self.root, self.files, self.schemas = spark, root, files, schemas(spark)
+        self.spark, self.root, self.files = spark, root, files
+        # each stage is made once; its query may start from there as often as it likes
+        self.schemas, self.made = {"raw.documents.ingested": RAW}, {}
+        for stage in STAGES:
+            self.made[stage.topic] = stage.make(*[_usable(self.stream(t)) for t in stage.sources])
+            self.schemas[stage.topic] = self.made[stage.topic].schema
 
     def stream(self, topic: str) -> DataFrame:
         path = f"{self.root}/{topic}"
@@ -142,7 +139,7 @@ class Chain:
 
     def start(self, stage: Stage, **trigger):
         """The query of one stage; by default it takes what is there and ends."""
-        return self._start(stage.topic, stage.make(*[_usable(self.stream(t)) for t in stage.sources]), trigger)
+        return self._start(stage.topic, self.made[stage.topic], trigger)
 
     def start_dead_letters(self, **trigger):
         return self._start(DEAD_LETTERS, _union([_dead(s.topic, self.stream(s.topic)) for s in STAGES]), trigger)

@@ -151,3 +151,16 @@ def test_texts_of_a_pair_move_once(spark):
     assert plan(summary.comparison_report(diffs)).count("Exchange") == 1
     assert sorted(map(tuple, diffs.collect())) == [(1, "a", -1), (1, "b", -1), (1, "d", 1), (2, "x", 1)]
     assert {r.pair_id: (r.added, r.removed) for r in summary.comparison_report(diffs).collect()} == {1: (1, 2), 2: (1, 0)}
+
+
+def test_a_stage_of_the_chain_is_made_once(spark, tmp_path, monkeypatch):
+    from dossierlake.streaming import chain
+
+    made = []
+    stage = chain.Stage("copies", ("raw.documents.ingested",), lambda rows: made.append(1) or rows.selectExpr("doc_id", "cast(null as string) as error"))
+    monkeypatch.setattr(chain, "STAGES", (stage,))
+    topics = chain.Chain(spark, str(tmp_path / "topics"))
+    for i in range(2):
+        spark.createDataFrame([(f"D{i}", "sae", "x")], chain.RAW).write.mode("append").parquet(f"{topics.root}/raw.documents.ingested")
+        topics.start(stage).awaitTermination()
+    assert sorted(r.doc_id for r in topics.read("copies").collect()) == ["D0", "D1"] and len(made) == 1
